@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palaver.llm.exact_dedup import OP6_SQL
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
@@ -26,6 +28,12 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_shards(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.token_counts import token_counts, with_limit
 
@@ -34,7 +42,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_binary": op2_token_binary,
+    "op6_exact_dedup": op6_exact_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
