@@ -28,12 +28,24 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_shards(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.token_counts import token_counts, with_limit
 
@@ -42,7 +54,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_binary": op2_token_binary,
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
 }
 
