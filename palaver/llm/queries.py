@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palaver.llm.embeddings import OP5_SQL
 from palaver.llm.exact_dedup import OP6_SQL
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +35,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.embeddings import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.exact_dedup import exact_dedup
 
@@ -61,10 +68,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_binary": op2_token_binary,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL}
