@@ -1,6 +1,8 @@
 """From raw documents to packed training batches: five stages, each one corpus operator.
 
-Stages are read from Parquet and written to Parquet; each works on all rows its predecessor kept.
+Stages are read from Parquet and written to Parquet; each works on all rows its predecessor kept, and all but the last
+return the columns of documents. Toxic documents go; of equal texts one row stays; of linked near-duplicates one document
+stays; the mixture repeats documents of scarce domains (no document goes); packing gives the batches.
 """
 
 from __future__ import annotations
@@ -8,11 +10,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palaver.llm import queries
 from palaver.llm.common import Scratch
+from palaver.llm.exact_dedup import exact_dedup
+from palaver.llm.jaccard import near_duplicates
+from palaver.llm.mixing import apply_copies, mixture
+from palaver.llm.packing import pack_documents
+from palaver.llm.toxicity import classify_toxicity
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Exponent of the domain shares in the mixture: below 1, scarce domains gain.
+EXPONENT = 0.7
 
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among ids (null ids match each other)."""
+    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = classify_toxicity(docs, queries.table(spark, sf_dir, "labels"))
+    toxic = scores.where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(toxic, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, exact_dedup(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the component's own id stays."""
+    return _keep(docs, near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    plan = mixture(docs, queries.labelled_domains(spark, sf_dir), queries.TARGETS, exponent=EXPONENT, keep_all=True)
+    return apply_copies(docs, plan)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, queries.tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Trained classifiers and dynamic programming have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

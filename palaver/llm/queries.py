@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palaver.llm.embeddings import OP5_SQL
 from palaver.llm.exact_dedup import OP6_SQL
@@ -35,6 +36,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.embeddings import near_duplicate_vectors
 
@@ -65,14 +72,31 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_limit(token_counts(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+#: Shares of the domains in the mixture of op10.
+TARGETS = {"de": 0.2, "en": 0.4, "es": 0.15, "fr": 0.25}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the rows in the label table; their language is the domain."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_binary": op2_token_binary,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_packing": op4_packing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL}
