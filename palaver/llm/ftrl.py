@@ -220,10 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, grams: Grams, p: F
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for _ in range(p.rounds):
         change = rows.repartition(p.shards, "shard").sortWithinPartitions(order).select("y", "f").mapInArrow(_round(z, n, keys, p), "i long, dz double, dn double")
-        got = change.groupBy("i").agg(F.avg("dz"), F.avg("dn")).toPandas().to_numpy()
-        at = got[:, 0].astype(np.int64)
-        z[at] += got[:, 1]
-        n[at] += got[:, 2]
+        got = change.groupBy("i").agg(F.avg("dz"), F.avg("dn")).toArrow()
+        at = got.column(0).to_numpy()
+        z[at] += got.column(1).to_numpy()
+        n[at] += got.column(2).to_numpy()
     scratch.drop("sample", "rows")
     w = _weights(z, n, p)
     bias = -z[-1] / ((p.beta + np.sqrt(n[-1])) / p.alpha + p.l2)

@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Any key gives consistent surrogates; a deployment passes its own secret.
+PII_KEY = "palaver-demo-key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.token_binary import encode_to_shards
 
@@ -88,6 +98,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_token_binary": op2_token_binary,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
