@@ -255,6 +255,12 @@ class JaccardJoin:
         self.scratch.drop(f"{name}-sets")
         return links
 
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, n, n2, met) whose overlap can be enough: heavy sets share ``met`` shingles of their prefixes, and no
+        more than those after the prefix that ends first can follow."""
+        rest = F.greatest(F.ceil(F.col("n") * NUM / DEN), F.ceil(F.col("n2") * NUM / DEN)) - 1
+        return pairs.where((F.least("n", "n2") <= self.boundary) | (F.col("met") + rest >= F.ceil((F.col("n") + F.col("n2")) * NUM / (NUM + DEN))))
+
     def _boundary(self, own: DataFrame) -> int:
         """The size up to which sets enumerate subsets, by rows written and list entries scanned."""
         small = own.where(F.col("n").between(2, self.most_light * 2))
@@ -310,22 +316,35 @@ class JaccardJoin:
             self.scratch.drop(f"lists{k}")
         return keys
 
+    @staticmethod
+    def _classes(slim: DataFrame) -> DataFrame:
+        return slim.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         often = self.docs.select("text").mapInArrow(_often, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") > self.hot_df)
         self.hot = bitmap(often, "k")
         sets = self.scratch.write(self.docs.mapInArrow(_prefixes(self._packed(self.hot)), "doc_id long, n long, s1 long, s2 long, prefix binary"), "prefixes")
         slim = sets.select("doc_id", "n", "s1", "s2")
-        classes = slim.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+        classes = self._classes(slim)
         own = sets.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "prefix")
         self.reps = self.scratch.write(own.dropDuplicates(["rep", "s1", "s2"]), "reps")
+        slim = self.scratch.write(slim, "slim")
+        classes = self._classes(slim)
+        self.scratch.drop("prefixes")
         lists = self._candidate_lists()
+        self.reps = self.scratch.write(self.reps.select("rep", "s1"), "rep-ids")
+        self.scratch.drop("reps")
 
         size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
         stars = lists.withColumn("size", size)
         least = stars.groupBy("key", "size").agg(F.min(F.struct("n", "rep")).alias("p"))
         star = stars.join(least, ["key", "size"]).where((F.col("p.rep") != F.col("rep")) & _fits(F.col("p.n"), F.col("n")))
-        star = star.select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b")).distinct()
+        star = star.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        # all keys that the two share, whoever is the least in their lists
+        shared = star.join(lists.select("key", F.col("rep").alias("a"), "n"), "a").join(lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n2")), ["key", "b"])
+        star = self._bounded(shared.groupBy("a", "b", "n", "n2").agg(F.count("*").alias("met")))
+        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = self._verified(star, "star")
         star = self.spark.read.parquet(self.scratch.path("star-pairs"))
         component = self.scratch.write(connected_components(links, self.scratch), "star-components")
@@ -335,15 +354,12 @@ class JaccardJoin:
         left = at.join(open_, "key", "left_semi").select("key", "rep", "n", "component")
         right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
         cross = left.join(right, "key").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _fits(F.col("n"), F.col("n2")))
-        # heavy sets: shared shingles of the prefixes, and all shingles after the prefix that ends first, bound the overlap
-        cross = cross.groupBy(F.col("rep").alias("a"), F.col("rep2").alias("b"), "n", "n2").agg(F.count("*").alias("met"))
-        rest = F.greatest(F.ceil(F.col("n") * NUM / DEN), F.ceil(F.col("n2") * NUM / DEN)) - 1
-        cross = cross.where((F.least("n", "n2") <= self.boundary) | (F.col("met") + rest >= F.ceil((F.col("n") + F.col("n2")) * NUM / (NUM + DEN))))
+        cross = self._bounded(cross.groupBy(F.col("rep").alias("a"), F.col("rep2").alias("b"), "n", "n2").agg(F.count("*").alias("met")))
         cross = cross.select("a", "b").join(star, ["a", "b"], "left_anti")
         more = self._verified(cross, "cross")
         joined = component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         final = connected_components(joined, Scratch(self.spark, "jaccard-components"))
-        self.scratch.drop("placed", "reps")
+        self.scratch.drop("placed")
         rows = slim.join(classes, ["n", "s1", "s2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
