@@ -1,17 +1,435 @@
-"""Names of all queries of the search and transcript operators, with their DuckDB counterparts."""
+"""Names of all queries of the search and transcript operators, with their DuckDB counterparts.
+
+Every query runs over its whole tables. Conventions of the tables are in ``plans.model``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palaver.functions import text as tx
+from palaver.functions.query import shift_months, time_range
+from palaver.operators import fold, lexical, retrieval, semantic, termindex
+from palaver.plans import store
+from palaver.plans.model import BASE, NOW, corpus, messages, table
 
 FLAGSHIP = "lex_score_documents"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# -- shared SQL of the conventions ------------------------------------------------------------------------------------
+_NORM = r"replace(lower(nfc_normalize(regexp_replace({0}, '[\s_/\-　、。〈〉《》「」『』【】〔〕〖〗！（），：；？“”‘’—…·]', ' ', 'g'))), 'ß', 'ss')"
+_CORPUS = f"""c AS (SELECT doc_id AS key, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS ts, split_part(text, chr(10), 1) AS title,
+  source AS project, text AS body, {_NORM.format("split_part(text, chr(10), 1)")} AS title_norm, {_NORM.format("source")} AS project_norm, {_NORM.format("text")} AS body_norm FROM documents)"""
+_FRESH = "2.0 * pow(2.0, -(date_diff('second', {0}, TIMESTAMP '2024-02-01') / 86400.0) / 7.0)"
+_MESSAGES = r"""m AS (SELECT key, turn, role, text, row_number() OVER (PARTITION BY key ORDER BY turn) AS ordinal FROM (
+  SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY turn) AS met FROM (
+    SELECT conv_id AS key, turn, role, text FROM conversations WHERE role <> 'system' AND trim(coalesce(text, '')) <> '')) WHERE role = 'user' OR met = 1)"""
+
+
+def _tf(field: str, word: str) -> str:
+    return f"ln(1.0 + least(len(regexp_extract_all({field}, '(?:^|[^\\p{{L}}]){word}')), 10))"
+
+
+def _near(field: str, pair: str) -> str:
+    return f"least(len(regexp_extract_all({field}, '(?:^|[^\\p{{L}}]){pair}')), 3)"
+
+
+def _score_sql(words: list[str], top: int | None, explain: bool = False, where: str = "TRUE") -> str:
+    pair = f"{words[0]} {words[1][:3]}" if len(words) > 1 else None
+    fields = {"title": 5, "project": 4, "body": 1}
+    parts = {f"{f}_tf": f"{w}.0 * ({' + '.join(_tf(f + '_norm', x) for x in words)})" for f, w in fields.items()}
+    parts |= {f"{f}_near": f"{2 * w}.0 * {_near(f + '_norm', pair) if pair else 0}" for f, w in fields.items()}
+    gate = " AND ".join(f"(regexp_matches(body_norm, '(?:^|[^\\p{{L}}]){x}') OR regexp_matches(project_norm, '(?:^|[^\\p{{L}}]){x}'))" for x in words)
+    shown = ", ".join(f"round({v}, 6) AS {k}" for k, v in parts.items()) + ", " if explain else ""
+    return f"""WITH {_CORPUS}
+SELECT key, {shown}round({" + ".join(parts.values())} + {_FRESH.format("ts")}, 6) AS score FROM c WHERE {gate} AND {where}
+ORDER BY score DESC, ts DESC, key {f"LIMIT {top}" if top else ""}"""
+
+
+# -- keyword ranking --------------------------------------------------------------------------------------------------
+def _scored(spark: SparkSession, sf_dir: str, text: str, top: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+    found = lexical.search(lexical.prepare(corpus(spark, sf_dir) if rows is None else rows), text, NOW, top)
+    return found.select("key", F.round("score", 6).alias("score"))
+
+
+@query(_score_sql(["worthless", "clown"], None))
+def lex_score_documents(spark, sf_dir):
+    """Two words: gate, weights, adjacency, recency."""
+    return _scored(spark, sf_dir, "worthless clown")
+
+
+@query(_score_sql(["and", "then"], 50))
+def lex_top_k(spark, sf_dir):
+    """The first 50 of a frequent pair: a top-k, not a sort of everything."""
+    return _scored(spark, sf_dir, "and then", 50)
+
+
+@query(_score_sql(["and"], None, explain=True))
+def lex_explain_fields(spark, sf_dir):
+    """Scores with each field's part."""
+    found = lexical.search(lexical.prepare(corpus(spark, sf_dir)), "and", NOW, explain=True)
+    return found.select("key", *[F.round(f"{f}_{p}", 6).alias(f"{f}_{p}") for f in ("title", "project", "body") for p in ("tf", "near")], F.round("score", 6).alias("score"))
+
+
+@query(_score_sql(["idiot"], None, where="ts >= TIMESTAMP '2024-01-01 02:00:00' AND ts < TIMESTAMP '2024-01-01 11:00:00'"))
+def lex_time_window(spark, sf_dir):
+    """A word inside a written time range; the upper hour counts to its end."""
+    low, high = time_range("2024-01-01T02", "2024-01-01T10", NOW)
+    return _scored(spark, sf_dir, "idiot", rows=corpus(spark, sf_dir).where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))))
+
+
+@query(f"WITH {_CORPUS} SELECT key, round({_FRESH.format('ts')}, 6) AS score FROM c ORDER BY ts DESC")
+def lex_browse_newest(spark, sf_dir):
+    """The empty query: newest first, by recency alone."""
+    return lexical.search(corpus(spark, sf_dir), "", NOW).select("key", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_CORPUS} SELECT key FROM c WHERE regexp_matches(body || ' ' || project, '(?:^|[^\\p{{L}}])The and')")
+def lex_exact_literal_sensitive(spark, sf_dir):
+    """A quoted text with a capital."""
+    return lexical.search(corpus(spark, sf_dir), '"The and"', NOW).select("key")
+
+
+@query(f"WITH {_CORPUS} SELECT key FROM c WHERE regexp_matches(lower(body || ' ' || project), '(?:^|[^\\p{{L}}])the and')")
+def lex_exact_literal_insensitive(spark, sf_dir):
+    """A quoted text without capitals matches by lower case."""
+    return lexical.search(corpus(spark, sf_dir), '"the and"', NOW).select("key")
+
+
+@query("SELECT doc_id AS key, source AS project FROM documents WHERE source NOT IN ('src1', 'src2')")
+def lex_exclude_projects(spark, sf_dir):
+    rows = corpus(spark, sf_dir).withColumns({"automated": F.lit(False), "child": F.lit(False), "cwd": F.lit(None).cast("string")})
+    return lexical.list_rows(rows, exclude=["src1", "src2"]).select("key", "project")
+
+
+@query("SELECT d.doc_id AS key FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id WHERE NOT coalesce(l.toxic = 1, FALSE)")
+def lex_hidden_kinds(spark, sf_dir):
+    """Rows that a flag from another table hides by default."""
+    flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = corpus(spark, sf_dir).join(flags.withColumnRenamed("doc_id", "key"), "key", "left")
+    rows = rows.withColumns({"automated": F.coalesce(F.col("toxic") == 1, F.lit(False)), "child": F.lit(False)})
+    return lexical.list_rows(rows).select("key")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2023-12-31 00:00:00' AND ts < TIMESTAMP '2024-01-16 00:00:00'")
+def flt_month_window(spark, sf_dir):
+    """From a calendar month before 31 January to the end of 15 January."""
+    low, high = shift_months(NOW.replace(month=1, day=31), -1), time_range(None, "2024-01-15", NOW)[1]
+    return table(spark, sf_dir, "events").where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))).select("event_id")
+
+
+# -- index path -------------------------------------------------------------------------------------------------------
+@query(rf"""WITH {_CORPUS}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
+SELECT left(word, 24) AS term, key, least(count(*), 10) AS tf FROM w GROUP BY 1, 2""")
+def idx_terms(spark, sf_dir):
+    return termindex.terms(lexical.prepare(corpus(spark, sf_dir)))
+
+
+@query(rf"""WITH {_CORPUS}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c),
+t AS (SELECT left(word, 24) AS term, key, least(count(*), 10) AS tf FROM w GROUP BY 1, 2)
+SELECT key, least(sum(tf), 10)::BIGINT AS tf FROM t WHERE starts_with(term, 'path') GROUP BY 1""")
+def idx_prefix_lookup(spark, sf_dir):
+    """A prefix range over the terms."""
+    return termindex.prefix_tf(termindex.terms(lexical.prepare(corpus(spark, sf_dir))), "path").select("key", F.col("tf").cast("long").alias("tf"))
+
+
+@query(rf"""WITH {_CORPUS}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
+SELECT key FROM w WHERE starts_with(word, 'worthless') INTERSECT SELECT key FROM w WHERE starts_with(word, 'clown')""")
+def idx_candidates(spark, sf_dir):
+    """Documents with every word, by semi-joins on the index."""
+    return termindex.candidates(termindex.terms(lexical.prepare(corpus(spark, sf_dir))), ["worthless", "clown"]).select("key")
+
+
+# -- folds ------------------------------------------------------------------------------------------------------------
+@query(f"WITH {_MESSAGES} SELECT key, turn, ordinal FROM m")
+def fold_ordinals(spark, sf_dir):
+    return fold.ordinals(messages(spark, sf_dir)).select("key", "turn", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(rf"""WITH {_MESSAGES}, p AS (SELECT key, ordinal, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM m)
+SELECT key, max(ordinal) AS message_count, count(*) FILTER (role = 'user') AS prompt_count,
+  string_agg(t, ' ... ' ORDER BY ordinal) FILTER (ordinal <= 3) AS preview_first,
+  (SELECT string_agg(q.t, ' ... ' ORDER BY q.ordinal DESC) FROM p q WHERE q.key = p.key AND q.ordinal > (SELECT max(r.ordinal) - 3 FROM p r WHERE r.key = p.key)) AS preview_last,
+  string_agg(t, ' ' ORDER BY ordinal) AS full_text, coalesce(string_agg(t, ' ' ORDER BY ordinal) FILTER (role = 'user'), '') AS own_text
+FROM p GROUP BY key""")
+def fold_conversations(spark, sf_dir):
+    rows = fold.conversations(fold.ordinals(messages(spark, sf_dir)))
+    return rows.withColumn("message_count", F.col("message_count").cast("long")).withColumn("prompt_count", F.col("prompt_count").cast("long"))
+
+
+@query("""SELECT event_id, round(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END, 6) AS delta
+FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)""")
+def fold_token_deltas(spark, sf_dir):
+    rows = fold.counter_deltas(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return rows.select("event_id", F.round("delta", 6).alias("delta"))
+
+
+@query("""SELECT user_id, CASE WHEN d > 0 THEN d END AS minutes FROM (
+SELECT user_id, floor((epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / 60)::BIGINT AS d FROM events GROUP BY 1)""")
+def fold_durations(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return rows.select("user_id", fold.duration_minutes(F.col("a"), F.col("b")).alias("minutes"))
+
+
+@query("""WITH l AS (SELECT user_id, event_type, max_by(value, ts) AS v FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
+u AS (SELECT user_id, v FROM l UNION ALL SELECT user_id, value FROM events WHERE event_type = 'error')
+SELECT user_id AS key, round(sum(v), 4) AS total_tokens FROM u GROUP BY 1""")
+def fold_total_tokens(spark, sf_dir):
+    """The last usage of each id and every anonymous one (type error)."""
+    ids = F.when(F.col("event_type") != "error", F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), ids.alias("message_id"), F.col("ts").alias("line"), F.col("value").alias("tokens"))
+    return fold.total_tokens(rows).select("key", F.round("total_tokens", 4).alias("total_tokens"))
+
+
+@query(r"""WITH w AS (SELECT conv_id AS key, lower(string_agg(text, ' ' ORDER BY turn)) AS t FROM conversations GROUP BY 1),
+s AS (SELECT key, unnest(regexp_split_to_array(t, '[^\p{L}\p{N}_]+')) AS word, generate_subscripts(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'), 1) AS pos FROM w),
+g AS (SELECT key, word, count(*) AS n, min(pos) AS first_pos FROM s WHERE length(word) BETWEEN 4 AND 40 GROUP BY 1, 2)
+SELECT key, word, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(word) DESC, first_pos) AS rank FROM g) WHERE rank <= 100""")
+def fold_route_keywords(spark, sf_dir):
+    texts = messages(spark, sf_dir).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]), " ").alias("text"))
+    return fold.keywords(texts).select("key", "word", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query(r"""WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS s FROM events),
+r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM e)
+SELECT user_id, run, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY 1, 2, 3""")
+def tool_activity_runs(spark, sf_dir):
+    return fold.tool_runs(table(spark, sf_dir, "events"))
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase,
+count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1""")
+def tool_activity_pivot(spark, sf_dir):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
+
+
+@query("""SELECT c.conv_id AS key FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' WHERE a.conv_id IS NULL""")
+def flt_empty_transcripts(spark, sf_dir):
+    """Conversations without an assistant message."""
+    return messages(spark, sf_dir).groupBy("key").agg(F.count_if(F.col("role") == "assistant").alias("n")).where("n = 0").select("key")
+
+
+# -- text scalars -----------------------------------------------------------------------------------------------------
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages""")
+def text_strip_tags_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.without_tags(F.col("html")).alias("body"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 750) || ' ' || right(text, 250) END AS body FROM documents")
+def text_bounded_head_tail(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.head_tail(F.col("text"), 1000).alias("body"))
+
+
+@query(f"WITH {_CORPUS} SELECT key, title_norm, md5(body_norm) AS body_md5 FROM c")
+def text_normalized(spark, sf_dir):
+    rows = lexical.prepare(corpus(spark, sf_dir))
+    return rows.select("key", "title_norm", F.md5("body_norm").alias("body_md5"))
+
+
+@query(r"""SELECT event_id, json_extract_string(props, '$.k') AS k, array_to_string(json_keys(props), ',') AS input_keys FROM events""")
+def text_json_fields(spark, sf_dir):
+    """Argument names and one value of a JSON payload."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.array_join(F.json_object_keys("props"), ",").alias("input_keys"))
+
+
+# -- vectors and fusion -----------------------------------------------------------------------------------------------
+_COS = """q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id AS chunk, vec_id % 100 AS key, list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)::DOUBLE[]) AS semantic FROM embeddings)"""
+
+
+def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages against the vector of row 0, a single row."""
+    vectors = table(spark, sf_dir, "embeddings")
+    one = vectors.where("vec_id = 0").select("embedding").first()[0]
+    near = semantic.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in one]))
+    return vectors.select(F.col("vec_id").alias("chunk"), (F.col("vec_id") % 100).alias("key"), near.alias("semantic")).withColumns({"lexical": F.lit(0.0), "hybrid": F.col("semantic")})
+
+
+@query(f"WITH {_COS} SELECT chunk, round(semantic, 4) AS semantic, rank FROM (SELECT *, row_number() OVER (ORDER BY semantic DESC, chunk) AS rank FROM s) WHERE rank <= 20")
+def sem_rank_chunks(spark, sf_dir):
+    top = _cosines(spark, sf_dir).orderBy(F.desc("semantic"), "chunk").limit(20)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("semantic"), "chunk"))).select("chunk", F.round("semantic", 4).alias("semantic"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_COS}, b AS (SELECT key, max(semantic) AS best, arg_max(chunk, semantic) AS chunk FROM s GROUP BY 1) SELECT key, chunk, round(best, 4) AS hybrid FROM b")
+def sem_rank_conversations(spark, sf_dir):
+    return semantic.best_per_conversation(_cosines(spark, sf_dir)).select("key", "chunk", F.round("hybrid", 4).alias("hybrid"))
+
+
+@query(f"WITH {_COS} SELECT CASE WHEN semantic >= 0.85 THEN 'strong' WHEN semantic >= 0.65 THEN 'good' WHEN semantic >= 0.35 THEN 'fair' ELSE 'weak' END AS quality, count(*) AS n FROM s GROUP BY 1")
+def sem_quality_histogram(spark, sf_dir):
+    return _cosines(spark, sf_dir).groupBy(semantic.quality(F.col("semantic")).alias("quality")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(DISTINCT sha256(text)) FILTER (NOT hit) AS misses, count(*) FILTER (hit) AS hits FROM (
+SELECT text, EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id % 2 = 0 AND c.text = d.text) AS hit FROM conversations d WHERE text IS NOT NULL)""")
+def sem_cache_misses(spark, sf_dir):
+    """Passages against a cache that holds every other conversation."""
+    rows = messages(spark, sf_dir).where("text is not null").withColumn("text_hash", semantic.content_key(F.col("text")))
+    cache = rows.where("key % 2 = 0").select("text_hash").distinct().withColumn("embedding", F.lit(None).cast("array<float>"))
+    hits, missing = semantic.cache_split(rows, cache)
+    return missing.agg(F.count("*").alias("misses")).join(hits.agg(F.count("*").alias("hits")))
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY label = 0 DESC, vec_id % 50 DESC, sha256(vec_id::VARCHAR) LIMIT 200")
+def sem_lru_prune(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") == 0).alias("protected"), (F.col("vec_id") % 50).alias("last_used"), F.sha2(F.col("vec_id").cast("string"), 256).alias("text_hash"))
+    return semantic.pruned(rows, 200).select("vec_id")
+
+
+@query()
+def sem_chunk_conversations(spark, sf_dir):
+    """Greedy passages, a fold in order: held against a plain version in the tests."""
+    return semantic.chunks(fold.ordinals(messages(spark, sf_dir)).withColumn("text", semantic.filtered_turn(F.col("text"))))
+
+
+@query()
+def sem_embed_missing(spark, sf_dir):
+    """Each distinct text embedded once."""
+    rows = messages(spark, sf_dir).where("text is not null").withColumn("text_hash", semantic.content_key(F.col("text")))
+    return semantic.embed_missing(rows, spark.createDataFrame([], "text_hash string, embedding array<float>"))
+
+
+_HITS = rf"""{_MESSAGES}, h0 AS (SELECT key, ordinal, role, {_NORM.format("text")} AS t FROM m),
+h AS (SELECT key, ordinal, role, 2 AS terms, 8.0 + 2.0 * contains(t, 'the and')::INT + 1.0 / greatest(length(t), 1) AS score FROM h0
+WHERE regexp_matches(t, '(?:^|[^\p{{L}}])the') AND regexp_matches(t, '(?:^|[^\p{{L}}])and'))"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fold.ordinals(messages(spark, sf_dir)).withColumn("text_norm", tx.normalized("text"))
+    return retrieval.message_hits(rows, ["the", "and"]).select("key", F.col("ordinal").cast("long").alias("ordinal"), "role", "score")
+
+
+@query(f"WITH {_HITS} SELECT key, ordinal, role, round(score, 6) AS score FROM h")
+def ret_message_hits(spark, sf_dir):
+    return _hits(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY floor(score * 10) DESC, score DESC, ordinal) AS place, count(*) OVER (PARTITION BY key) AS total FROM h),
+g AS (SELECT key, score AS group_score FROM r WHERE place = 1 ORDER BY score DESC, key LIMIT 10)
+SELECT r.key, ordinal, place, total, round(group_score, 6) AS group_score FROM r JOIN g ON r.key = g.key WHERE place <= 2""")
+def ret_grouped_hits(spark, sf_dir):
+    return retrieval.grouped(_hits(spark, sf_dir), 10, 2).select("key", "ordinal", F.col("place").cast("long").alias("place"), "total", F.round("group_score", 6).alias("group_score"))
+
+
+@query(f"""WITH {_HITS}, x AS (SELECT key, ordinal // 2 AS ordinal, role AS source, ordinal AS s, ordinal + 1 AS e, score, role = 'user' AS visible FROM h)
+SELECT key, ordinal, source, min(s) AS "start", max(e) AS "end", round(max(score), 6) AS score, bool_or(visible) AS visible FROM x GROUP BY 1, 2, 3""")
+def ret_dedup_merge(spark, sf_dir):
+    rows = _hits(spark, sf_dir).select("key", F.floor(F.col("ordinal") / 2).alias("ordinal"), F.col("role").alias("source"), F.col("ordinal").alias("start"), (F.col("ordinal") + 1).alias("end"), "score", (F.col("role") == "user").alias("visible"))
+    return retrieval.merged(rows).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_HITS}, {_COS}, lx AS (SELECT key, row_number() OVER (ORDER BY max(score) DESC, key) AS lex_rank FROM h GROUP BY key),
+sm AS (SELECT key, row_number() OVER (ORDER BY max(semantic) DESC, key) AS sem_rank FROM s GROUP BY key)
+SELECT coalesce(lx.key, sm.key) AS key, lex_rank, sem_rank, round(coalesce(1.0 / (60 + lex_rank), 0) + coalesce(1.0 / (60 + sem_rank), 0), 8) AS score
+FROM (SELECT * FROM lx WHERE lex_rank <= 50) lx FULL OUTER JOIN (SELECT * FROM sm WHERE sem_rank <= 50) sm ON lx.key = sm.key""")
+def hyb_rrf(spark, sf_dir):
+    """Reciprocal rank fusion of shortlists of conversations (50 each: the feature's own bound)."""
+
+    def best(rows: DataFrame, score: str) -> DataFrame:
+        top = rows.groupBy("key").agg(F.max(score).alias("s")).orderBy(F.desc("s"), "key").limit(retrieval.shortlist(10))
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "key")).cast("long"))
+
+    fused = retrieval.rrf(best(_hits(spark, sf_dir), "score"), best(_cosines(spark, sf_dir), "semantic"))
+    return fused.withColumn("score", F.round("score", 8))
+
+
+@query(f"WITH {_MESSAGES} SELECT key, ordinal, role FROM m WHERE ordinal BETWEEN 2 AND 4")
+def ret_read_window(spark, sf_dir):
+    """One message either side of the third of each conversation."""
+    rows = fold.ordinals(messages(spark, sf_dir))
+    return retrieval.read_window(rows, rows.select("key", F.lit(3).cast("long").alias("focus")).distinct(), 1).select("key", F.col("ordinal").cast("long").alias("ordinal"), "role")
+
+
+@query(f"""WITH {_MESSAGES}, o AS (SELECT *, abs(ordinal - 2) AS far FROM m),
+u AS (SELECT key, ordinal, far, sum(length(text)) OVER (PARTITION BY key ORDER BY far, ordinal DESC)::BIGINT AS used FROM o)
+SELECT key, ordinal, used FROM u WHERE used <= 900 OR far = 0""")
+def ret_budgeted_read(spark, sf_dir):
+    rows = fold.ordinals(messages(spark, sf_dir))
+    return retrieval.budgeted(rows, rows.select("key", F.lit(2).alias("focus")).distinct(), 900).select("key", F.col("ordinal").cast("long").alias("ordinal"), "used")
+
+
+@query(rf"""WITH {_MESSAGES} SELECT key, ordinal - 1 AS step, min(ordinal) AS first, max(ordinal) AS last, sum(length(text))::BIGINT AS chars,
+left(trim(regexp_replace(arg_min(text, ordinal), '\s+', ' ', 'g')), 80) AS snippet FROM m GROUP BY 1, 2""")
+def ret_outline(spark, sf_dir):
+    rows = retrieval.outline(fold.ordinals(messages(spark, sf_dir)))
+    return rows.select("key", "step", *[F.col(c).cast("long").alias(c) for c in ("first", "last", "chars")], "snippet")
+
+
+@query(r"""WITH l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+n AS (SELECT *, contains(body, 'idiot') AS hit, max(contains(body, 'idiot')::INT) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM l)
+SELECT key, line, hit FROM n WHERE near = 1""")
+def ret_line_match_context(spark, sf_dir):
+    rows = retrieval.line_matches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"), "idiot", 1)
+    return rows.select("key", F.col("line").cast("long").alias("line"), "hit")
+
+
+@query("""WITH r AS (SELECT DISTINCT sha256(doc_id::VARCHAR) AS ref FROM documents)
+SELECT ref, left(ref, 12) AS short FROM r""")
+def ref_unique_prefix(spark, sf_dir):
+    """Shortest prefixes of 12 digits and more that tell references apart."""
+    return retrieval.unique_prefixes(table(spark, sf_dir, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("ref")))
+
+
+@query("SELECT conv_id AS key, turn, 'ma_' || left(sha256(role || '|' || text), 16) AS anchor FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL")
+def ref_message_anchors(spark, sf_dir):
+    return messages(spark, sf_dir).where("text is not null and role is not null").select("key", "turn", retrieval.anchor(F.col("role"), F.col("text")).alias("anchor"))
+
+
+# -- store and incremental work ---------------------------------------------------------------------------------------
+@query("""WITH scan AS (SELECT doc_id AS path, md5(text) AS mark FROM documents WHERE doc_id % 7 <> 0),
+base AS (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE md5(text) END AS mark FROM documents WHERE doc_id % 11 <> 0)
+SELECT coalesce(s.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'add' WHEN s.path IS NULL THEN 'drop' WHEN s.mark = b.mark THEN 'keep' ELSE 'parse' END AS action
+FROM scan s FULL OUTER JOIN base b ON s.path = b.path""")
+def diff_scan_vs_store(spark, sf_dir):
+    """What a pass has to do: two states of a file list, joined in full."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("mark"))
+    base = files.where("path % 11 <> 0").withColumn("mark", F.when(F.col("path") % 5 == 0, F.lit("old")).otherwise(F.col("mark")))
+    return store.diff(files.where("path % 7 <> 0"), base)
+
+
+@query("""SELECT a.conv_id AS key FROM (SELECT DISTINCT conv_id FROM conversations) a WHERE a.conv_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
+def anti_skipped(spark, sf_dir):
+    """Keys that another table lacks."""
+    return messages(spark, sf_dir).select("key").distinct().join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")), "key", "left_anti")
+
+
+@query("""SELECT p.c_custkey AS parent, count(o.o_orderkey) AS children FROM customer p LEFT JOIN orders o ON o.o_custkey = p.c_custkey GROUP BY 1""")
+def join_parent_children(spark, sf_dir):
+    """Children of each parent, none too."""
+    kids = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("parent")).agg(F.count("o_orderkey").alias("children"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("parent")).join(kids, "parent", "left").na.fill(0, ["children"])
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS s FROM events),
+r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e)
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM r GROUP BY user_id, run""")
+def str_quiet_sessions(spark, sf_dir):
+    """Bursts of writes that a quiet half-hour ends."""
+    from palaver.streaming.quiet import quiet_sessions
+
+    return quiet_sessions(table(spark, sf_dir, "events"), "30 minutes")
