@@ -40,4 +40,4 @@ def candidates(index: DataFrame, words: list[str]) -> DataFrame:
 
 def merged(base: DataFrame, delta: DataFrame, dead: DataFrame) -> DataFrame:
     """A base index without dead keys, and a delta."""
-    return base.join(dead.select("key").distinct(), "key", "left_anti").unionByName(delta)
+    return base.join(dead.select("key").distinct(), "key", "left_anti").select(*base.columns).unionByName(delta)
