@@ -53,7 +53,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], params: MixP
     share = min(1.0, params.sample_rows / max(labelled.count(), 1))
     # about sample_rows rows whatever the size of the labelled table
     picked = F.broadcast(labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(params.seed)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    words = _words(docs.join(picked, "doc_id"), "domain").where("word <> ''")
+    words = _words(docs.select("doc_id", "text").join(picked, "doc_id"), "domain").where("word <> ''")
     counts = words.groupBy(_bucket(params).alias("bucket")).pivot("domain", domains).count()
     counts = Scratch(docs.sparkSession, "mixing").write(counts.na.fill(0), "counts")
     totals = counts.agg(*[F.coalesce(F.sum(F.col(f"`{d}`")), F.lit(0)).alias(d) for d in domains]).first()
