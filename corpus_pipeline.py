@@ -36,7 +36,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    scratch = Scratch(spark, "copies")
+    kept = scratch.write(exact_dedup(docs, scratch=scratch).where("kept").select("doc_id"), "kept")
+    scratch.drop("spill")
+    return _keep(docs, kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

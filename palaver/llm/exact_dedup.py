@@ -153,10 +153,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def exact_dedup(docs: DataFrame, bucket_bytes: int = 64_000_000, table_bytes: int = 16_000_000, levels: int = 4) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of each row of (doc_id, text)."""
+def exact_dedup(docs: DataFrame, bucket_bytes: int = 64_000_000, table_bytes: int = 16_000_000, levels: int = 4, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of each row of (doc_id, text). The spill table stays in ``scratch`` as
+    long as the result is read; a caller that stores the result may drop ``spill``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
+    scratch = scratch or Scratch(spark, "exact")
     spill = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(table_bytes), _SPILL), "spill")
     left = spill.where("hash is not null")
     merged = None
