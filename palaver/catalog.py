@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from palaver.functions import text as tx
 from palaver.functions.query import shift_months, time_range
-from palaver.operators import fold, lexical, retrieval, semantic, termindex
+from palaver.operators import evidence, export, fold, lexical, retrieval, semantic, termindex
 from palaver.plans import store
-from palaver.plans.model import BASE, NOW, corpus, messages, table
+from palaver.plans.model import NOW, corpus, messages, table
 
 FLAGSHIP = "lex_score_documents"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,6 +400,61 @@ def ref_message_anchors(spark, sf_dir):
     return messages(spark, sf_dir).where("text is not null and role is not null").select("key", "turn", retrieval.anchor(F.col("role"), F.col("text")).alias("anchor"))
 
 
+@query(rf"""WITH {_MESSAGES}, h0 AS (SELECT key, ordinal, {_NORM.format("text")} AS t FROM m),
+h AS (SELECT *, regexp_matches(t, '(?:^|[^\p{{L}}])that')::INT + regexp_matches(t, '(?:^|[^\p{{L}}])idiot')::INT AS terms FROM h0),
+s AS (SELECT *, max((terms = 2)::INT) OVER (PARTITION BY key) AS strict FROM h WHERE terms > 0)
+SELECT key, ordinal, terms FROM s WHERE terms = 2 OR strict = 0""")
+def ret_partial_fallback(spark, sf_dir):
+    """Messages with every word, or some words where a conversation has none with all."""
+    rows = fold.ordinals(messages(spark, sf_dir)).withColumn("text_norm", tx.normalized("text"))
+    return retrieval.message_hits(rows, ["that", "idiot"], partial=True).select("key", F.col("ordinal").cast("long").alias("ordinal"), F.col("terms").cast("int").alias("terms"))
+
+
+@query(f"WITH {_HITS} SELECT key, ordinal, round(score, 6) AS score FROM h WHERE role = 'user'")
+def ret_user_only(spark, sf_dir):
+    return _hits(spark, sf_dir).where("role = 'user'").select("key", "ordinal", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_MESSAGES} SELECT key, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY ordinal) AS body FROM m GROUP BY 1")
+def rnd_export_plain(spark, sf_dir):
+    return export.export(fold.ordinals(messages(spark, sf_dir)))
+
+
+@query("SELECT event_id, 'tool ' || event_type || ' input_keys=' || array_to_string(json_keys(props), ',') AS line FROM events")
+def rnd_tool_summary(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", export.tool_summary(F.col("event_type"), F.col("props")).alias("line"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]+)/?$', 1) AS name, starts_with(url, 'https://example.com/') OR url = 'https://example.com' AS inside FROM pages")
+def flt_project_paths(spark, sf_dir):
+    """Short names and containment of paths."""
+    return table(spark, sf_dir, "pages").select("page_id", export.short_name(F.col("url")).alias("name"), export.within(F.col("url"), "https://example.com").alias("inside"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 172800 THEN (s // 3600)::VARCHAR || 'h' ELSE (s // 86400)::VARCHAR || 'd' END AS age
+FROM (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-02-01') AS s FROM events)""")
+def text_ages(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", export.age(F.lit(int(NOW.timestamp())) - F.unix_timestamp("ts")).alias("age"))
+
+
+@query("""SELECT doc_id AS key, round(0.2 * (contains(lower(text), 'idiot')::INT + contains(lower(text), 'clown')::INT) / 2, 4) AS lexical FROM documents""")
+def sem_overlap(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.round(semantic.overlap(F.col("text"), ["idiot", "clown"]), 4).alias("lexical"))
+
+
+@query()
+def evd_snippets(spark, sf_dir):
+    """Excerpts of a ranked page (its 50 rows are the feature's bound)."""
+    found = lexical.search(lexical.prepare(corpus(spark, sf_dir)), "worthless clown", NOW, 50)
+    return found.select("key", evidence.evidence(["worthless", "clown"], 80)("body").alias("evidence"))
+
+
+@query()
+def ref_conversation_refs(spark, sf_dir):
+    keys = messages(spark, sf_dir).select("key").distinct()
+    return keys.select("key", retrieval.conversation_ref(F.lit("flat"), F.lit("/"), F.col("key").cast("string")).alias("ref"))
+
+
 # -- store and incremental work ---------------------------------------------------------------------------------------
 @query("""WITH scan AS (SELECT doc_id AS path, md5(text) AS mark FROM documents WHERE doc_id % 7 <> 0),
 base AS (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE md5(text) END AS mark FROM documents WHERE doc_id % 11 <> 0)
