@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,10 +147,12 @@ def _prefixes(packed: bytes):
     return run
 
 
-def _keys(boundary: int):
-    """Rows (key, rep, n) of each set: 2-subsets for light sets, single shingles for heavy and border sets."""
+def _keys(boundary: int, only: bytes | None = None):
+    """Rows (key, rep, n) of each set: 2-subsets for light sets, single shingles for heavy and border sets; ``only`` is a
+    bitmap of the keys wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else np.unpackbits(np.frombuffer(only, dtype=np.uint8)).astype(bool)
         for b in batches:
             keys, reps, sizes = [], [], []
             for rep, n, prefix in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -164,6 +165,8 @@ def _keys(boundary: int):
                 if n > boundary or NUM * (boundary + 1) <= DEN * n:
                     own.append(t[: max(1, len(t) - 1)])
                 for k in own:
+                    if wanted is not None:
+                        k = k[wanted[(k & np.uint64(_BITS - 1)).astype(np.int64)]]
                     keys.append(k)
                     reps.append(np.full(len(k), rep, dtype=np.int64))
                     sizes.append(np.full(len(k), n, dtype=np.int32))
@@ -193,6 +196,17 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "rep", "n"])
 
 
+def _outside(packed: bytes):
+    """Rows (key, ...) whose key is not in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(~inside[b.column(0).to_numpy() & (_BITS - 1)]))
+
+    return run
+
+
 def _sets_of(wanted_packed: bytes):
     """(doc_id, s1, set) of the rows that may be wanted: (doc_id, position, text)."""
 
@@ -213,7 +227,7 @@ def _sets_of(wanted_packed: bytes):
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (a, b, set_a, set_b): the pairs that link."""
-    for b in batches:
+    for b in (x.slice(at, 500) for x in batches for at in range(0, len(x), 500)):
         keep = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -280,17 +294,20 @@ class JaccardJoin:
         return min(range(self.most_light + 1), key=cost)
 
     def _candidate_lists(self) -> DataFrame:
-        keys = None
-        own = self.reps
+        own, lists, only = self.reps, None, None
+        self.boundary = self._boundary(own)
         for k in range(self.rounds):
-            if k == 0:
-                self.boundary = self._boundary(own)
-            rows = own.where("n > 1").select("rep", "n", "prefix").mapInArrow(_keys(self.boundary), "key long, rep long, n int")
-            lists = self.scratch.write(rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_lists, "key long, rep long, n int"), f"lists{k}")
+            rows = own.where("n > 1").select("rep", "n", "prefix").mapInArrow(_keys(self.boundary, only), "key long, rep long, n int")
+            met = rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_lists, "key long, rep long, n int")
+            if lists is not None:
+                # only keys that a moved set now has are dealt again; other lists just lose the moved sets
+                met = met.unionByName(lists.mapInArrow(_outside(only), "key long, rep long, n int").join(moved, "rep", "left_anti"))
+            before, lists = lists, self.scratch.write(met.select("key", "rep", "n"), f"lists{k}")
+            if before is not None:
+                self.scratch.drop(f"lists{k - 1}")
             long_ = lists.groupBy("key").count().where(F.col("count") > self.hot_df).select("key")
             known = self.hot
             news = bitmap(long_, "key") & ~known
-            keys = lists
             if not news.any() or k == self.rounds - 1:
                 break
             # sets with a newly frequent shingle take later shingles in its place
@@ -312,9 +329,10 @@ class JaccardJoin:
             fresh = self.docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)).alias("at"), "text").mapInArrow(redo, "doc_id long, n long, s1 long, s2 long, prefix binary")
             fresh = fresh.join(moved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "prefix")
             fresh = fresh.join(own.select("rep", "s1"), ["rep", "s1"], "left_semi").select(*own.columns).dropDuplicates(["rep", "s1"])
-            own = self.scratch.write(own.join(moved, "rep", "left_anti").unionByName(fresh), f"own{k}")
-            self.scratch.drop(f"lists{k}")
-        return keys
+            fresh = self.scratch.write(fresh, f"fresh{k}")
+            own = own.join(moved, "rep", "left_anti").unionByName(fresh)
+            only = self._packed(bitmap(fresh.select("rep", "n", "prefix").mapInArrow(_keys(self.boundary), "key long, rep long, n int"), "key"))
+        return lists
 
     @staticmethod
     def _classes(slim: DataFrame) -> DataFrame:
