@@ -1,15 +1,15 @@
 """From raw documents to packed training batches: five stages, each one corpus operator.
 
 Stages are read from Parquet and written to Parquet; each works on all rows its predecessor kept, and all but the last
-return the columns of documents. Toxic documents go; of equal texts one row stays; of linked near-duplicates one document
-stays; the mixture repeats documents of scarce domains (no document goes); packing gives the batches.
+return the columns of documents. Toxic rows go; of equal texts one row stays; of linked near-duplicates one row stays
+(null and repeated ids join nothing: rows are told apart by a number that the stage gives them); the mixture repeats documents of scarce domains (no document goes); packing gives the batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import queries
@@ -18,33 +18,51 @@ from palaver.llm.exact_dedup import exact_dedup
 from palaver.llm.jaccard import near_duplicates
 from palaver.llm.mixing import apply_copies, mixture
 from palaver.llm.packing import pack_documents
-from palaver.llm.toxicity import classify_toxicity
+from palaver.llm.toxicity import without_toxic
 
 #: Exponent of the domain shares in the mixture: below 1, scarce domains gain.
 EXPONENT = 0.7
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids (null ids match each other)."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+#: The row number that a stage gives, keeps in its stored copy and takes off again; no column of documents has this name.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A stored copy of docs with a number for each row, so that every reading meets the same numbers."""
+    return scratch.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _one_each(numbered: DataFrame, groups: DataFrame, *order: Column) -> DataFrame:
+    """Of each group of (row, group) the row that is first by order, smallest doc_id (null last) and number."""
+    doc_id = F.col("doc_id").cast("long")
+    keys = [k.alias(f"k{i}") for i, k in enumerate([*order, doc_id.isNull(), doc_id, F.col(ROW)])]
+    placed = numbered.select(ROW, F.struct(*keys).alias("at")).join(groups, ROW)
+    kept = placed.groupBy("group").agg(F.min("at").alias("at")).select(F.col(f"at.k{len(keys) - 1}").alias(ROW))
+    return numbered.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in numbered.columns if c != ROW])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = classify_toxicity(docs, queries.table(spark, sf_dir, "labels"))
-    toxic = scores.where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """Rows are scored and filtered where they are read, so an id decides nothing."""
+    return without_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the most code points stays, then the one with the smallest doc_id."""
     scratch = Scratch(spark, "copies")
-    kept = scratch.write(exact_dedup(docs, scratch=scratch).where("kept").select("doc_id"), "kept")
+    rows = _numbered(docs, scratch)
+    found = exact_dedup(rows.select(F.col(ROW).alias("doc_id"), "text"), scratch=scratch)
+    groups = scratch.write(found.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")), "groups")
     scratch.drop("spill")
-    return _keep(docs, kept)
+    return _one_each(rows, groups, -F.length(F.coalesce("text", F.lit(""))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the component's own id stays."""
-    return _keep(docs, near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Rows are documents of their own; of each component the one with the smallest doc_id stays."""
+    scratch = Scratch(spark, "near-copies")
+    rows = _numbered(docs, scratch)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    return _one_each(rows, found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
