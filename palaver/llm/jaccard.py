@@ -13,8 +13,10 @@ all, and two among one more (overlap is at least ceil(0.75 n)). The order puts s
   list length measured on small sets.
 
 Lists. One shuffle deals the keys, and a pass over each sorted partition keeps the lists of two and more sets. If a list
-is longer than ``hot_df`` and its shingle was not known as frequent, it joins the frequent ones (a fixed-size bitmap) and
-only the sets that hold it get new prefixes.
+of a single shingle is longer than ``hot_df`` and the shingle was not known as frequent, it joins the frequent ones (a
+fixed-size bitmap), and every set whose prefix holds a shingle of a new bit gets a new prefix. The other sets have the same
+prefix in the new order (new frequent shingles only move behind it), so one order holds for all. Keys of single shingles
+have their highest bit set and those of pairs have not.
 
 Links. First each list links its members to the least of their size class (a star); verified links give components. Then
 every list that still joins several components compares their members across components. A pair inside a component can
@@ -40,6 +42,7 @@ WORDS = 5
 NUM, DEN = 3, 4  # similarity 0.75
 _BITS = 1 << 24
 _K = np.uint64(0x9E3779B97F4A7C15)
+_ONE = np.uint64(1 << 63)  # set in keys of single shingles
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +164,9 @@ def _keys(boundary: int, only: bytes | None = None):
                 if n <= boundary and len(t) > 1:
                     i, j = np.triu_indices(len(t), 1)
                     low, high = np.minimum(t[i], t[j]), np.maximum(t[i], t[j])
-                    own.append(mix64(mix64(low) * _K + high))
+                    own.append(mix64(mix64(low) * _K + high) & ~_ONE)
                 if n > boundary or NUM * (boundary + 1) <= DEN * n:
-                    own.append(t[: max(1, len(t) - 1)])
+                    own.append(t[: max(1, len(t) - 1)] | _ONE)
                 for k in own:
                     if wanted is not None:
                         k = k[wanted[(k & np.uint64(_BITS - 1)).astype(np.int64)]]
@@ -207,6 +210,18 @@ def _outside(packed: bytes):
     return run
 
 
+def _holding(packed: bytes):
+    """Of (rep, prefix): the rep of each set whose prefix holds a shingle of a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        for b in batches:
+            hit = [inside[(np.frombuffer(t, dtype=np.uint64) & np.uint64(_BITS - 1)).astype(np.int64)].any() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], ["rep"])
+
+    return run
+
+
 def _sets_of(wanted_packed: bytes):
     """(doc_id, s1, set) of the rows that may be wanted: (doc_id, position, text)."""
 
@@ -305,13 +320,14 @@ class JaccardJoin:
             before, lists = lists, self.scratch.write(met.select("key", "rep", "n"), f"lists{k}")
             if before is not None:
                 self.scratch.drop(f"lists{k - 1}")
-            long_ = lists.groupBy("key").count().where(F.col("count") > self.hot_df).select("key")
+            long_ = lists.where("key < 0").groupBy("key").count().where(F.col("count") > self.hot_df).select("key")
             known = self.hot
             news = bitmap(long_, "key") & ~known
             if not news.any() or k == self.rounds - 1:
                 break
-            # sets with a newly frequent shingle take later shingles in its place
-            moved = lists.join(long_, "key", "left_semi").select("rep").distinct()
+            # sets with a newly frequent shingle anywhere in their prefix take later shingles in its place, whether or not
+            # they stand in its list: all prefixes follow one order
+            moved = own.where("n > 1").select("rep", "prefix").mapInArrow(_holding(self._packed(news)), "rep long").distinct()
             moved = self.scratch.write(moved, f"moved{k}")
             self.hot = known | news
             again = bitmap(moved.select(F.xxhash64("rep").alias("h")), "h")
