@@ -1,41 +1,82 @@
-"""An inverted index of word starts: terms with capped counts by document, sorted by term, looked up by prefix range."""
+"""An inverted index of word starts: terms with capped counts by document, sorted by term, looked up by prefix range.
+
+A term is a run of letters or of digits cut to 24 characters. A search word is looked up by its first run, cut alike; where
+that is not the whole word, the documents found are a superset, and their normalised text decides.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+from functools import reduce
+from itertools import takewhile
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions.text import at_word_start, count_at_word_start
+
 TERM_CHARS, TF_CAP = 24, 10
+#: The fields in which the search gate accepts a word.
+SEARCHED = ("body_norm", "project_norm")
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """(term, key, tf) of (key, body_norm): each word from its start, cut to a bounded length."""
-    words = docs.select("key", F.explode(F.regexp_extract_all("body_norm", F.lit(r"\p{L}+|\p{N}+"), 0)).alias("word"))
+def terms(docs: DataFrame, fields: tuple[str, ...] = ("body_norm",)) -> DataFrame:
+    """(term, key, tf) of key and normalised fields: each word from its start, cut to a bounded length."""
+    found = [F.regexp_extract_all(F.coalesce(f, F.lit("")), F.lit(r"\p{L}+|\p{N}+"), 0) for f in fields]
+    words = docs.select("key", F.explode(F.concat(*found)).alias("word"))
     return words.groupBy(F.left("word", F.lit(TERM_CHARS)).alias("term"), "key").agg(F.least(F.count("*"), F.lit(TF_CAP)).alias("tf"))
 
 
-def write_index(docs: DataFrame, path: str, files: int = 64) -> None:
+def write_index(docs: DataFrame, path: str, files: int = 64, fields: tuple[str, ...] = ("body_norm",)) -> None:
     """Range-partitioned and sorted by term, so a prefix lookup skips files and row groups by their statistics."""
-    terms(docs).repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    terms(docs, fields).repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def looked_up(word: str) -> str:
+    """What of a word the terms can answer: its first run of letters or of digits, cut as terms are."""
+    kind = unicodedata.category(word[0])[0]
+    return "".join(takewhile(lambda c: unicodedata.category(c)[0] == kind, word))[:TERM_CHARS] if kind in "LN" else ""
 
 
 def successor(prefix: str) -> str:
     return prefix[:-1] + chr(ord(prefix[-1]) + 1)
 
 
-def prefix_tf(index: DataFrame, prefix: str) -> DataFrame:
-    """(key, tf) of words that start with ``prefix``; the range reaches the scan."""
-    hit = index.where((F.col("term") >= prefix) & (F.col("term") < successor(prefix)))
+def _in_terms(index: DataFrame, start: str) -> DataFrame:
+    hit = index.where((F.col("term") >= start) & (F.col("term") < successor(start)))
     return hit.groupBy("key").agg(F.least(F.sum("tf"), F.lit(TF_CAP)).alias("tf"))
 
 
-def candidates(index: DataFrame, words: list[str]) -> DataFrame:
-    """Keys that hold every word: one semi-join a word, the longest (rarest) first."""
-    order = sorted(words, key=len, reverse=True)
-    found = prefix_tf(index, order[0]).select("key")
-    for w in order[1:]:
-        found = found.join(prefix_tf(index, w), "key", "left_semi")
-    return found
+def prefix_tf(index: DataFrame, prefix: str, docs: DataFrame | None = None, fields: tuple[str, ...] = ("body_norm",)) -> DataFrame:
+    """(key, tf) of words that start with ``prefix``; the range reaches the scan. A prefix that terms cannot answer whole
+    is counted in the ``fields`` of ``docs``, the indexed ones, at the keys that its start finds."""
+    start = looked_up(prefix)
+    if start == prefix:
+        return _in_terms(index, prefix)
+    if docs is None:
+        raise ValueError(f"terms hold {start!r} of {prefix!r}: pass the documents")
+    may = docs.join(_in_terms(index, start).select("key"), "key", "left_semi") if start else docs
+    tf: Column = reduce(lambda a, b: a + b, [count_at_word_start(F.coalesce(f, F.lit("")), prefix, TF_CAP) for f in fields])
+    return may.select("key", F.least(tf, F.lit(TF_CAP)).cast("long").alias("tf")).where("tf > 0")
+
+
+def candidates(index: DataFrame, words: list[str], docs: DataFrame | None = None, fields: tuple[str, ...] = ("body_norm",)) -> DataFrame:
+    """Keys that hold every word: one semi-join a word, the longest (rarest) first. Words that terms cannot answer whole are
+    looked for in the ``fields`` of ``docs`` at the keys that are left, in one reading."""
+    starts = sorted(filter(None, map(looked_up, words)), key=len, reverse=True)
+    found = None
+    for w in starts:
+        keys = _in_terms(index, w).select("key")
+        found = keys if found is None else found.join(keys, "key", "left_semi")
+    open_ = [w for w in words if looked_up(w) != w]
+    if not open_:
+        return found
+    if docs is None:
+        raise ValueError(f"terms do not hold the whole of {open_}: pass the documents")
+    may = docs if found is None else docs.join(found, "key", "left_semi")
+    for w in open_:
+        may = may.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(f).rlike(at_word_start(w)), F.lit(False)) for f in fields]))
+    return may.select("key")
 
 
 def merged(base: DataFrame, delta: DataFrame, dead: DataFrame) -> DataFrame:
