@@ -2,7 +2,8 @@
 
 Stages are read from Parquet and written to Parquet; each works on all rows its predecessor kept, and all but the last
 return the columns of documents. Toxic rows go; of equal texts one row stays; of linked near-duplicates one row stays
-(null and repeated ids join nothing: rows are told apart by a number that the stage gives them); the mixture repeats documents of scarce domains (no document goes); packing gives the batches.
+(null and repeated ids join nothing: rows are told apart by a number that the stage gives them); the mixture
+repeats documents of domains below their target weight (no document goes); packing gives the batches.
 """
 
 from __future__ import annotations
@@ -20,9 +21,6 @@ from palaver.llm.mixing import apply_copies, mixture
 from palaver.llm.packing import pack_documents
 from palaver.llm.toxicity import without_toxic
 
-#: Exponent of the domain shares in the mixture: below 1, scarce domains gain.
-EXPONENT = 0.7
-
 
 #: The row number that a stage gives, keeps in its stored copy and takes off again; no column of documents has this name.
 ROW = "__row"
@@ -66,7 +64,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixture(docs, queries.labelled_domains(spark, sf_dir), queries.TARGETS, exponent=EXPONENT, keep_all=True)
+    """To the target weights of op10, with no rate below 1."""
+    plan = mixture(docs, queries.labelled_domains(spark, sf_dir), queries.TARGETS, keep_all=True)
     return apply_copies(docs, plan)
 
 

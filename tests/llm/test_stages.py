@@ -1,4 +1,8 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from palaver.llm import queries
+from palaver.llm.mixing import memberships
 from palaver.llm.toxicity import classify_toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +37,15 @@ def test_one_row_of_near_copies_stays(spark):
     rows = [(8, NICE), (8, NICE), (2, NICE + " today"), (None, NICE + " now"), (8, far), (None, far + " too"), (None, "lone words of one row"), (None, None), (1, ""), (1, "")]
     _, got = through(spark, corpus_pipeline.drop_near_copies, rows)
     assert [r.lang for r in got] == [2, 4, 6, 7, 8, 9]
+
+
+def test_mix_meets_the_targets(spark):
+    dir_ = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{dir_}/documents.parquet")
+    domains = sorted(queries.TARGETS)
+    members = memberships(docs, queries.labelled_domains(spark, dir_), domains).withColumnRenamed("doc_id", "id")
+    mixed = corpus_pipeline.mix(spark, docs, dir_).join(members, F.col("doc_id").eqNullSafe(F.col("id")))
+    sums = mixed.agg(*[F.sum(F.col("n_tokens") * F.col("p")[k]) for k in range(len(domains))], F.countDistinct("doc_id")).first()
+    for d, x in zip(domains, sums, strict=False):
+        assert abs(x / sum(sums[: len(domains)]) - queries.TARGETS[d]) < 0.02
+    assert sums[-1] == docs.where("doc_id is not null").select("doc_id").distinct().count()
