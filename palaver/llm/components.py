@@ -6,6 +6,8 @@ gathered; each round's edges are written to the shared folder. Rounds grow with
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,14 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.union(down.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 40) -> DataFrame:
-    """(node, component) of every node in (a, b); component is the smallest node reachable."""
+def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int | None = None) -> DataFrame:
+    """(node, component) of every node in (a, b); component is the smallest node reachable. Rounds go on until one changes
+    nothing; with ``most_rounds`` it is an error if that many do not get there."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before, last = None, None
-    for k in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError(f"components still changed after {most_rounds} rounds")
         now = scratch.write(now if k == 0 else _star(now), f"components{k}")
         if last:
             scratch.drop(last)
