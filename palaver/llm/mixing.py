@@ -9,6 +9,10 @@
    domain over all documents. A document's rate is a fold over the (few, small) errors of the steps so far, so no
    state is written between steps and nothing per document reaches the driver.
 
+Steps go on until the totals of the rates themselves are within ``tolerance`` of the targets. Where posteriors cannot give
+the targets, they end when, beyond ``steps`` of them, the later half has not made the gap a tenth smaller, with a warning
+that names the totals reached.
+
 With ``keep_all`` no rate is below 1 and the total grows to what the scarcest domain needs; otherwise the total stays.
 Rates become copies by rounding with a hash of the document, so the expectation holds.
 
@@ -19,6 +23,7 @@ are uniform; an empty table gives an empty plan.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from math import sqrt
 
@@ -101,9 +106,6 @@ class Fit:
     def rate(self) -> Column:
         return self._fold()["r"]
 
-    def ahead(self) -> Column:
-        return self._fold()["y"]
-
 
 def fit(members: DataFrame, k: int, targets: list[float] | float, keep_all: bool = False, params: MixParams = MixParams()) -> tuple[Fit, dict[str, list[float]]]:
     """Rates whose expected totals meet the targets over ``k`` domains: shares by domain, or an exponent that smooths the
@@ -120,13 +122,19 @@ def fit(members: DataFrame, k: int, targets: list[float] | float, keep_all: bool
     total = max(h / w for h, w in zip(have, want, strict=True) if w > 0) if keep_all else have.sum()
     fitted = Fit(float(keep_all), float(total / max(np.linalg.eigvalsh(spread).max(), 1e-9)), [], [])
     t = 1.0
-    got = have
-    for _ in range(params.steps):
-        sums = members.agg(*[F.sum(n * fitted.ahead() * F.col("p")[i]) for i in range(k)]).first()
-        got = np.array([float(x) for x in sums])
-        gap = got / total - want
-        if np.abs(gap).max() < params.tolerance:
+    gaps = []
+    while True:
+        at = fitted._fold()
+        sums = members.agg(*[F.sum(n * at[x] * F.col("p")[i]) for x in "ry" for i in range(k)]).first()
+        got = np.array([float(x) for x in sums[:k]])
+        gaps.append(np.abs(got / total - want).max())
+        if gaps[-1] < params.tolerance:
+            break
+        half = len(gaps) // 2
+        if len(gaps) > params.steps and min(gaps[half:]) > 0.9 * min(gaps[:half]):
+            warnings.warn(f"targets {want.round(4).tolist()} not reached: {(got / total).round(4).tolist()} after {len(gaps)} steps", stacklevel=2)
             break
+        gap = np.array([float(x) for x in sums[k:]]) / total - want
         later = (1 + sqrt(1 + 4 * t * t)) / 2
         fitted.errors.append(gap.tolist())
         fitted.momenta.append((t - 1) / later)
