@@ -1,29 +1,35 @@
 """Near-duplicate documents by an exact, size-aware, heavy-light Jaccard join on word shingles.
 
-Sets are the distinct 5-word shingles of a text (64-bit hashes). Rows with equal sets form a class; from there on only
-one representative of each class takes part, so copies never meet in pairs.
+Sets are the distinct 5-word shingles of a text (54-bit hashes). A set's content hash names its class: rows with equal sets
+are one class from the start, so copies never meet in pairs.
 
-Candidates. Two sets that link share a shingle among their first n - ceil(0.75 n) + 1 shingles in any order common to
-all, and two among one more (overlap is at least ceil(0.75 n)). The order puts shingles that many documents share last.
+Order. One pass counts in how many texts each shingle stands (two bytes a shingle travel); those in more
+than ``hot_df`` texts, the ``most_hot`` most frequent of them if there are more, come last in the order of their counts,
+all others come first in the order of their hashes. This one order holds for all sets and never changes; any order gives
+the same links, this one gives short lists.
 
-* light sets (n up to a boundary) enumerate their 2-subsets of that longer prefix; a subset is a key of its own;
+Candidates. Two sets that link share a shingle among their first p = n - ceil(0.75 n) + 1 shingles in the common order, and
+two among the first p + 1 (their overlap is at least ceil(0.75 n)).
+
+* light sets (n up to a boundary) enumerate the 2-subsets of that longer prefix; a subset is a key of its own;
 * heavy sets, and light ones that a heavy set can reach (n >= 0.75 (boundary + 1)), stand in the inverted lists of the
-  single shingles of the shorter prefix;
+  single shingles of the shorter prefix, with their places: at the first shingle that two linked sets share, neither has
+  too little left behind it to reach the overlap, so pairs with less are not made;
 * the boundary minimises the rows written plus the list entries scanned, from the histogram of small sizes and the mean
   list length measured on small sets.
 
-Lists. One shuffle deals the keys, and a pass over each sorted partition keeps the lists of two and more sets. If a list
-of a single shingle is longer than ``hot_df`` and the shingle was not known as frequent, it joins the frequent ones (a
-fixed-size bitmap), and every set whose prefix holds a shingle of a new bit gets a new prefix. The other sets have the same
-prefix in the new order (new frequent shingles only move behind it), so one order holds for all. Keys of single shingles
-have their highest bit set and those of pairs have not.
+Lists. One shuffle deals and sorts the keys. Lists up to ``short`` give their pairs where they lie. Longer lists never do:
+their entries meet the sets' sketches and are dealt in pairs of blocks, so no list lies in one task, and only pairs that
+their sketches let pass come out. A sketch holds, at each of 4 n or so places, the parity of the shingles hashed there;
+two sketches differ in at most as many places as the sets differ in shingles, so nothing that links is lost.
 
-Links. First each list links its members to the least of their size class (a star); verified links give components. Then
-every list that still joins several components compares their members across components. A pair inside a component can
-not change it, so the result is that of all pairs. Verification intersects whole sets.
+Links. First each set meets the first set that its lists and sketches offer; exact overlaps of whole sets give components.
+Then all offers between different components are verified. A pair inside a component can not change it, so the result is
+that of all pairs.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words are one shingle;
-rows that share a doc_id count as one document; an empty table gives an empty result; other columns are not read.
+each row is a document of its own, also where rows share an id or have none (such a row alone has a null component);
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,269 +38,375 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import Scratch, byte_slices, filled, mix64, pieces_of
+from palaver.llm.common import Scratch, batches_of, mix64
 from palaver.llm.components import connected_components
+from palaver.llm.prints import SPREAD, counted, spread
+from palaver.llm.shingles import BITS, K, contents, shingle_sets, slices
 
-WORDS = 5
 NUM, DEN = 3, 4  # similarity 0.75
-_BITS = 1 << 24
-_K = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1 << 63)  # set in keys of single shingles
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every shingle, repeats included, rows ascending."""
-    import xxhash
-
-    offsets, pieces, codes = pieces_of(texts)
-    of_piece = np.fromiter((xxhash.xxh64_intdigest(p.encode().lower()) for p in pieces), dtype=np.uint64, count=len(pieces))
-    blank = np.fromiter((not p for p in pieces), dtype=bool, count=len(pieces))
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    word = ~blank[codes]
-    h, row = of_piece[codes][word], row[word]
-    g, k = h, len(h)
-    counts = np.bincount(row, minlength=len(texts))
-    if k >= WORDS:
-        g = h[: k - WORDS + 1].copy()
-        for i in range(1, WORDS):
-            g = mix64(g * _K + h[i : k - WORDS + 1 + i])
-        own = row[: k - WORDS + 1] == row[WORDS - 1 :]
-        g, rows = g[own], row[: k - WORDS + 1][own]
-    else:
-        g, rows = g[:0], row[:0]
-    short = np.flatnonzero((counts > 0) & (counts < WORDS))
-    if len(short):
-        starts = np.cumsum(counts) - counts
-        whole = np.empty(len(short), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for j, r in enumerate(short):
-                x = mix64(np.array([counts[r]], dtype=np.uint64))
-                for w in h[starts[r] : starts[r] + counts[r]]:
-                    x = mix64(x * _K + w)
-                whole[j] = x[0]
-        g, rows = np.concatenate([g, whole]), np.concatenate([rows, short])
-        order = np.argsort(rows, kind="stable")
-        g, rows = g[order], rows[order]
-    return g, rows
-
-
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each text, joined, and the n + 1 offsets."""
-    g, rows = shingles(texts)
-    order = np.lexsort((g, rows))
-    g, rows = g[order], rows[order]
-    first = np.ones(len(g), dtype=bool)
-    first[1:] = (g[1:] != g[:-1]) | (rows[1:] != rows[:-1])
-    g, rows = g[first], rows[first]
-    return g, np.searchsorted(rows, np.arange(len(texts) + 1))
-
-
-def _slices(b: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    texts = filled(b.column(column))
-    for at, to in byte_slices(texts, most):
-        yield b.slice(at, to - at), texts.slice(at, to - at)
-
-
 def overlap_least(n: np.ndarray) -> np.ndarray:
+    """Shingles that a set of n has in common with any set it links with."""
     return -(-NUM * n // DEN)
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that a batch holds twice and more, with counts."""
-    for b in batches:
-        for _, texts in _slices(b, 0, 8_000_000):
-            key, count = np.unique(shingles(texts)[0], return_counts=True)
-            many = count > 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(count[many].astype(np.int64))], ["k", "c"])
-
-
-def bitmap(positions: DataFrame, column: str) -> np.ndarray:
-    """Bits of pmod(column, 2^24) as a boolean array; at most 2 MB come to the driver whatever the input."""
-    at = F.pmod(F.col(column), F.lit(_BITS))
-    rows = positions.select(at.alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
-    out = np.zeros(_BITS, dtype=bool)
-    for b, bits in rows:
-        out[b * 32768 : (b + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(bits), dtype=np.uint8), bitorder="little")
-    return out
+def overlap_of(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The least overlap of linked sets of n and m."""
+    return -(-NUM * (n + m) // (NUM + DEN))
+
+
+def _prints(g: np.ndarray, bits: int) -> np.ndarray:
+    return g >> np.uint64(BITS - bits)
+
+
+def _counted_once(bits: int):
+    """Of (text): the prints of the shingles of each text; copies in a task count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def prints() -> Iterator[np.ndarray]:
+            for b in batches:
+                for _, texts in slices(b, 0):
+                    g, cut = shingle_sets(texts)
+                    yield from (_prints(g[cut[i] : cut[i + 1]], bits) for i, c in enumerate(contents(g, cut).tolist()) if c not in seen and not seen.add(c))
+                    if len(seen) > 500_000:
+                        seen.clear()
 
+        yield from spread(prints(), bits)
+
+    return run
+
+
+def frequent(docs: DataFrame, least: int, most: int, bits: int) -> np.ndarray:
+    """Prints of the shingles in more than ``least`` texts, at most ``most``, the most frequent last. A print is the upper
+    ``bits`` of a hash; shingles of one print share its place in the order, which is the same for all sets."""
+    counts = counted(docs.select("text").mapInArrow(_counted_once(bits), SPREAD), bits, least + 1)
+    got = counts.orderBy(F.desc("count"), "number").limit(most).toArrow()
+    return got.column("number").to_numpy()[::-1].astype(np.uint64)
+
+
+def sketch_places(n: int, most: int = 1 << 14) -> int:
+    return min(most, max(64, 1 << (4 * n - 1).bit_length()))
 
-def _prefixes(packed: bytes):
-    """Of (doc_id, text): set size, two sums that tell sets apart, and the prefix of p + 1 shingles in the common order."""
+
+def _prefixes(hot: np.ndarray, bits: int):
+    """Of (doc_id, text): doc_id, n, set (its number), prefix (p + 1 shingles in the common order), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_hot = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        order = np.argsort(hot)
+        known, rank = hot[order], order + 1
         for b in batches:
-            for x, texts in _slices(b, 1):
+            for x, texts in slices(b, 1):
                 g, cut = shingle_sets(texts)
                 n = np.diff(cut)
-                mixed = mix64(g)
-                s1, s2 = (np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)]) for v in (mixed, mix64(mixed * _K + np.uint64(1))))
-                late = is_hot[(g & np.uint64(_BITS - 1)).astype(np.int64)]
+                row = np.repeat(np.arange(len(n)), n)
+                own = g
+                if len(known):
+                    p = _prints(g, bits)
+                    at = np.minimum(np.searchsorted(known, p), len(known) - 1)
+                    late = np.where(known[at] == p, rank[at], 0)
+                    mixed = np.flatnonzero(np.isin(row, row[late > 0]))
+                    own = g.copy()
+                    own[mixed] = g[mixed][np.lexsort((late[mixed], row[mixed]))]
                 take = np.minimum(n, n - overlap_least(n) + 2)
-                parts = []
-                for i in range(len(n)):
-                    s, e = cut[i], cut[i + 1]
-                    own, last = g[s:e], late[s:e]
-                    first = own[~last][: take[i]]
-                    if len(first) < take[i]:
-                        first = np.concatenate([first, own[last][: take[i] - len(first)]])
-                    parts.append(first.tobytes())
+                place = mix64(g + np.uint64(1))
+                sketches = []
+                for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    m = sketch_places(e - s)
+                    parity = np.bincount((place[s:e] & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+                    sketches.append(np.packbits(parity.astype(np.uint8), bitorder="little").tobytes() if e > s else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [x.column(0), pa.array(n.astype(np.int64)), pa.array((s1[cut[1:]] - s1[cut[:-1]]).view(np.int64)), pa.array((s2[cut[1:]] - s2[cut[:-1]]).view(np.int64)), pa.array(parts, pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "prefix"],
+                    [x.column(0), pa.array(n.astype(np.int64)), pa.array(contents(g, cut)), pa.array([own[s : s + t].tobytes() for s, t in zip(cut[:-1], take, strict=True)], pa.binary()), pa.array(sketches, pa.binary())],
+                    ["doc_id", "n", "set", "prefix", "sketch"],
                 )
 
     return run
 
 
-def _keys(boundary: int, only: bytes | None = None):
-    """Rows (key, rep, n) of each set: 2-subsets for light sets, single shingles for heavy and border sets; ``only`` is a
-    bitmap of the keys wanted."""
+def _keys(boundary: int):
+    """Of (set, n, prefix): rows (key, place, set), place being n and, for single shingles, the position among the set's
+    shingles, as one number. A task gives a set's keys once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if only is None else np.unpackbits(np.frombuffer(only, dtype=np.uint8)).astype(bool)
+        seen: set[int] = set()
         for b in batches:
-            keys, reps, sizes = [], [], []
-            for rep, n, prefix in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            keys, places, sets = [], [], []
+            for c, n, prefix in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if c in seen:
+                    continue
+                seen.add(c)
                 t = np.frombuffer(prefix, dtype=np.uint64)
-                own = []
-                if n <= boundary and len(t) > 1:
+                if n <= boundary:
                     i, j = np.triu_indices(len(t), 1)
-                    low, high = np.minimum(t[i], t[j]), np.maximum(t[i], t[j])
-                    own.append(mix64(mix64(low) * _K + high) & ~_ONE)
+                    keys.append(mix64(mix64(np.minimum(t[i], t[j])) * K + np.maximum(t[i], t[j])) & ~_ONE)
+                    places.append(np.full(len(i), n << 32, dtype=np.int64))
+                    sets.append(np.full(len(i), c, dtype=np.int64))
                 if n > boundary or NUM * (boundary + 1) <= DEN * n:
-                    own.append(t[: max(1, len(t) - 1)] | _ONE)
-                for k in own:
-                    if wanted is not None:
-                        k = k[wanted[(k & np.uint64(_BITS - 1)).astype(np.int64)]]
-                    keys.append(k)
-                    reps.append(np.full(len(k), rep, dtype=np.int64))
-                    sizes.append(np.full(len(k), n, dtype=np.int32))
+                    k = len(t) - 1
+                    keys.append(t[:k] | _ONE)
+                    places.append((n << 32) + np.arange(k, dtype=np.int64))
+                    sets.append(np.full(k, c, dtype=np.int64))
+            if len(seen) > 500_000:
+                seen.clear()
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(sizes))], ["key", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sets))], ["key", "place", "set"])
 
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key has more than one row; holds back one row at most."""
-    last, held = None, None
-    for b in batches:
-        if not len(b):
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        key = cols[0]
-        same = key[1:] == key[:-1]
-        keep = np.concatenate([[last is not None and held is None and key[0] == last], same])
-        keep[:-1] |= same
-        held = None
-        if not keep[-1]:
-            held = [c[-1:] for c in cols]
-        last = key[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "rep", "n"])
+def may_link(place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
+    """Whether sets that first meet at these places can link: by their sizes and by what is left behind the places."""
+    n, m = place_a >> 32, place_b >> 32
+    left = np.minimum(n - (place_a & 0xFFFFFFFF), m - (place_b & 0xFFFFFFFF))
+    return (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (left >= overlap_of(n, m))
+
+
+class _Distinct:
+    """Collects pairs and gives each once for every ``most`` of them."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        self.most, self.size, self.held = most, 0, []
 
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            self.size += len(a)
 
-def _outside(packed: bytes):
-    """Rows (key, ...) whose key is not in a bitmap."""
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        x = np.concatenate(self.held, axis=1) if self.held else np.zeros((2, 0), dtype=np.int64)
+        self.held, self.size = [], 0
+        x = x[:, np.lexsort(x)]
+        new = np.ones(x.shape[1], dtype=bool)
+        new[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
+        return x[0, new], x[1, new]
+
+
+def _meet(short: int):
+    """Of rows (key, place, set) sorted so: pairs (null, a, b) of lists up to ``short``, entries (key, place, set) of longer
+    ones. Holds back one list's start at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        held: list[np.ndarray] | None = None
+        last, long_key = None, None
+        found = _Distinct()
+
+        def rows(key, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([None] * len(a), pa.int64()) if key is None else pa.array(key), pa.array(a), pa.array(b)], ["key", "a", "b"])
+
+        def close(cols: list[np.ndarray], end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, long_key
+            key, place, c = cols
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([begin, [len(key)]]))
+            lot = np.repeat(size > short, size) | (key == long_key if long_key is not None else False)
+            use = np.ones(len(key), dtype=bool)
+            if not end:  # the last list may go on
+                if lot[-1]:
+                    long_key = key[-1]
+                else:
+                    use[begin[-1] :] = False
+                    held = [x[begin[-1] :] for x in cols]
+            if (lot & use).any():
+                yield rows(key[lot & use], place[lot & use], c[lot & use])
+            left = np.repeat(begin + size, size) - np.arange(len(key)) - 1
+            left[lot | ~use] = 0
+            at, d = np.flatnonzero(left >= 1), 1
+            while len(at):
+                ok = may_link(place[at], place[at + d])
+                found.add(c[at[ok]], c[at[ok] + d])
+                d += 1
+                at = at[left[at] >= d]
+            if found.size >= found.most or (end and found.size):
+                yield rows(None, *found.take())
+
         for b in batches:
-            yield b.filter(pa.array(~inside[b.column(0).to_numpy() & (_BITS - 1)]))
+            cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            if not len(cols[0]):
+                continue
+            new = np.ones(len(cols[0]), dtype=bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])
+            new[0] = (int(cols[0][0]), int(cols[2][0])) != last
+            last = (int(cols[0][-1]), int(cols[2][-1]))
+            cols = [x[new] for x in cols]
+            if held is not None:
+                cols, held = [np.concatenate([h, x]) for h, x in zip(held, cols, strict=True)], None
+            if len(cols[0]):
+                yield from close(cols, False)
+        if held is not None:
+            cols, held = held, None
+            yield from close(cols, True)
+        elif found.size:
+            yield rows(None, *found.take())
 
     return run
 
 
-def _holding(packed: bytes):
-    """Of (rep, prefix): the rep of each set whose prefix holds a shingle of a bitmap."""
+class Sketches:
+    """The sketches of some sets, at each size and folded to half of it."""
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.size = np.array([len(s) // 8 for s in sketches], dtype=np.int64)
+        self.at = np.zeros(len(sketches), dtype=np.int64)
+        self.half = np.zeros(len(sketches), dtype=np.int64)
+        grown: dict[int, list[np.ndarray]] = {}
+        for m in np.unique(self.size[self.size > 0]).tolist():
+            own = np.flatnonzero(self.size == m)
+            x = np.frombuffer(b"".join(sketches[i] for i in own), dtype=np.uint64).reshape(len(own), m)
+            for size, y, into in ((m, x, self.at), (m // 2, x[:, : m // 2] ^ x[:, m // 2 :], self.half)):
+                if size:
+                    into[own] = sum(map(len, grown.get(size, []))) + np.arange(len(own))
+                    grown.setdefault(size, []).append(y)
+        self.of = {m: np.concatenate(x) for m, x in grown.items()}
+
+    def pass_(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+        """Which pairs of sets (sizes n and m) can link: their sketches differ in no more places than the sets may."""
+        out = np.ones(len(i), dtype=bool)
+        low = np.minimum(self.size[i], self.size[j])
+        may = n + m - 2 * overlap_of(n, m)
+        for size in np.unique(low).tolist():
+            own = np.flatnonzero(low == size)
+            for k in range(0, len(own), max(1, step // max(size, 1))):
+                x = own[k : k + max(1, step // max(size, 1))]
+                a, b = (np.where(self.size[y[x]] == size, self.at[y[x]], self.half[y[x]]) for y in (i, j))
+                out[x] = np.bitwise_count(self.of[size][a] ^ self.of[size][b]).sum(axis=1, dtype=np.int64) <= may[x]
+        return out
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, na, nb, sa, sb): the pairs whose sketches let them pass."""
+    for b in batches:
+        if len(b):
+            m = len(b)
+            both = Sketches(b.column(4).to_pylist() + b.column(5).to_pylist())
+            n = [b.column(k).to_numpy() for k in (2, 3)]
+            ok = both.pass_(np.arange(m), np.arange(m) + m, *n)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
+
+
+def _offers(first_only: bool):
+    """Of long lists' entries (bucket, lo, hi, key, part, place, set, component, sketch) sorted by their first three: pairs
+    of different components that can link; with ``first_only`` each set's first one in each list."""
+
+    def group(rows: list[pa.Array], found: _Distinct) -> None:
+        (lo, hi), key = (int(rows[k][0].as_py()) for k in (1, 2)), rows[3].to_numpy()
+        part, place, c, component = (x.to_numpy() for x in rows[4:8])
+        sketches = Sketches(rows[8].to_pylist())
+        for own in (np.flatnonzero(key == k) for k in np.unique(key)):  # a bucket is a hash of the key
+            left, right = (own[part[own] == p] for p in (lo, hi))
+            for k in range(0, len(left), 256):
+                i = np.repeat(left[k : k + 256], len(right))
+                j = np.tile(right, len(left[k : k + 256]))
+                ok = (i < j if lo == hi else i >= 0) & (component[i] != component[j])
+                i, j = i[ok], j[ok]
+                ok = may_link(place[i], place[j])
+                i, j = i[ok], j[ok]
+                ok = sketches.pass_(i, j, place[i] >> 32, place[j] >> 32)
+                i, j = i[ok], j[ok]
+                if first_only:
+                    # of sets in the order (place, number) the later one takes the first that it is offered
+                    later = np.where((place[i] < place[j]) | ((place[i] == place[j]) & (c[i] < c[j])), j, i)
+                    earlier = i + j - later
+                    order = np.lexsort((c[earlier], place[earlier], later))
+                    i, j = earlier[order], later[order]
+                    new = np.ones(len(j), dtype=bool)
+                    new[1:] = j[1:] != j[:-1]
+                    i, j = i[new], j[new]
+                found.add(c[i], c[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        held: list[pa.RecordBatch] = []
+        found = _Distinct()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found.take()], ["a", "b"])
+
+        def close() -> None:
+            t = pa.Table.from_batches(held).combine_chunks()
+            if len(t):
+                group([c.chunk(0) for c in t.columns], found)
+
         for b in batches:
-            hit = [inside[(np.frombuffer(t, dtype=np.uint64) & np.uint64(_BITS - 1)).astype(np.int64)].any() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], ["rep"])
+            if not len(b):
+                continue
+            x = np.stack([b.column(k).to_numpy() for k in range(3)])
+            begin = [0, *(np.flatnonzero((x[:, 1:] != x[:, :-1]).any(axis=0)) + 1).tolist(), len(b)]
+            for s, e in zip(begin[:-1], begin[1:], strict=True):
+                if held and tuple(x[:, s]) != tuple(held[0].column(k)[0].as_py() for k in range(3)):
+                    close()
+                    held = []
+                    if found.size >= found.most:
+                        yield out()
+                held.append(b.slice(s, e - s))
+        if held:
+            close()
+        if found.size:
+            yield out()
 
     return run
 
 
-def _sets_of(wanted_packed: bytes):
-    """(doc_id, s1, set) of the rows that may be wanted: (doc_id, position, text)."""
+def wanted_bits(sets: DataFrame, most: int = 1 << 27) -> np.ndarray:
+    """Bits of the numbers in ``set``: 16 places for each, at most ``most`` (16 MB) whatever the input."""
+    bits = min(most, max(1 << 16, 1 << (16 * sets.count()).bit_length()))
+    at = F.pmod("set", F.lit(bits))
+    rows = sets.select(at.alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).toArrow()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for b, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[b * 4096 : (b + 1) * 4096] = np.frombuffer(x, dtype=np.uint8)
+    return out
+
+
+def _sets_of(wanted: np.ndarray):
+    """Of (text): (set, shingles) of sets that may be wanted; a task gives each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(wanted_packed, dtype=np.uint8)).astype(bool)
+        seen: set[int] = set()
         for b in batches:
-            b = b.filter(pa.array(wanted[b.column(1).fill_null(0).to_numpy(zero_copy_only=False)]))
-            for x, texts in _slices(b, 2):
+            for _, texts in slices(b, 0):
                 g, cut = shingle_sets(texts)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(g), dtype=np.uint64)])
-                yield pa.RecordBatch.from_arrays(
-                    [x.column(0), pa.array((sums[cut[1:]] - sums[cut[:-1]]).view(np.int64)), pa.array([g[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    ["doc_id", "s1", "set"],
-                )
+                c = contents(g, cut)
+                at = c & (8 * len(wanted) - 1)
+                hit = np.flatnonzero((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                new = [i for i in hit.tolist() if c[i] not in seen and not seen.add(c[i])]
+                if len(seen) > 500_000:
+                    seen.clear()
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(c[new]), pa.array([g[cut[i] : cut[i + 1]].tobytes() for i in new], pa.binary())], ["set", "shingles"])
 
     return run
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, set_a, set_b): the pairs that link."""
-    for b in (x.slice(at, 500) for x in batches for at in range(0, len(x), 500)):
+    """Of (a, b, shingles_a, shingles_b): the pairs that link."""
+    for b in batches:
         keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum()) if len(y) else 0
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+            both = len(x) + len(y) - len(np.union1d(x, y))
             keep.append(both > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
 
-def _fits(n: Column, m: Column) -> Column:
-    return (DEN * F.least(n, m)) >= (NUM * F.greatest(n, m))
-
-
 class JaccardJoin:
     """One run over (doc_id, text); ``result`` has a row per document."""
 
-    def __init__(self, docs: DataFrame, hot_df: int = 64, most_light: int = 48, rounds: int = 3) -> None:
+    def __init__(self, docs: DataFrame, hot_df: int = 64, most_hot: int = 500_000, most_light: int = 48, short: int = 64, block: int = 1024, print_bits: int = 32) -> None:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.scratch = Scratch(self.spark, "jaccard")
-        self.hot_df, self.most_light, self.rounds = hot_df, most_light, rounds
-        self.hot = np.zeros(_BITS, dtype=bool)
-
-    def _packed(self, bits: np.ndarray) -> bytes:
-        return np.packbits(bits).tobytes()
+        self.hot_df, self.most_hot, self.most_light, self.short, self.block, self.print_bits = hot_df, most_hot, most_light, short, block, print_bits
 
-    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) of representatives that link; reads the texts of documents in pairs again, and no others."""
-        pairs = self.scratch.write(pairs, f"{name}-pairs")
-        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        wanted = bitmap(ends.select(F.xxhash64("rep").alias("h")), "h")
-        found = self.docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)).alias("at"), "text").mapInArrow(_sets_of(self._packed(wanted)), "doc_id long, s1 long, set binary")
-        sets = self.scratch.write(found.join(self.reps.select(F.col("rep").alias("doc_id"), "s1").join(ends.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), ["doc_id", "s1"]).select("doc_id", "set"), f"{name}-sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-        links = self.scratch.write(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long"), f"{name}-links")
-        self.scratch.drop(f"{name}-sets")
-        return links
-
-    def _bounded(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, n, n2, met) whose overlap can be enough: heavy sets share ``met`` shingles of their prefixes, and no
-        more than those after the prefix that ends first can follow."""
-        rest = F.greatest(F.ceil(F.col("n") * NUM / DEN), F.ceil(F.col("n2") * NUM / DEN)) - 1
-        return pairs.where((F.least("n", "n2") <= self.boundary) | (F.col("met") + rest >= F.ceil((F.col("n") + F.col("n2")) * NUM / (NUM + DEN))))
-
-    def _boundary(self, own: DataFrame) -> int:
+    def _boundary(self) -> int:
         """The size up to which sets enumerate subsets, by rows written and list entries scanned."""
-        small = own.where(F.col("n").between(2, self.most_light * 2))
+        small = self.sets.where(F.col("n").between(3, self.most_light * 2))
         sizes = {r.n: r["count"] for r in small.groupBy("n").count().collect()}  # a row for each small size
-        lists = small.select("rep", "n", "prefix").mapInArrow(_keys(0), "key long, rep long, n int").groupBy("key").count()
+        lists = small.select("set", "n", "prefix").mapInArrow(_keys(0), "key long, place long, set long").groupBy("key").count()
         met = lists.agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
         scan = (met[0] or 1) / (met[1] or 1)
 
@@ -308,96 +420,98 @@ class JaccardJoin:
 
         return min(range(self.most_light + 1), key=cost)
 
-    def _candidate_lists(self) -> DataFrame:
-        own, lists, only = self.reps, None, None
-        self.boundary = self._boundary(own)
-        for k in range(self.rounds):
-            rows = own.where("n > 1").select("rep", "n", "prefix").mapInArrow(_keys(self.boundary, only), "key long, rep long, n int")
-            met = rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(_lists, "key long, rep long, n int")
-            if lists is not None:
-                # only keys that a moved set now has are dealt again; other lists just lose the moved sets
-                met = met.unionByName(lists.mapInArrow(_outside(only), "key long, rep long, n int").join(moved, "rep", "left_anti"))
-            before, lists = lists, self.scratch.write(met.select("key", "rep", "n"), f"lists{k}")
-            if before is not None:
-                self.scratch.drop(f"lists{k - 1}")
-            long_ = lists.where("key < 0").groupBy("key").count().where(F.col("count") > self.hot_df).select("key")
-            known = self.hot
-            news = bitmap(long_, "key") & ~known
-            if not news.any() or k == self.rounds - 1:
-                break
-            # sets with a newly frequent shingle anywhere in their prefix take later shingles in its place, whether or not
-            # they stand in its list: all prefixes follow one order
-            moved = own.where("n > 1").select("rep", "prefix").mapInArrow(_holding(self._packed(news)), "rep long").distinct()
-            moved = self.scratch.write(moved, f"moved{k}")
-            self.hot = known | news
-            again = bitmap(moved.select(F.xxhash64("rep").alias("h")), "h")
-            packed, bits = self._packed(self.hot), self._packed(again)
-
-            def redo(batches, packed=packed, bits=bits):
-                flag = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-
-                def chosen():
-                    for b in batches:
-                        yield b.filter(pa.array(flag[b.column(1).fill_null(0).to_numpy(zero_copy_only=False)])).select([0, 2])
-
-                yield from _prefixes(packed)(chosen())
-
-            fresh = self.docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)).alias("at"), "text").mapInArrow(redo, "doc_id long, n long, s1 long, s2 long, prefix binary")
-            fresh = fresh.join(moved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "prefix")
-            fresh = fresh.join(own.select("rep", "s1"), ["rep", "s1"], "left_semi").select(*own.columns).dropDuplicates(["rep", "s1"])
-            fresh = self.scratch.write(fresh, f"fresh{k}")
-            own = own.join(moved, "rep", "left_anti").unionByName(fresh)
-            only = self._packed(bitmap(fresh.select("rep", "n", "prefix").mapInArrow(_keys(self.boundary), "key long, rep long, n int"), "key"))
-        return lists
-
-    @staticmethod
-    def _classes(slim: DataFrame) -> DataFrame:
-        return slim.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    def _met(self) -> DataFrame:
+        """(key, a, b): pairs of short lists where key is null, entries (key, place, set) of long ones else."""
+        self.boundary = self._boundary()
+        rows = self.sets.where("n > 2").select("set", "n", "prefix").mapInArrow(_keys(self.boundary), "key long, place long, set long")
+        return self.scratch.write(rows.repartition("key").sortWithinPartitions("key", "place", "set").mapInArrow(_meet(self.short), "key long, a long, b long"), "met")
+
+    def _offered(self, entries: DataFrame, components: DataFrame | None, first_only: bool) -> DataFrame:
+        """Pairs (a, b) of long lists between different components."""
+        own = entries.join(self.sketches, "set")
+        if components is None:
+            own = own.withColumn("component", F.col("set"))
+        else:
+            own = own.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        sizes = own.groupBy("key").agg(F.count("*").alias("entries"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        own = own.join(sizes.select("key", F.ceil(F.col("entries") / self.block).cast("int").alias("parts")), "key")
+        own = own.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        own = own.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).withColumn("bucket", F.xxhash64("key"))
+        dealt = own.select("bucket", "lo", "hi", "key", "part", "place", "set", "component", "sketch").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        return dealt.mapInArrow(_offers(first_only), "a long, b long").distinct()
+
+    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose whole sets link."""
+        both = pairs.join(self.whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(self.whole.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+        return self.scratch.write(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), name)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
-        often = self.docs.select("text").mapInArrow(_often, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") > self.hot_df)
-        self.hot = bitmap(often, "k")
-        sets = self.scratch.write(self.docs.mapInArrow(_prefixes(self._packed(self.hot)), "doc_id long, n long, s1 long, s2 long, prefix binary"), "prefixes")
-        slim = sets.select("doc_id", "n", "s1", "s2")
-        classes = self._classes(slim)
-        own = sets.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "prefix")
-        self.reps = self.scratch.write(own.dropDuplicates(["rep", "s1", "s2"]), "reps")
-        slim = self.scratch.write(slim, "slim")
-        classes = self._classes(slim)
-        self.scratch.drop("prefixes")
-        lists = self._candidate_lists()
-        self.reps = self.scratch.write(self.reps.select("rep", "s1"), "rep-ids")
-        self.scratch.drop("reps")
-
-        size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
-        stars = lists.withColumn("size", size)
-        least = stars.groupBy("key", "size").agg(F.min(F.struct("n", "rep")).alias("p"))
-        star = stars.join(least, ["key", "size"]).where((F.col("p.rep") != F.col("rep")) & _fits(F.col("p.n"), F.col("n")))
-        star = star.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        # all keys that the two share, whoever is the least in their lists
-        shared = star.join(lists.select("key", F.col("rep").alias("a"), "n"), "a").join(lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n2")), ["key", "b"])
-        star = self._bounded(shared.groupBy("a", "b", "n", "n2").agg(F.count("*").alias("met")))
-        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = self._verified(star, "star")
-        star = self.spark.read.parquet(self.scratch.path("star-pairs"))
-        component = self.scratch.write(connected_components(links, self.scratch), "star-components")
-
-        at = self.scratch.write(lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
-        open_ = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        left = at.join(open_, "key", "left_semi").select("key", "rep", "n", "component")
-        right = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        cross = left.join(right, "key").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _fits(F.col("n"), F.col("n2")))
-        cross = self._bounded(cross.groupBy(F.col("rep").alias("a"), F.col("rep2").alias("b"), "n", "n2").agg(F.count("*").alias("met")))
-        cross = cross.select("a", "b").join(star, ["a", "b"], "left_anti")
-        more = self._verified(cross, "cross")
+        scratch = self.scratch
+        self.hot = frequent(self.docs, self.hot_df, self.most_hot, self.print_bits)
+        self.sets = scratch.write(self.docs.mapInArrow(_prefixes(self.hot, self.print_bits), "doc_id long, n long, set long, prefix binary, sketch binary"), "sets")
+        met = self._met()
+        slim = scratch.write(self.sets.select("doc_id", "n", "set"), "slim")
+        pairs = met.where("key is null").select("a", "b").distinct()
+        entries = met.where("key is not null").select("key", F.col("a").alias("place"), F.col("b").alias("set"))
+        nodes = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(entries.select("set")).distinct()
+        self.sketches = scratch.write(self.sets.select("set", "n", "sketch").join(nodes, "set", "left_semi").dropDuplicates(["set"]), "sketches").select("set", "sketch", "n")
+        scratch.drop("sets")
+        with batches_of(self.spark, 16_000_000):
+            a, b = (self.sketches.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+            near = scratch.write(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "near")
+            self.sketches = self.sketches.select("set", "sketch")
+            long_lists = not entries.isEmpty()
+            first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            if long_lists:
+                first = first.union(self._offered(entries, None, True)).distinct()
+            first = scratch.write(first, "first")
+            ends = near.select(F.col("a").alias("set")).union(near.select("b")).union(entries.select("set")).distinct()
+            found = self.docs.select("text").mapInArrow(_sets_of(wanted_bits(ends)), "set long, shingles binary")
+            self.whole = scratch.write(found.join(ends, "set", "left_semi").dropDuplicates(["set"]), "whole")
+            links = self._verified(first, "links")
+            component = scratch.write(connected_components(links, scratch), "components")
+            a, b = (component.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            rest = near.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+            if long_lists:
+                rest = rest.union(self._offered(entries, component, False)).distinct()
+            more = self._verified(rest.join(first, ["a", "b"], "left_anti"), "more")
+        scratch.drop("met", "near", "first", "whole", "sketches", "links")
         joined = component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        final = connected_components(joined, Scratch(self.spark, "jaccard-components"))
-        self.scratch.drop("placed")
-        rows = slim.join(classes, ["n", "s1", "s2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        final = connected_components(joined, Scratch(self.spark, "jaccard-components")).withColumnRenamed("node", "set")
+        # classes name their component by a hash; the smallest doc_id of its rows is its id
+        placed = slim.join(final, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set").alias("component"))
+        least = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+        alone = placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return placed.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of (doc_id, text)."""
     return JaccardJoin(docs).result()
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], ' ')) AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+z AS (SELECT doc_id, count(*) AS n, bit_xor(hash(g)) AS x, sum(hash(g, 7)::HUGEINT) AS y FROM s GROUP BY doc_id),
+c AS (SELECT n, x, y, min(doc_id) AS rep FROM z GROUP BY n, x, y),
+k AS (SELECT s.doc_id, g FROM s JOIN c ON c.rep = s.doc_id),
+df AS (SELECT g, count(*) AS f FROM k GROUP BY g HAVING count(*) > 1),
+o AS (SELECT k.doc_id, k.g, z.n, row_number() OVER (PARTITION BY k.doc_id ORDER BY coalesce(f, 1), k.g) AS pos
+      FROM k JOIN z USING (doc_id) LEFT JOIN df USING (g)),
+p AS (SELECT doc_id, g, n FROM o JOIN df USING (g) WHERE pos <= n - (3 * n + 3) // 4 + 1),
+q AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb
+      FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+e AS (SELECT q.a, q.b FROM q JOIN k i ON i.doc_id = q.a JOIN k j ON j.doc_id = q.b AND j.g = i.g
+      GROUP BY q.a, q.b, na, nb HAVING 100 * count(*) >= 75 * (na + nb - count(*))),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(m.component, c.rep, d.doc_id) AS component_id
+FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN c ON c.n = z.n AND c.x = z.x AND c.y = z.y LEFT JOIN m ON m.a = c.rep
+"""
