@@ -4,16 +4,18 @@
    labelled rows (rows whose hash falls below sample_rows / labelled rows). Its table has ``buckets`` rows at most.
 2. Every document's words meet that table; the sums, tempered to the evidence of ``evidence`` words, give posteriors.
 3. Rates: minimise the squared gaps between the expected domain token totals, sum of rate x tokens x posterior, and the
-   targets, over rates >= ``least``. Accelerated projected gradient steps, each scaled by 1 / tokens of the document so
-   that a step is the same function of the posteriors everywhere; it starts from rates of 1. A step needs one sum per
-   domain over all documents. A document's rate is a fold over the (few, small) errors of the steps so far, so no
-   state is written between steps and nothing per document reaches the driver.
-
-Steps go on until the totals of the rates themselves are within ``tolerance`` of the targets. Where posteriors cannot give
-the targets, they end when, beyond ``steps`` of them, the later half has not made the gap a tenth smaller, with a warning
-that names the totals reached.
-
-With ``keep_all`` no rate is below 1 and the total grows to what the scarcest domain needs; otherwise the total stays.
+   targets, over rates >= ``least``, by projected gradient steps from rates of 1. The gradient of a document's rate is its
+   posterior times the gaps, scaled by its tokens; a step divides that scale out and multiplies the gaps by the inverse of
+   the documents' spread (sum of tokens x posterior x posterior over the rates that are free), so that a few steps do. All
+   steps so far add up to one number a domain, so a rate is max(least, 1 + their product with the posterior): a step needs
+   one sum over all documents, writes no state, and nothing per document reaches the driver. A step that does not make the
+   gap smaller is halved.
+
+Steps go on until the totals of the rates themselves are within ``tolerance`` of the targets. Where ten halvings bring
+nothing, posteriors cannot give the targets: the fit ends with a warning that names the totals reached.
+
+With ``keep_all`` no rate is below 1 and the total grows to what the scarcest domain needs, and on by a twentieth at a time
+where mixed posteriors need more (at most to its double); otherwise the total stays.
 Rates become copies by rounding with a hash of the document, so the expectation holds.
 
 Defined cases: null, empty and blank texts have 0 tokens, the prior as posterior and weigh nothing; rows that share a
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
-from math import sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,6 @@ class MixParams:
     buckets: int = 4096
     sample_rows: int = 10_000
     evidence: float = 24.0
-    steps: int = 40
     tolerance: float = 2e-4
     seed: int = 11
 
@@ -83,63 +83,59 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], params
 
 @dataclass
 class Fit:
-    """Rates as a function of a document's posterior: projected steps against the errors met so far."""
+    """Rates as a function of a document's posterior."""
 
     least: float
-    step: float
-    errors: list[list[float]]
-    momenta: list[float]
-
-    def _fold(self) -> Column:
-        start = F.struct(F.lit(max(1.0, self.least)).alias("r"), F.lit(max(1.0, self.least)).alias("y"))
-        if not self.errors:
-            return start
-        history = F.array(*[F.struct(F.array(*map(F.lit, e)).alias("e"), F.lit(b).alias("b")) for e, b in zip(self.errors, self.momenta, strict=True)])
-
-        def step(acc: Column, h: Column) -> Column:
-            slope = sum((h["e"][k] * F.col("p")[k] for k in range(len(self.errors[0]))), F.lit(0.0))
-            r = F.greatest(F.lit(self.least), acc["y"] - F.lit(self.step) * slope)
-            return F.struct(r.alias("r"), (r + h["b"] * (r - acc["r"])).alias("y"))
+    slopes: list[float]
 
-        return F.aggregate(history, start, step)
+    def free(self) -> Column:
+        return F.lit(1.0) + sum((F.lit(float(x)) * F.col("p")[k] for k, x in enumerate(self.slopes)), F.lit(0.0))
 
     def rate(self) -> Column:
-        return self._fold()["r"]
+        return F.greatest(F.lit(self.least), self.free())
 
 
-def fit(members: DataFrame, k: int, targets: list[float] | float, keep_all: bool = False, params: MixParams = MixParams()) -> tuple[Fit, dict[str, list[float]]]:
+def fit(members: DataFrame, k: int, targets: list[float] | float, keep_all: bool = False, params: MixParams = MixParams()) -> tuple[Fit, dict]:
     """Rates whose expected totals meet the targets over ``k`` domains: shares by domain, or an exponent that smooths the
-    present shares."""
+    present shares. Also have, want and got (totals), gap (of shares) and passes (over the documents)."""
     n = F.col("n_tokens").cast("double")
-    cells = [F.sum(n * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-    first = members.agg(*[F.sum(n * F.col("p")[i]) for i in range(k)], *cells).first()
-    have = np.array([x or 0.0 for x in first[:k]])
-    spread = np.array([x or 0.0 for x in first[k:]]).reshape(k, k)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    passes = 0
+
+    def sums(at: Fit) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal passes
+        passes += 1
+        open_ = n * (at.free() >= at.least).cast("double")
+        row = members.agg(*[F.sum(n * at.rate() * F.col("p")[i]) for i in range(k)], *[F.sum(open_ * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
+        spread = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:], strict=True):
+            spread[i, j] = spread[j, i] = x or 0.0
+        return np.array([x or 0.0 for x in row[:k]]), spread
+
+    now = Fit(float(keep_all), [0.0] * k)
+    got, spread = sums(now)
+    have = got
     if have.sum() <= 0:
-        return Fit(float(keep_all), 1.0, [], []), {"have": have.tolist(), "want": have.tolist(), "got": have.tolist()}
+        return now, {"have": have.tolist(), "want": have.tolist(), "got": have.tolist(), "gap": 0.0, "passes": passes}
     want = np.maximum(have, 0) ** targets if isinstance(targets, float) else np.array(targets, dtype=float)
     want = want / want.sum()
-    total = max(h / w for h, w in zip(have, want, strict=True) if w > 0) if keep_all else have.sum()
-    fitted = Fit(float(keep_all), float(total / max(np.linalg.eigvalsh(spread).max(), 1e-9)), [], [])
-    t = 1.0
-    gaps = []
-    while True:
-        at = fitted._fold()
-        sums = members.agg(*[F.sum(n * at[x] * F.col("p")[i]) for x in "ry" for i in range(k)]).first()
-        got = np.array([float(x) for x in sums[:k]])
-        gaps.append(np.abs(got / total - want).max())
-        if gaps[-1] < params.tolerance:
-            break
-        half = len(gaps) // 2
-        if len(gaps) > params.steps and min(gaps[half:]) > 0.9 * min(gaps[:half]):
-            warnings.warn(f"targets {want.round(4).tolist()} not reached: {(got / total).round(4).tolist()} after {len(gaps)} steps", stacklevel=2)
-            break
-        gap = np.array([float(x) for x in sums[k:]]) / total - want
-        later = (1 + sqrt(1 + 4 * t * t)) / 2
-        fitted.errors.append(gap.tolist())
-        fitted.momenta.append((t - 1) / later)
-        t = later
-    return fitted, {"have": have.tolist(), "want": (want * total).tolist(), "got": got.tolist()}
+    total = least_total = max(h / w for h, w in zip(have, want, strict=True) if w > 0) if keep_all else have.sum()
+    scale = 1.0
+    while (gap := np.abs(got / total - want).max()) >= params.tolerance:
+        if scale < 1e-3:
+            if not keep_all or total >= 2 * least_total:
+                warnings.warn(f"targets {want.round(4).tolist()} not reached: {(got / got.sum()).round(4).tolist()} after {passes} passes", stacklevel=2)
+                break
+            total, scale = 1.05 * total, 1.0
+        # the ridge leaves directions alone in which nothing is free
+        step = np.linalg.solve(spread + np.eye(k) * max(np.trace(spread), 1.0) * 1e-9, want * total - got)
+        ahead = Fit(now.least, (np.array(now.slopes) + scale * step).tolist())
+        new, new_spread = sums(ahead)
+        if np.linalg.norm(new - want * total) < (1 - scale / 4) * np.linalg.norm(got - want * total):
+            now, got, spread, scale = ahead, new, new_spread, min(1.0, 2 * scale)
+        else:
+            scale /= 2
+    return now, {"have": have.tolist(), "want": (want * total).tolist(), "got": got.tolist(), "gap": float(gap), "passes": passes}
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], exponent: float | None = None, keep_all: bool = False, params: MixParams = MixParams()) -> DataFrame:
@@ -149,7 +145,6 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], exp
     members = Scratch(docs.sparkSession, "mixing").write(memberships(docs, labelled, domains, params), "members")
     fitted, _ = fit(members, len(domains), exponent if exponent is not None else [targets[d] for d in domains], keep_all, params)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(params.seed + 1)), F.lit(1 << 40)) / float(1 << 40)
-    # the fold ends near the optimum; its last projected point is the rate
     out = members.withColumn("rate", fitted.rate())
     out = out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
     likeliest = F.array(*map(F.lit, domains))[(F.array_position("p", F.array_max("p")) - 1).cast("int")]
