@@ -6,9 +6,9 @@ Texts are equal when they are identical after the ASCII white space is deleted.
    together collapse before anything moves. It spills classes (content, size, best row) and slim members to a table in
    the shared folder.
 2. Buckets: classes are dealt by a hash of the content's digest. A bucket whose classes pass ``bucket_bytes`` is taken
-   from the spill files again and dealt by the next hash, and so on. A bucket that no hash divides holds copies of one
-   content, and a table keeps that content once, so ``levels`` ends the recursion.
-3. Each bucket streams through a table of whole contents; copies are compared and dropped, never gathered.
+   from the spill files again and dealt by the next hash, and so on until every bucket fits or holds one digest only; of
+   such a bucket a table keeps one content, however many rows have it.
+3. A task sorts its rows by bucket and starts a new table at each bucket; copies are compared and dropped, never gathered.
 4. Members meet their class by its number; a class number never has more rows than one scan table held.
 
 Of equal texts the row with the most code points in the original text stays, then the one with the smallest doc_id (null
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from palaver.llm.common import WHITE, Scratch, filled, shuffle_partitions
 
 _SPILL = "uid long, doc_id long, best boolean, hash long, content binary, n_bytes long, n long, points long"
-_CLASS = "uid long, keep_id long, group_size long, kept boolean, text_sha256 string"
+_CLASS = "uid long, keep_id long, group_size long, kept boolean, text_sha256 string, table_bytes long"
 _WORST = 1 << 63
 
 
@@ -71,7 +72,7 @@ class ContentTable:
             self.slots[at] = e
 
 
-def _scan(table_bytes: int, flush_rows: int = 200_000):
+def _scan(table_bytes: int, flush_rows: int = 50_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         used = 0
@@ -122,10 +123,33 @@ def _scan(table_bytes: int, flush_rows: int = 200_000):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: (uid, doc_id, hash, content, n, points) of classes to the class that they are together."""
-    table, stats, uids, entries = ContentTable(), [], array("q"), array("q")
+    """Of (bucket, uid, doc_id, hash, content, n, points) sorted by bucket: each class and what it is together."""
+    now, table, stats, uids, entries = None, ContentTable(), [], array("q"), array("q")
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal table, stats, uids, entries
+        digests = [hashlib.sha256(c).hexdigest() for c in table.contents]
+        for at in range(0, len(uids), 50_000):
+            part = range(at, min(at + 50_000, len(uids)))
+            own = [entries[i] for i in part]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([uids[i] for i in part], pa.int64()),
+                    pa.array([stats[e][1] for e in own], pa.int64()),
+                    pa.array([stats[e][2] for e in own], pa.int64()),
+                    pa.array([stats[e][0][2] == uids[i] for i, e in zip(part, own, strict=True)], pa.bool_()),
+                    pa.array([digests[e] for e in own], pa.string()),
+                    pa.array([table.bytes] * len(part), pa.int64()),
+                ],
+                ["uid", "keep_id", "group_size", "kept", "text_sha256", "table_bytes"],
+            )
+        table, stats, uids, entries = ContentTable(), [], array("q"), array("q")
+
     for b in batches:
-        for uid, doc, h, content, n, points in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for bucket, uid, doc, h, content, n, points in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if bucket != now:
+                yield from flush()
+                now = bucket
             e, new = table.put(h, content)
             key = (-points, _WORST if doc is None else doc, uid)
             if new:
@@ -137,45 +161,35 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s[:2] = key, doc
             uids.append(uid)
             entries.append(e)
-    digests = [hashlib.sha256(c).hexdigest() for c in table.contents]
-    for at in range(0, len(uids), 50_000):
-        part = range(at, min(at + 50_000, len(uids)))
-        own = [entries[i] for i in part]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([uids[i] for i in part], pa.int64()),
-                pa.array([stats[e][1] for e in own], pa.int64()),
-                pa.array([stats[e][2] for e in own], pa.int64()),
-                pa.array([stats[e][0][2] == uids[i] for i, e in zip(part, own, strict=True)], pa.bool_()),
-                pa.array([digests[e] for e in own], pa.string()),
-            ],
-            ["uid", "keep_id", "group_size", "kept", "text_sha256"],
-        )
-
-
-def exact_dedup(docs: DataFrame, bucket_bytes: int = 64_000_000, table_bytes: int = 16_000_000, levels: int = 4, scratch: Scratch | None = None) -> DataFrame:
+    yield from flush()
+
+
+def merged_classes(spill: DataFrame, bucket_bytes: int) -> DataFrame:
+    """What each class of the spill table is together, with the bytes of the table that told (at most ``bucket_bytes`` and
+    200 an entry, but where one content alone is larger)."""
+    left, parts, level = spill.where("hash is not null"), [], 0
+    while True:
+        total = left.agg(F.sum("n_bytes")).first()[0] or 0
+        n = max(shuffle_partitions(spill.sparkSession), -(-total // bucket_bytes))
+        dealt = left.withColumn("bucket", F.pmod(F.xxhash64("hash", F.lit(level)), F.lit(n)))
+        sizes = dealt.groupBy("bucket").agg(F.sum("n_bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        over = sizes.where((F.col("bytes") > bucket_bytes) & (F.col("low") < F.col("high"))).select("bucket")
+        whole = over.isEmpty()
+        fit = dealt if whole else dealt.join(over, "bucket", "left_anti")
+        parts.append(fit.select("bucket", "uid", "doc_id", "hash", "content", "n", "points").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _CLASS))
+        if whole:
+            return reduce(DataFrame.unionByName, parts)
+        left = dealt.join(over, "bucket", "left_semi").drop("bucket")
+        level += 1
+
+
+def exact_dedup(docs: DataFrame, bucket_bytes: int = 64_000_000, table_bytes: int = 16_000_000, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of (doc_id, text). The spill table stays in ``scratch`` as
     long as the result is read; a caller that stores the result may drop ``spill``."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "exact")
+    scratch = scratch or Scratch(docs.sparkSession, "exact")
     spill = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(table_bytes), _SPILL), "spill")
-    left = spill.where("hash is not null")
-    merged = None
-    for level in range(levels):
-        total = left.agg(F.sum("n_bytes")).first()[0] or 0
-        n = max(shuffle_partitions(spark), -(-total // bucket_bytes))
-        dealt = left.withColumn("bucket", F.pmod(F.hash("hash", F.lit(level)), F.lit(n)))
-        sizes = dealt.groupBy("bucket").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("classes"))
-        over = sizes.where((F.col("bytes") > bucket_bytes) & (F.col("classes") > 1)).select("bucket")
-        last = level == levels - 1 or over.isEmpty()
-        fit = dealt if last else dealt.join(over, "bucket", "left_anti")
-        part = fit.repartition(n, F.hash("hash", F.lit(level))).select("uid", "doc_id", "hash", "content", "n", "points").mapInArrow(_merge, _CLASS)
-        merged = part if merged is None else merged.unionByName(part)
-        if last:
-            break
-        left = dealt.join(over, "bucket", "left_semi").drop("bucket")
     members = spill.where("hash is null").select("uid", "doc_id", "best")
-    return members.join(merged, "uid").select("doc_id", "keep_id", "group_size", (F.col("kept") & F.col("best")).alias("kept"), "text_sha256")
+    return members.join(merged_classes(spill, bucket_bytes).drop("table_bytes"), "uid").select("doc_id", "keep_id", "group_size", (F.col("kept") & F.col("best")).alias("kept"), "text_sha256")
 
 
 OP6_SQL = r"""
