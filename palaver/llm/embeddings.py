@@ -181,8 +181,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, bands: i
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     base = base.withColumn("valid", valid)
-    classes = base.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = scratch.write(classes, "classes")
+    classes = base.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # a class goes by its own number, which is fixed once the table is written
+    classes = scratch.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     coded = scratch.write(classes.select("rep", "label", "copies", "embedding").mapInArrow(_encode(rotations, bands, band_bits), _CODED), "codes")
 
     light = coded.select("rep", "label", "dim", F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.xxhash64("label", "dim", "band", "key")).select("bucket", "band", "rep", "label")
@@ -191,13 +192,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, bands: i
     active = active.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), "parts").cast("int"))
     active = active.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     active = active.select("bucket", "band", "rep", "label", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    full = active.join(coded.select("rep", "label", "dim", "copies", "vec", "code", "factors"), ["rep", "label"])
+    full = active.join(coded.select("rep", "dim", "copies", "vec", "code", "factors"), "rep")
     scan = PairScan(rotations, bands, band_bits, threshold, confidence)
     found = full.select("bucket", "lo", "hi", "part", "band", "rep", "label", "dim", "copies", "vec", "code", "factors").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(scan, _FOUND)
     found = scratch.write(found, "found")
     links = found.groupBy("rep").agg(F.sum("n_add").alias("n_add"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "rep")
-    placed = classes.join(links, "rep", "left").join(components, "rep", "left").select("label", "embedding", "copies", "n_add", F.coalesce("component", "rep").alias("component"))
+    least = classes.select("rep", "least").join(components, "rep").groupBy("component").agg(F.min("least").alias("first"))
+    components = components.join(least, "component").select("rep", F.col("first").alias("component"))
+    placed = classes.join(links, "rep", "left").join(components, "rep", "left").select("label", "embedding", "copies", "n_add", F.coalesce("component", "least").alias("component"))
     rows = base.where("valid").join(placed, ["label", "embedding"], "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("n_add", F.lit(0))).alias("n_links"), F.col("component").alias("component_id"))
     rows = rows.unionByName(base.where(~F.col("valid")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")) & F.col("vec_id").isNotNull())
