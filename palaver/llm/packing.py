@@ -115,5 +115,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame
     """Counts tokens of (doc_id, text) and packs them; see ``pack``."""
     from palaver.llm.token_counts import token_counts
 
-    counts = token_counts(docs, tokenizer_path).select("doc_id", "n_tokens")
+    counts = token_counts(docs, tokenizer_path, words=True).select("doc_id", "n_tokens")
     return pack(Scratch(docs.sparkSession, "packing").write(counts, "lengths"), **options)

@@ -1,13 +1,19 @@
-"""Batch encoding with a public tokenizer, one library call per distinct word.
+"""Encoding with the public tokenizers, in batches of about equal bytes.
 
-The word-level BPE vocabulary drops white space and never merges across it, so a text's ids are the joined ids of its
-words between ASCII white space. A task therefore splits a batch at these safe boundaries, encodes only words it has not
-met (in library batches), and gathers the rest from a bounded memo of earlier library results.
+``TextEncoder`` gives whole texts to the library (tokenizers for .json, sentencepiece for .model). A text above a size goes
+in parts, cut where the file's normaliser and pre-tokeniser are known to cut as well; where none is known it goes whole.
+
+``WordEncoder`` is for vocabularies that drop white space and never merge across it: a text's ids are the joined ids of its
+words between ASCII white space. It encodes only words it has not met (in library batches) and gathers the rest from a
+bounded memo of earlier library results, at about a third of the library's time on whole texts. ``encoder`` makes one only
+when asked to and when the file is of that kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -127,22 +133,83 @@ class WordEncoder:
         return np.concatenate(counts), np.concatenate(ids)
 
 
-class PieceCounter:
-    """Lengths by sentencepiece models, whose pieces may span white space: whole texts, cut only where two line ends meet
-    is not safe for them either, so each text is encoded as one."""
-
-    def __init__(self, path: str) -> None:
-        import sentencepiece
-
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+_CUT = re.compile("(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
+
+
+def _drops_white_space(rules: dict) -> bool:
+    """Whether a tokenizers file splits by a pattern of which no match holds white space, and removes the rest."""
+    first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    normalisers = (rules.get("normalizer") or {}).get("normalizers") or []
+    known = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in normalisers)
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    # every alternative is letters, a number, other signs than white space, or a contraction
+    parts = set(first.get("pattern", {}).get("Regex", " ").split("|"))
+    words = parts <= {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+    return bool(split and words and known and not any(re.search(r"\s", t["content"]) for t in rules.get("added_tokens", [])))
+
+
+def _keeps_space_in_front(rules: dict) -> bool:
+    """Whether a tokenizers file is byte-level by its usual pattern: white space only ever begins a piece."""
+    pre = rules.get("pre_tokenizer") or {}
+    return not rules.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space") and not any(re.search(r"\s", t["content"]) for t in rules.get("added_tokens", []))
+
+
+class TextEncoder:
+    """ids of whole texts by the library of the file. A cut is a space between two ASCII letters or digits; ``cut`` tells
+    whether the part after it keeps the space, drops it, or whether this file has no cut that is known to be safe."""
+
+    def __init__(self, path: str, batch_bytes: int = 1_000_000, part_chars: int = 1_000_000) -> None:
+        self.batch_bytes, self.part_chars = batch_bytes, part_chars
+        if path.endswith(".model"):
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.vocab_size = sp.get_piece_size()
+            self.encode_batch = lambda texts: sp.encode(texts, num_threads=1)
+            # pieces begin with the mark of a space or have none, and a text gets one in front
+            alone = not any("\u2581" in sp.id_to_piece(i).lstrip("\u2581") for i in range(self.vocab_size))
+            self.cut = "drop" if alone and sp.encode("a b") == sp.encode("a") + sp.encode("b") else None
+        else:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            tk = Tokenizer.from_file(path)
+            with open(path, encoding="utf-8") as f:
+                rules = json.load(f)
+            self.vocab_size = tk.get_vocab_size(with_added_tokens=True)
+            self.encode_batch = lambda texts: [e.ids for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
+            self.cut = "drop" if _drops_white_space(rules) else "keep" if _keeps_space_in_front(rules) else None
+
+    def _parts(self, text: str) -> list[str]:
+        out, at = [], 0
+        while self.cut and len(text) - at > self.part_chars and (found := _CUT.search(text, at + self.part_chars)):
+            out.append(text[at : found.start()])
+            at = found.start() + (self.cut == "drop")
+        return [*out, text[at:]]
 
     def encode(self, texts: pa.Array | pa.ChunkedArray, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.sp.encode(filled(texts).to_pylist(), num_threads=1)
-        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return counts, np.array([i for x in ids for i in x] if want_ids else [], dtype=np.uint32)
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder | PieceCounter:
-    """One encoder per worker process and vocabulary file; reused workers keep their memo between tasks."""
-    return PieceCounter(path) if path.endswith(".model") else WordEncoder(path)
+        """(ids per text, all ids joined, or none)."""
+        texts = filled(texts)
+        counts, ids = [], []
+        for at, to in byte_slices(texts, self.batch_bytes):
+            batch = texts.slice(at, to - at).to_pylist()
+            if to - at == 1:
+                found = [[x for part in self._parts(batch[0]) for x in self.encode_batch([part])[0]]] if want_ids else None
+                counts.append(len(found[0]) if want_ids else sum(len(self.encode_batch([part])[0]) for part in self._parts(batch[0])))
+            else:
+                found = self.encode_batch(batch)
+                counts += map(len, found)
+            if want_ids:
+                ids += [np.array(x, dtype=np.uint32) for x in found]
+        return np.array(counts, dtype=np.int64), np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, words: bool = False) -> TextEncoder | WordEncoder:
+    """One encoder per worker process and vocabulary file, so reused workers keep a memo between tasks. With ``words`` the
+    word memo serves files of its kind."""
+    if words and path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            if _drops_white_space(json.load(f)):
+                return WordEncoder(path)
+    return TextEncoder(path)
