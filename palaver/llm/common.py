@@ -34,11 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator run below the shared folder; ``drop`` frees those that nothing reads any more."""
+    """Tables of one operator run below the shared folder; ``drop`` frees those that nothing reads any more, and ``together``
+    all that were begun inside it."""
+
+    open_: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/palaver-{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.open_.append(self)
+
+    @classmethod
+    @contextmanager
+    def together(cls) -> Iterator[None]:
+        before, cls.open_ = cls.open_, []
+        try:
+            yield
+        finally:
+            for x in cls.open_:
+                x.drop("")
+            cls.open_ = before
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -55,16 +71,12 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
-    """While it lasts, Arrow batches that Spark makes hold about ``most`` bytes, for rows with large values."""
+def bounded_batches(spark: SparkSession, most: int = 8_000_000) -> None:
+    """From now on the session's Arrow batches hold about ``most`` bytes, unless it has a bound of its own; results are often
+    computed after an operator has returned, so this setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
