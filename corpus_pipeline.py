@@ -4,6 +4,11 @@ Stages are read from Parquet and written to Parquet; each works on all rows its
 return the columns of documents. Toxic rows go; of equal texts one row stays; of linked near-duplicates one row stays
 (null and repeated ids join nothing: rows are told apart by a number that the stage gives them); the mixture
 repeats documents of domains below their target weight (no document goes); packing gives the batches.
+
+Defined cases: a null text is an empty one: the toxicity stage keeps it (it scores by the bias alone), all empty texts are
+copies of one another, and it packs as one end token. Rows with null or repeated ids are rows of their own in the first
+three stages; the mixture gives rows that share an id one rate. Extra columns of documents pass through all but the last
+stage, whatever their names (but for the row number's). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,9 +91,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written below the shared folder and read again."""
+    """All stages over ``documents``; each result is written below the shared folder and read again. What a stage leaves
+    there goes when its result is stored, and that result when the next one is."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        with Scratch.together():
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return docs
