@@ -3,12 +3,15 @@
 Detected: e-mail addresses, phone numbers, card and account numbers, social security numbers, IBANs, IPv4 addresses, keys
 in hex, and names after a form of address. Each entity gets a keyed replacement of its own type: digits for digits,
 letters for letters of the same script and case, separators, length, top-level domain and country kept, valid check
-digits kept valid, names of the same gender and script.
+digits of cards and IBANs kept valid, names of the same gender and script. A Cyrillic or Greek surname shows its gender by its
+end, and so does its replacement.
 
 Coreference: a replacement depends on the entity's canonical form (digits of a number, folded address, name part) and the
 key, so an entity reads the same in every document and every format it is written in; addresses of one domain share one
-new domain. Distinctness: replacements are drawn by keyed hashes, then checked over the whole corpus; where two entities
-drew the same one, or one that is another's original, all but the first draw again until none is left.
+new domain, and no two domains do. Distinctness: replacements are drawn by keyed hashes, then checked over the whole corpus;
+where two entities drew the same one, or one that is another's original, all but the first draw again until none is left.
+From the fourth draw on an address may take octets of other lengths; after the twelfth, what has still collided gets one
+character more with each draw, so that the draws end however many entities share a format.
 
 Only distinct entities are drawn and checked. Documents meet their replacements by a hash of the text, and documents
 without a digit, an at sign or a form of address take no part in that shuffle.
@@ -19,6 +22,8 @@ an empty table gives an empty result; other columns are not read. The key is a p
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +50,7 @@ GIVEN |= {(s, "u"): [x for pair in zip(GIVEN[s, "m"], GIVEN[s, "f"], strict=True
 # Syllables of new surnames, and of given names once the list has collided.
 ONSETS = {"latin": ["Bar", "Cal", "Dor", "Fen", "Gar", "Hal", "Kes", "Lin", "Mar", "Nor", "Pel", "Ros", "Sal", "Tor", "Var", "Wen"], "cyrillic": ["Бар", "Вол", "Гор", "Дан", "Зар", "Кал", "Лен", "Мир", "Нор", "Рад", "Сав", "Тар"], "greek": ["Αλε", "Βασ", "Γαλ", "Δρα", "Καλ", "Λαμ", "Μαρ", "Παπ", "Σαρ", "Τσα"]}
 MIDDLES = {"latin": ["a", "e", "i", "o", "en", "in", "or", "el", "an", "er"], "cyrillic": ["а", "е", "и", "о", "ен", "ин", "ор", "ел"], "greek": ["α", "ο", "ι", "αν", "ορ", "ιν"]}
-ENDS = {("latin", "s"): ["berg", "dale", "feld", "ford", "ham", "ley", "low", "man", "mont", "ner", "sen", "ton", "vik", "well"], ("cyrillic", "s"): ["ов", "ев", "ин", "ский", "ко", "ук"], ("greek", "s"): ["ίδης", "άκης", "όπουλος", "άτος"], ("latin", "m"): ["o", "an", "us", "is"], ("latin", "f"): ["a", "ia", "ina", "elle"], ("cyrillic", "m"): ["ан", "ий", "ор"], ("cyrillic", "f"): ["а", "ия", "ина"], ("greek", "m"): ["ος", "ης", "ας"], ("greek", "f"): ["α", "η", "ία"]}
+ENDS = {("latin", "s"): ["berg", "dale", "feld", "ford", "ham", "ley", "low", "man", "mont", "ner", "sen", "ton", "vik", "well"], ("cyrillic", "sm"): ["ов", "ев", "ин", "ский"], ("cyrillic", "sf"): ["ова", "ева", "ина", "ская"], ("greek", "sm"): ["ίδης", "άκης", "όπουλος", "άτος"], ("greek", "sf"): ["ίδου", "άκη", "οπούλου", "άτου"], ("latin", "m"): ["o", "an", "us", "is"], ("latin", "f"): ["a", "ia", "ina", "elle"], ("cyrillic", "m"): ["ан", "ий", "ор"], ("cyrillic", "f"): ["а", "ия", "ина"], ("greek", "m"): ["ος", "ης", "ας"], ("greek", "f"): ["α", "η", "ία"]}
 
 # Types in the order in which a match is told apart.
 PATTERNS = {
@@ -85,10 +90,12 @@ def parts_of(matches: DataFrame) -> DataFrame:
     bare = F.regexp_replace(title, r"\.$", "")
     gender = _either([(bare.isin(MALE_TITLES), F.lit("m")), (bare.isin(FEMALE_TITLES), F.lit("f"))], F.lit("u"))
     words = F.split(F.regexp_replace("m", rf"^{_TITLE} ", ""), " ")
-    rows = matches.withColumn("kind", kind).withColumn("words", F.when(F.col("kind") == "person", words).otherwise(F.array(m))).withColumn("gender", gender)
+    rows = matches.withColumn("kind", kind).withColumn("words", F.when(F.col("kind") == "person", words).when(F.col("kind") == "email", F.split("m", "@")).otherwise(F.array(m))).withColumn("gender", gender)
     rows = rows.select("h", "m", "kind", "gender", F.size("words").alias("n"), F.posexplode("words").alias("at", "part"))
-    named = _either([(F.col("at") == F.col("n") - 1, F.concat(F.lit("surname-"), _script(F.col("part"))))], F.concat(F.lit("given-"), _script(F.col("part")), F.lit("-"), F.col("gender")))
-    rows = rows.withColumn("kind", F.when(F.col("kind") == "person", named).otherwise(F.col("kind")))
+    part = F.col("part")
+    shown = F.when(_script(part) == "cyrillic", F.when(part.rlike("[аяАЯ]$"), "-f").otherwise("-m")).when(_script(part) == "greek", F.when(part.rlike("[ςΣ]$"), "-m").otherwise("-f")).otherwise("")
+    named = _either([(F.col("at") == F.col("n") - 1, F.concat(F.lit("surname-"), _script(part), shown))], F.concat(F.lit("given-"), _script(part), F.lit("-"), F.col("gender")))
+    rows = rows.withColumn("kind", F.when(F.col("kind") == "person", named).when((F.col("kind") == "email") & (F.col("at") == 1), "domain").otherwise(F.col("kind")))
     canonical = F.when(F.col("kind").isin(*_DIGITS), F.regexp_replace("part", r"\D", "")).when(F.col("kind") == "iban", F.regexp_replace("part", " ", "")).otherwise(F.lower("part"))
     return rows.select("h", "m", "at", "kind", "part", canonical.alias("canonical"))
 
@@ -104,20 +111,32 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d)) % 10
 
 
+def _mod97(iban: Column) -> Column:
+    """An IBAN's remainder: country and check digits behind, letters as two digits; 1 where it is valid."""
+    turned = _chars(F.concat(F.substring(iban, 5, 64), F.substring(iban, 1, 4)))
+    return F.aggregate(turned, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
+def _letter_from(draw: Column, first: int, count: int) -> Column:
+    """A letter of the block that begins at code point ``first``."""
+    return F.decode(F.unhex(F.lpad(F.hex(F.lit(first) + F.pmod(draw, F.lit(count))), 4, "0")), "UTF-16BE")
+
+
+#: Other scripts: how a letter is known, and a run of letters of that script (first code point, how many).
+BLOCKS = {"IsHan": (0x4E00, 4000), "IsHiragana": (0x3042, 80), "IsKatakana": (0x30A2, 80), "IsHangul": (0xAC00, 11000), "IsArabic": (0x0628, 18), "IsHebrew": (0x05D0, 26), "IsDevanagari": (0x0915, 36), "IsThai": (0x0E01, 40), "IsArmenian": (0x0561, 37), "IsGeorgian": (0x10D0, 32)}
+
+
 def surrogate(key: str) -> Column:
     """The draw of (kind, canonical, attempt), in the shape of canonical."""
     kind, text = F.col("kind"), F.col("canonical")
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, text, F.col("attempt").cast("string")), 256)
-    domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(text, "@", -1), F.floor(F.col("attempt") / 4).cast("string")), 256)
     n = F.length(text)
-    # positions that stay: the top-level domain of an address, the country of an IBAN
-    end = F.when(kind == "email", n - F.length(F.substring_index(text, ".", -1)) - 1).otherwise(n)
+    # positions that stay: the top-level domain, the country of an IBAN
+    end = F.when(kind == "domain", n - F.length(F.substring_index(text, ".", -1)) - 1).otherwise(n)
     begin = F.when(kind == "iban", 2).otherwise(0)
-    at_sign = F.when(kind == "email", F.instr(text, "@") - 1).otherwise(n)
 
     def letter(c: Column, i: Column) -> Column:
-        # an address's new domain hangs on the old domain alone: positions count from its at sign
-        draw = F.when(i > at_sign, F.xxhash64(domain, i - at_sign)).otherwise(F.xxhash64(seed, i.cast("int")))
+        draw = F.xxhash64(seed, i.cast("int"))
 
         def pick(first: int, count: int) -> Column:
             return F.char(F.lit(first) + F.pmod(draw, F.lit(count)))
@@ -135,16 +154,20 @@ def surrogate(key: str) -> Column:
                 (c.rlike("[a-z]"), pick(97, 26)),
                 (c.rlike(r"\p{IsCyrillic}"), cyrillic),
                 (c.rlike(r"\p{IsGreek}"), greek),
+                *[(c.rlike(rf"\p{{{block}}}"), _letter_from(draw, first, count)) for block, (first, count) in BLOCKS.items()],
                 (c.rlike(r"\p{L}"), pick(97, 26)),
             ],
             c,
         )
 
     shaped = F.array_join(F.transform(_chars(text), letter), "")
-    octet = F.transform(F.split(text, r"\."), lambda o, i: F.when(F.length(o) == 3, 100 + F.pmod(F.xxhash64(seed, i), F.lit(100))).when(F.length(o) == 2, 10 + F.pmod(F.xxhash64(seed, i), F.lit(90))).otherwise(F.pmod(F.xxhash64(seed, i), F.lit(10))).cast("string"))
+    octet = F.transform(F.split(text, r"\."), lambda o, i: F.when(F.col("attempt") >= 4, F.pmod(F.xxhash64(seed, i), F.lit(256))).when(F.length(o) == 3, 100 + F.pmod(F.xxhash64(seed, i), F.lit(100))).when(F.length(o) == 2, 10 + F.pmod(F.xxhash64(seed, i), F.lit(90))).otherwise(F.pmod(F.xxhash64(seed, i), F.lit(10))).cast("string"))
     body = F.concat(shaped.substr(F.lit(1), n - 1), F.lit("0"))
     card = F.when(_luhn(text) == 0, F.concat(body.substr(F.lit(1), n - 1), ((10 - _luhn(body)) % 10).cast("string"))).otherwise(shaped)
 
+    open_iban = F.concat(F.substring(text, 1, 2), F.lit("00"), F.substring(shaped, 5, 64))
+    iban = F.when(_mod97(text) == 1, F.concat(F.substring(text, 1, 2), F.lpad((98 - _mod97(open_iban)).cast("string"), 2, "0"), F.substring(shaped, 5, 64))).otherwise(shaped)
+
     def syllables(script: str, last: str) -> Column:
         base = F.concat(_draw(ONSETS[script], seed, F.lit(1)), _draw(MIDDLES[script], seed, F.lit(2)), _draw(ENDS[script, last], seed, F.lit(3)))
         more = F.concat(_draw(ONSETS[script], seed, F.lit(4)), _draw(MIDDLES[script], seed, F.lit(5)), _draw(MIDDLES[script], seed, F.lit(7)), _draw(ENDS[script, last], seed, F.lit(6)))
@@ -152,19 +175,22 @@ def surrogate(key: str) -> Column:
 
     names = []
     for script in ("latin", "cyrillic", "greek"):
-        names.append((kind == f"surname-{script}", syllables(script, "s")))
+        names += [(kind == "surname-latin", syllables("latin", "s"))] if script == "latin" else [(kind == f"surname-{script}-{g}", syllables(script, "s" + g)) for g in "mf"]
         for g in ("m", "f", "u"):
             names.append((kind == f"given-{script}-{g}", F.when(F.col("attempt") == 0, _draw(GIVEN[script, g], seed, F.lit(0))).otherwise(syllables(script, "m" if g == "m" else "f"))))
     named = F.lower(_either(names, F.lit(None).cast("string")))
-    return _either([(kind.startswith("surname") | kind.startswith("given"), named), (kind == "ip", F.array_join(octet, ".")), (kind == "card", card)], shaped)
+    drawn = _either([(kind.startswith("surname") | kind.startswith("given"), named), (kind == "ip", F.array_join(octet, ".")), (kind == "card", card), (kind == "iban", iban)], shaped)
+    # the last way out: characters more, in front of a domain and behind all else
+    more = F.substring(F.when(kind.isin(*_DIGITS, "ip", "iban"), F.conv(F.substring(seed, 1, 12), 16, 10)).otherwise(F.translate(seed, "0123456789", "ghijklmnop")), 1, F.greatest(F.lit(0), F.col("attempt") - 12))
+    return F.when(F.col("attempt") <= 12, drawn).when(kind == "domain", F.concat(more, drawn)).otherwise(F.concat(drawn, more))
 
 
-def draw_all(entities: DataFrame, key: str, scratch: Scratch, most_rounds: int = 24) -> DataFrame:
+def draw_all(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(kind, canonical, surrogate) of distinct (kind, canonical): no surrogate twice, none an entity of its kind."""
     now = scratch.write(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key)), "draw0")
     # kinds of names share one space a script, so that a given name can not become another's
     space = F.regexp_replace("kind", "-[mfu]$", "")
-    for k in range(1, most_rounds):
+    for k in count(1):
         spaced = now.withColumn("space", space)
         first = spaced.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "canonical")).alias("first"))
         taken = spaced.select("space", F.col("canonical").alias("surrogate"), F.lit(True).alias("taken")).distinct()
@@ -175,7 +201,7 @@ def draw_all(entities: DataFrame, key: str, scratch: Scratch, most_rounds: int =
             return judged.select("kind", "canonical", "surrogate")
         again = judged.where("bad").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")).withColumn("surrogate", surrogate(key))
         now = scratch.write(judged.where("not bad").select("kind", "canonical", "attempt", "surrogate").unionByName(again), f"draw{k}")
-    raise ValueError("surrogates still collide; the entities outnumber what their formats allow")
+        scratch.drop(f"judged{k}", f"draw{k - 1}")
 
 
 def _rendered() -> Column:
@@ -186,8 +212,10 @@ def _rendered() -> Column:
         chars,
         F.struct(F.lit("").alias("out"), F.lit(1).alias("k")),
         lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.when(c.rlike("[A-Z]"), F.upper(F.substr(new, a["k"], F.lit(1)))).otherwise(F.substr(new, a["k"], F.lit(1)))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))),
-    )["out"]
+    )
+    step = F.concat(step["out"], F.substr(new, step["k"]))  # what is longer than the part goes behind it
     cased = F.array_join(F.transform(chars, lambda c, i: F.when((c != F.lower(c)), F.upper(F.substr(new, i + 1, F.lit(1)))).otherwise(F.substr(new, i + 1, F.lit(1)))), "")
+    cased = F.concat(cased, F.substr(new, F.length(part) + 1))
     name = F.when(F.upper(part) == part, F.upper(new)).otherwise(F.array_join(F.transform(F.split(new, "-"), lambda w: F.initcap(w)), "-"))
     kind = F.col("kind")
     return F.when(kind.isin(*_DIGITS, "iban"), step).when(kind.startswith("given") | kind.startswith("surname"), name).otherwise(cased)
@@ -203,7 +231,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     parts = scratch.write(parts_of(found), "parts")
     drawn = draw_all(parts.select("kind", "canonical").distinct(), key, scratch)
     placed = parts.join(drawn, ["kind", "canonical"]).withColumn("new", _rendered())
-    whole = placed.groupBy("h", "m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), " ").alias("new"))
+    parts_new = F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"])
+    address = F.bool_or(F.col("kind").isin("email", "domain"))
+    whole = placed.groupBy("h", "m").agg(F.when(address, F.array_join(parts_new, "@")).otherwise(F.array_join(parts_new, " ")).alias("new"))
     title = F.regexp_extract("m", rf"^({_TITLE} )", 1)
     whole = whole.withColumn("new", F.concat(F.when(F.col("m").rlike(rf"^{_TITLE} {_NAME}"), title).otherwise(F.lit("")), F.col("new")))
     maps = whole.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("map"))
