@@ -1,3 +1,5 @@
+import math
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -9,50 +11,53 @@ from palaver.functions.query import parse, shift_months, time_range
 from palaver.functions.text import at_word_start, fold, normalize
 from palaver.operators import lexical, termindex
 
-NOW = datetime.fromtimestamp(1_760_000_000, timezone.utc)
+NOW = datetime(2025, 3, 1, 12, tzinfo=timezone.utc)
+# key, body, project, title, summary, age in hours
+ROWS = [
+    (0, "We moved the harbour crane. Harbour crane parts go by rail, parts by road", "port/crane-works", "Harbour crane", "Parts list", 5),
+    (1, "a crane stood at the harbour gate", "ledger", None, None, 90),
+    (2, "nothing but the crane", "harbour-office", None, None, 30),
+    (3, "", "crane-notes", None, None, 700),
+    (4, "uncrane and mycrane hold it inside only", "port/rail", None, None, 12),
+    (5, "rail rail rail", None, None, None, 0),
+]
+WEIGHTS = {"title": 5, "project": 4, "body": 1}
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    def ago(hours):
-        return NOW - timedelta(hours=hours)
-
-    rows = [
-        (0, "Error handling cleanup Refactor error paths error handling in the cache layer, error handling everywhere", "workmux/cache-fix", "Error handling cleanup", "Refactor error paths", ago(2)),
-        (1, "tmux session handling and window errors", "dotfiles", None, None, ago(72)),
-        (3, "body ends with handling", "error-reporter", None, None, ago(24)),
-        (4, "", "tmux-config", None, None, ago(960)),
-        (5, "precache and subcache only as substrings", "rust/cache", None, None, ago(30)),
-        (6, "测试 cache 会话", "项目", None, None, ago(120)),
-        (7, "no project here cache cache", None, None, None, NOW),
-    ]
+    rows = [(*r[:5], NOW - timedelta(hours=r[5])) for r in ROWS]
     return lexical.prepare(spark.createDataFrame(rows, "key int, body string, project string, title string, summary string, ts timestamp")).cache()
 
 
-@pytest.mark.parametrize(
-    ("query", "want"),
-    [
-        ("error handling", [(0, 29.9902), (3, 5.2772), (1, 2.8723)]),
-        ("handling error", [(0, 13.9902), (3, 5.2772), (1, 2.8723)]),
-        ("cache-fix", [(0, 16.2219)]),
-        ("error reporter", [(3, 15.3566)]),
-        ("dotfiles window", [(1, 4.9517)]),
-        ("rust", [(5, 4.5397)]),
-        ("cache", [(0, 5.4493), (5, 4.5397), (7, 3.0986), (6, 1.9122)]),
-        ("测试 项目", [(6, 4.6847)]),
-        ("项目", [(6, 3.9916)]),
-        ('"error handling"', [(0, 1.9836)]),
-        ('error "cache layer"', [(0, 9.1382)]),
-        ("nothing-here", []),
-    ],
-)
-def test_scores(corpus, query, want):
-    got = [(r.key, round(r.score, 4)) for r in lexical.search(corpus, query, NOW).collect()]
-    assert got == want
+def plain(query):
+    """The scores of ROWS for plain lower-case words, field by field, without Spark."""
+    words, out = query.split(), []
+    for key, body, project, title, summary, hours in ROWS:
+        # the summary counts as part of the title
+        text = {"title": " ".join(x for x in (title, summary) if x), "project": project or "", "body": body}
+        text = {f: re.sub(r"[-/]", " ", x.lower()) for f, x in text.items()}
+        starts = {f: {w: len(re.findall(rf"(?<![a-z0-9]){w}", x)) for w in words} for f, x in text.items()}
+        if not all(starts["body"][w] or starts["project"][w] for w in words):
+            continue
+        score = sum(WEIGHTS[f] * math.log(1 + min(c, 10)) for f in text for c in starts[f].values())
+        for f, x in text.items():
+            near = sum(len(re.findall(rf"(?<![a-z0-9]){a} {b[:3]}", x)) for a, b in zip(words, words[1:], strict=False))
+            score += 2 * WEIGHTS[f] * min(near, 3)
+        out.append((key, score + 2 * 0.5 ** (hours / 24 / 7)))
+    return sorted(out, key=lambda r: -r[1])
+
+
+@pytest.mark.parametrize("query", ["harbour crane", "crane harbour", "rail", "crane", "ledger gate", "no-such-word"])
+def test_scores(corpus, query):
+    got = [(r.key, r.score) for r in lexical.search(corpus, query, NOW).collect()]
+    want = plain(query)
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want])
 
 
 def test_browse_is_newest_first(corpus):
-    assert [r.key for r in lexical.search(corpus, "  ", NOW).collect()] == [7, 0, 3, 5, 1, 6, 4]
+    assert [r.key for r in lexical.search(corpus, "  ", NOW).collect()] == [5, 0, 4, 2, 1, 3]
 
 
 def test_query_parts():
@@ -93,7 +98,7 @@ def test_word_starts_match_a_plain_scan(spark, texts, word):
 def test_index_agrees_with_scan(spark, corpus, tmp_path):
     termindex.write_index(corpus, str(tmp_path / "index"), 4)
     index = spark.read.parquet(str(tmp_path / "index"))
-    body = corpus.where(F.col("body_norm").rlike(at_word_start("error")) & F.col("body_norm").rlike(at_word_start("hand")))
-    assert {r.key for r in termindex.candidates(index, ["error", "hand"]).collect()} == {r.key for r in body.collect()}
+    body = corpus.where(F.col("body_norm").rlike(at_word_start("crane")) & F.col("body_norm").rlike(at_word_start("harb")))
+    assert {r.key for r in termindex.candidates(index, ["crane", "harb"]).collect()} == {r.key for r in body.collect()}
     merged = termindex.merged(index, termindex.terms(corpus.where("key = 1")), spark.createDataFrame([(1,)], "key int"))
     assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in index.collect()}
