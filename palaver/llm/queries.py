@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.embeddings import OP5_SQL
 from palaver.llm.exact_dedup import OP6_SQL
+from palaver.llm.jaccard import OP8_SQL
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -110,4 +111,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL}
