@@ -5,8 +5,6 @@ Every query runs over its whole tables. Conventions of the tables are in ``plans
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,58 +13,9 @@ from palaver.functions.query import shift_months, time_range
 from palaver.operators import evidence, export, fold, lexical, retrieval, semantic, termindex
 from palaver.plans import store
 from palaver.plans.model import NOW, corpus, messages, table
+from palaver.plans.registry import CORPUS_SQL, FRESH_SQL, MESSAGES_SQL, NORM, oracle_sql, queries, query, score_sql  # noqa: F401
 
 FLAGSHIP = "lex_score_documents"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-# -- shared SQL of the conventions ------------------------------------------------------------------------------------
-_NORM = r"replace(lower(nfc_normalize(regexp_replace({0}, '[\s_/\-　、。〈〉《》「」『』【】〔〕〖〗！（），：；？“”‘’—…·]', ' ', 'g'))), 'ß', 'ss')"
-_CORPUS = f"""c AS (SELECT doc_id AS key, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS ts, split_part(text, chr(10), 1) AS title,
-  source AS project, text AS body, {_NORM.format("split_part(text, chr(10), 1)")} AS title_norm, {_NORM.format("source")} AS project_norm, {_NORM.format("text")} AS body_norm FROM documents)"""
-_FRESH = "2.0 * pow(2.0, -(date_diff('second', {0}, TIMESTAMP '2024-02-01') / 86400.0) / 7.0)"
-_MESSAGES = r"""m AS (SELECT key, turn, role, text, row_number() OVER (PARTITION BY key ORDER BY turn) AS ordinal FROM (
-  SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY turn) AS met FROM (
-    SELECT conv_id AS key, turn, role, text FROM conversations WHERE role <> 'system' AND trim(coalesce(text, '')) <> '')) WHERE role = 'user' OR met = 1)"""
-
-
-def _tf(field: str, word: str) -> str:
-    return f"ln(1.0 + least(len(regexp_extract_all({field}, '(?:^|[^\\p{{L}}]){word}')), 10))"
-
-
-def _near(field: str, pair: str) -> str:
-    return f"least(len(regexp_extract_all({field}, '(?:^|[^\\p{{L}}]){pair}')), 3)"
-
-
-def _score_sql(words: list[str], top: int | None, explain: bool = False, where: str = "TRUE") -> str:
-    pair = f"{words[0]} {words[1][:3]}" if len(words) > 1 else None
-    fields = {"title": 5, "project": 4, "body": 1}
-    parts = {f"{f}_tf": f"{w}.0 * ({' + '.join(_tf(f + '_norm', x) for x in words)})" for f, w in fields.items()}
-    parts |= {f"{f}_near": f"{2 * w}.0 * {_near(f + '_norm', pair) if pair else 0}" for f, w in fields.items()}
-    gate = " AND ".join(f"(regexp_matches(body_norm, '(?:^|[^\\p{{L}}]){x}') OR regexp_matches(project_norm, '(?:^|[^\\p{{L}}]){x}'))" for x in words)
-    shown = ", ".join(f"round({v}, 6) AS {k}" for k, v in parts.items()) + ", " if explain else ""
-    return f"""WITH {_CORPUS}
-SELECT key, {shown}round({" + ".join(parts.values())} + {_FRESH.format("ts")}, 6) AS score FROM c WHERE {gate} AND {where}
-ORDER BY score DESC, ts DESC, key {f"LIMIT {top}" if top else ""}"""
 
 
 # -- keyword ranking --------------------------------------------------------------------------------------------------
@@ -75,45 +24,45 @@ def _scored(spark: SparkSession, sf_dir: str, text: str, top: int | None = None,
     return found.select("key", F.round("score", 6).alias("score"))
 
 
-@query(_score_sql(["worthless", "clown"], None))
+@query(score_sql(["worthless", "clown"], None))
 def lex_score_documents(spark, sf_dir):
     """Two words: gate, weights, adjacency, recency."""
     return _scored(spark, sf_dir, "worthless clown")
 
 
-@query(_score_sql(["and", "then"], 50))
+@query(score_sql(["and", "then"], 50))
 def lex_top_k(spark, sf_dir):
     """The first 50 of a frequent pair: a top-k, not a sort of everything."""
     return _scored(spark, sf_dir, "and then", 50)
 
 
-@query(_score_sql(["and"], None, explain=True))
+@query(score_sql(["and"], None, explain=True))
 def lex_explain_fields(spark, sf_dir):
     """Scores with each field's part."""
     found = lexical.search(lexical.prepare(corpus(spark, sf_dir)), "and", NOW, explain=True)
     return found.select("key", *[F.round(f"{f}_{p}", 6).alias(f"{f}_{p}") for f in ("title", "project", "body") for p in ("tf", "near")], F.round("score", 6).alias("score"))
 
 
-@query(_score_sql(["idiot"], None, where="ts >= TIMESTAMP '2024-01-01 02:00:00' AND ts < TIMESTAMP '2024-01-01 11:00:00'"))
+@query(score_sql(["idiot"], None, where="ts >= TIMESTAMP '2024-01-01 02:00:00' AND ts < TIMESTAMP '2024-01-01 11:00:00'"))
 def lex_time_window(spark, sf_dir):
     """A word inside a written time range; the upper hour counts to its end."""
     low, high = time_range("2024-01-01T02", "2024-01-01T10", NOW)
     return _scored(spark, sf_dir, "idiot", rows=corpus(spark, sf_dir).where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))))
 
 
-@query(f"WITH {_CORPUS} SELECT key, round({_FRESH.format('ts')}, 6) AS score FROM c ORDER BY ts DESC")
+@query(f"WITH {CORPUS_SQL} SELECT key, round({FRESH_SQL.format('ts')}, 6) AS score FROM c ORDER BY ts DESC")
 def lex_browse_newest(spark, sf_dir):
     """The empty query: newest first, by recency alone."""
     return lexical.search(corpus(spark, sf_dir), "", NOW).select("key", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_CORPUS} SELECT key FROM c WHERE regexp_matches(body || ' ' || project, '(?:^|[^\\p{{L}}])The and')")
+@query(f"WITH {CORPUS_SQL} SELECT key FROM c WHERE regexp_matches(body || ' ' || project, '(?:^|[^\\p{{L}}])The and')")
 def lex_exact_literal_sensitive(spark, sf_dir):
     """A quoted text with a capital."""
     return lexical.search(corpus(spark, sf_dir), '"The and"', NOW).select("key")
 
 
-@query(f"WITH {_CORPUS} SELECT key FROM c WHERE regexp_matches(lower(body || ' ' || project), '(?:^|[^\\p{{L}}])the and')")
+@query(f"WITH {CORPUS_SQL} SELECT key FROM c WHERE regexp_matches(lower(body || ' ' || project), '(?:^|[^\\p{{L}}])the and')")
 def lex_exact_literal_insensitive(spark, sf_dir):
     """A quoted text without capitals matches by lower case."""
     return lexical.search(corpus(spark, sf_dir), '"the and"', NOW).select("key")
@@ -142,13 +91,13 @@ def flt_month_window(spark, sf_dir):
 
 
 # -- index path -------------------------------------------------------------------------------------------------------
-@query(rf"""WITH {_CORPUS}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
+@query(rf"""WITH {CORPUS_SQL}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
 SELECT left(word, 24) AS term, key, least(count(*), 10) AS tf FROM w GROUP BY 1, 2""")
 def idx_terms(spark, sf_dir):
     return termindex.terms(lexical.prepare(corpus(spark, sf_dir)))
 
 
-@query(rf"""WITH {_CORPUS}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c),
+@query(rf"""WITH {CORPUS_SQL}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c),
 t AS (SELECT left(word, 24) AS term, key, least(count(*), 10) AS tf FROM w GROUP BY 1, 2)
 SELECT key, least(sum(tf), 10)::BIGINT AS tf FROM t WHERE starts_with(term, 'path') GROUP BY 1""")
 def idx_prefix_lookup(spark, sf_dir):
@@ -156,7 +105,7 @@ def idx_prefix_lookup(spark, sf_dir):
     return termindex.prefix_tf(termindex.terms(lexical.prepare(corpus(spark, sf_dir))), "path").select("key", F.col("tf").cast("long").alias("tf"))
 
 
-@query(rf"""WITH {_CORPUS}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
+@query(rf"""WITH {CORPUS_SQL}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
 SELECT key FROM w WHERE starts_with(word, 'worthless') INTERSECT SELECT key FROM w WHERE starts_with(word, 'clown')""")
 def idx_candidates(spark, sf_dir):
     """Documents with every word, by semi-joins on the index."""
@@ -164,12 +113,12 @@ def idx_candidates(spark, sf_dir):
 
 
 # -- folds ------------------------------------------------------------------------------------------------------------
-@query(f"WITH {_MESSAGES} SELECT key, turn, ordinal FROM m")
+@query(f"WITH {MESSAGES_SQL} SELECT key, turn, ordinal FROM m")
 def fold_ordinals(spark, sf_dir):
     return fold.ordinals(messages(spark, sf_dir)).select("key", "turn", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-@query(rf"""WITH {_MESSAGES}, p AS (SELECT key, ordinal, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM m)
+@query(rf"""WITH {MESSAGES_SQL}, p AS (SELECT key, ordinal, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM m)
 SELECT key, max(ordinal) AS message_count, count(*) FILTER (role = 'user') AS prompt_count,
   string_agg(t, ' ... ' ORDER BY ordinal) FILTER (ordinal <= 3) AS preview_first,
   (SELECT string_agg(q.t, ' ... ' ORDER BY q.ordinal DESC) FROM p q WHERE q.key = p.key AND q.ordinal > (SELECT max(r.ordinal) - 3 FROM p r WHERE r.key = p.key)) AS preview_last,
@@ -244,7 +193,7 @@ def text_bounded_head_tail(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.head_tail(F.col("text"), 1000).alias("body"))
 
 
-@query(f"WITH {_CORPUS} SELECT key, title_norm, md5(body_norm) AS body_md5 FROM c")
+@query(f"WITH {CORPUS_SQL} SELECT key, title_norm, md5(body_norm) AS body_md5 FROM c")
 def text_normalized(spark, sf_dir):
     rows = lexical.prepare(corpus(spark, sf_dir))
     return rows.select("key", "title_norm", F.md5("body_norm").alias("body_md5"))
@@ -314,7 +263,7 @@ def sem_embed_missing(spark, sf_dir):
     return semantic.embed_missing(rows, spark.createDataFrame([], "text_hash string, embedding array<float>"))
 
 
-_HITS = rf"""{_MESSAGES}, h0 AS (SELECT key, ordinal, role, {_NORM.format("text")} AS t FROM m),
+_HITS = rf"""{MESSAGES_SQL}, h0 AS (SELECT key, ordinal, role, {NORM.format("text")} AS t FROM m),
 h AS (SELECT key, ordinal, role, 2 AS terms, 8.0 + 2.0 * contains(t, 'the and')::INT + 1.0 / greatest(length(t), 1) AS score FROM h0
 WHERE regexp_matches(t, '(?:^|[^\p{{L}}])the') AND regexp_matches(t, '(?:^|[^\p{{L}}])and'))"""
 
@@ -358,14 +307,14 @@ def hyb_rrf(spark, sf_dir):
     return fused.withColumn("score", F.round("score", 8))
 
 
-@query(f"WITH {_MESSAGES} SELECT key, ordinal, role FROM m WHERE ordinal BETWEEN 2 AND 4")
+@query(f"WITH {MESSAGES_SQL} SELECT key, ordinal, role FROM m WHERE ordinal BETWEEN 2 AND 4")
 def ret_read_window(spark, sf_dir):
     """One message either side of the third of each conversation."""
     rows = fold.ordinals(messages(spark, sf_dir))
     return retrieval.read_window(rows, rows.select("key", F.lit(3).cast("long").alias("focus")).distinct(), 1).select("key", F.col("ordinal").cast("long").alias("ordinal"), "role")
 
 
-@query(f"""WITH {_MESSAGES}, o AS (SELECT *, abs(ordinal - 2) AS far FROM m),
+@query(f"""WITH {MESSAGES_SQL}, o AS (SELECT *, abs(ordinal - 2) AS far FROM m),
 u AS (SELECT key, ordinal, far, sum(length(text)) OVER (PARTITION BY key ORDER BY far, ordinal DESC)::BIGINT AS used FROM o)
 SELECT key, ordinal, used FROM u WHERE used <= 900 OR far = 0""")
 def ret_budgeted_read(spark, sf_dir):
@@ -373,7 +322,7 @@ def ret_budgeted_read(spark, sf_dir):
     return retrieval.budgeted(rows, rows.select("key", F.lit(2).alias("focus")).distinct(), 900).select("key", F.col("ordinal").cast("long").alias("ordinal"), "used")
 
 
-@query(rf"""WITH {_MESSAGES} SELECT key, ordinal - 1 AS step, min(ordinal) AS first, max(ordinal) AS last, sum(length(text))::BIGINT AS chars,
+@query(rf"""WITH {MESSAGES_SQL} SELECT key, ordinal - 1 AS step, min(ordinal) AS first, max(ordinal) AS last, sum(length(text))::BIGINT AS chars,
 left(trim(regexp_replace(arg_min(text, ordinal), '\s+', ' ', 'g')), 80) AS snippet FROM m GROUP BY 1, 2""")
 def ret_outline(spark, sf_dir):
     rows = retrieval.outline(fold.ordinals(messages(spark, sf_dir)))
@@ -400,7 +349,7 @@ def ref_message_anchors(spark, sf_dir):
     return messages(spark, sf_dir).where("text is not null and role is not null").select("key", "turn", retrieval.anchor(F.col("role"), F.col("text")).alias("anchor"))
 
 
-@query(rf"""WITH {_MESSAGES}, h0 AS (SELECT key, ordinal, {_NORM.format("text")} AS t FROM m),
+@query(rf"""WITH {MESSAGES_SQL}, h0 AS (SELECT key, ordinal, {NORM.format("text")} AS t FROM m),
 h AS (SELECT *, regexp_matches(t, '(?:^|[^\p{{L}}])that')::INT + regexp_matches(t, '(?:^|[^\p{{L}}])idiot')::INT AS terms FROM h0),
 s AS (SELECT *, max((terms = 2)::INT) OVER (PARTITION BY key) AS strict FROM h WHERE terms > 0)
 SELECT key, ordinal, terms FROM s WHERE terms = 2 OR strict = 0""")
@@ -415,7 +364,7 @@ def ret_user_only(spark, sf_dir):
     return _hits(spark, sf_dir).where("role = 'user'").select("key", "ordinal", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_MESSAGES} SELECT key, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY ordinal) AS body FROM m GROUP BY 1")
+@query(f"WITH {MESSAGES_SQL} SELECT key, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY ordinal) AS body FROM m GROUP BY 1")
 def rnd_export_plain(spark, sf_dir):
     return export.export(fold.ordinals(messages(spark, sf_dir)))
 
@@ -488,3 +437,6 @@ def str_quiet_sessions(spark, sf_dir):
     from palaver.streaming.quiet import quiet_sessions
 
     return quiet_sessions(table(spark, sf_dir, "events"), "30 minutes")
+
+
+from palaver import catalog_hits, catalog_logs  # noqa: E402, F401  (they register their queries)

@@ -74,6 +74,26 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """White space of any kind at both ends removed."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest start of whole characters within ``most`` UTF-8 bytes: a cut inside a character moves back, three bytes
+    at the most."""
+    data = F.encode(text, "UTF-8")
+    starts = [F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(most, max(most - 4, -1), -1)]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*starts))
+
+
+def without_structure(text: Column) -> Column:
+    """Excerpt text: tags with a hyphen in their name go, with what they enclose where the end tag follows; other tags stay;
+    white space collapses."""
+    name = r"[^\s>/]*-[^\s>]*"
+    return one_spaced(F.regexp_replace(text, rf"(?s)<\s*({name})(?:\s[^>]*)?>(?:.*?</\1>)?|<\s*/\s*{name}(?:\s[^>]*)?>", " "))
+
+
 def without_escapes(text: Column) -> Column:
     """Terminal control sequences (CSI, OSC, DCS, PM, APC) and other control characters removed, but tab and line ends."""
     text = F.regexp_replace(text, r"\x1b\[[0-?]*[ -/]*[@-~]", "")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value of the folder names.
+WORKTREE_MARK = "--worktrees-"
+
 
 def tool_summary(name: Column, payload: Column) -> Column:
     """``tool NAME input_keys=a,b`` of a call with a JSON object."""
@@ -44,3 +47,17 @@ def export(messages: DataFrame, form: str = "plain") -> DataFrame:
     }[form]
     rows = messages.select("key", F.struct("ordinal", line.alias("line")).alias("m"))
     return rows.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["line"]), "\n" if form == "jsonl" else "\n\n").alias("body"))
+
+
+def same_project(a: Column, b: Column) -> Column:
+    """Whether two encoded project folders are one project: what follows the worktree mark names a branch."""
+    return F.substring_index(a, WORKTREE_MARK, 1) == F.substring_index(b, WORKTREE_MARK, 1)
+
+
+def warning_lines(warnings: DataFrame) -> DataFrame:
+    """(kind, count, reference, line) of (kind, reference) warnings: each pair once; a kind with one warning names it, a kind
+    with more gives their number."""
+    once = warnings.select("kind", "reference").distinct().groupBy("kind").agg(F.count("*").alias("count"), F.min("reference").alias("first"))
+    of = F.when(F.col("count") == 1, F.col("first"))
+    line = F.when(F.col("count") == 1, F.concat_ws(" ", F.concat(F.lit("protocol agent-warning kind="), "kind"), F.concat(F.lit("ref="), of))).otherwise(F.concat(F.lit("protocol agent-warning kind="), "kind", F.lit(" count="), F.col("count")))
+    return once.select("kind", "count", of.alias("reference"), line.alias("line"))

@@ -12,20 +12,12 @@ from pyspark.sql import functions as F
 from palaver.functions.text import one_spaced
 
 PREVIEW_PARTS, TF_WORDS, ROUTE_WORDS, ROUTE_CHARS = 3, 100, 100, 800
-GENERATED_TAGS = ["command-name", "command-message", "command-args", "local-command-stdout", "system-reminder", "local-command-caveat"]
 
 
 def counts_as_message(text: Column) -> Column:
     return F.coalesce(F.trim(text) != "", F.lit(False))
 
 
-def authored_text(text: Column) -> Column:
-    """A user's own words: generated spans that end go, image marks go, white space collapses. Open spans stay."""
-    for tag in GENERATED_TAGS:
-        text = F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>", "")
-    return one_spaced(F.regexp_replace(text, r"\[Image[^\]]*\]", ""))
-
-
 def ordinals(messages: DataFrame) -> DataFrame:
     """Adds ``ordinal`` from 1: system rows and blank rows take none, an assistant needs a user before it, and a repeated
     assistant message_id keeps its first ordinal (the later row replaces it)."""

@@ -13,6 +13,7 @@ from palaver.functions.text import at_word_start, one_spaced
 
 RRF_K = 60
 SHORT_OUTLINE, OUTLINE_STEP, SNIPPET = 20, 10, 80
+MIN_REF_DIGITS, REF_DIGITS = 8, 32
 _FNV_OFFSET, _FNV_PRIME = 0x6C62272E07BB014262B821756295C58D, 0x0000000001000000000000000000013B
 
 
@@ -118,3 +119,30 @@ def unique_prefixes(refs: DataFrame, least: int = 12) -> DataFrame:
         return F.when(F.col(other).isNull(), F.lit(0)).otherwise(same - 1)
 
     return rows.select("ref", F.left("ref", F.greatest(F.lit(least), common("before") + 1, common("after") + 1).cast("int")).alias("short"))
+
+
+def parsed_range(text: Column) -> Column:
+    """``mN`` or ``mN..mM`` as (first, last, error): messages count from 1, and a range names both its ends in order."""
+    first, last = (F.regexp_extract(text, r"^m([0-9]+)(?:\.\.m([0-9]+))?$", k) for k in (1, 2))
+    low, high = first.try_cast("bigint"), F.coalesce(F.nullif(last, F.lit("")), first).try_cast("bigint")
+    error = (
+        F.when(text.contains("..."), "invalid message range; use mN or mN..mM")
+        .when(text.startswith("..") | text.endswith(".."), "open-ended message ranges are not supported")
+        .when(low.isNull() | high.isNull(), "invalid message ref; expected mN")
+        .when((low == 0) | (high == 0), "message refs are 1-based")
+        .when(low > high, "message range start must be before end")
+    )
+    return F.struct(F.when(error.isNull(), low).alias("first"), F.when(error.isNull(), high).alias("last"), error.alias("error"))
+
+
+def resolved(inputs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(input, state, n, ref) of ``inputs`` (input) against ``refs`` (ref of 32 hex digits): ``ch_`` and 8 digits and more name
+    the conversation whose digest starts so. States: found, not found, ambiguous (n candidates), and invalid for anything
+    else. Both sides meet by their first 8 digits, so no input meets all refs."""
+    digits = F.lower(F.regexp_extract("input", f"^ch_([0-9A-Fa-f]{{{MIN_REF_DIGITS},{REF_DIGITS}}})$", 1))
+    asked = inputs.select("input").distinct().withColumn("digits", digits).withColumn("head", F.left("digits", F.lit(MIN_REF_DIGITS)))
+    held = refs.select("ref", F.left("ref", F.lit(MIN_REF_DIGITS)).alias("head")).distinct()
+    met = asked.join(held, (asked["head"] == held["head"]) & held["ref"].startswith(asked["digits"]), "left")
+    rows = met.groupBy("input", "digits").agg(F.count("ref").alias("n"), F.min("ref").alias("ref"))
+    state = F.when(F.col("digits") == "", "invalid").when(F.col("n") == 0, "not found").when(F.col("n") == 1, "found").otherwise("ambiguous")
+    return rows.select("input", state.alias("state"), "n", F.when(F.col("n") == 1, F.col("ref")).alias("ref"))

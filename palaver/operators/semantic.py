@@ -5,26 +5,78 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.text import one_spaced
+from palaver.functions.query import Literal
+from palaver.functions.text import one_spaced, stripped
+from palaver.operators.lexical import literal_matches
 
 TARGET_BYTES, OVERLAP_BYTES = 2400, 300
 OVERLAP_BONUS = 0.2
 QUALITY = [(0.85, "strong"), (0.65, "good"), (0.35, "fair")]
-SPAN_TAGS = ["system-reminder", "command-message", "command-name", "local-command-stdout", "task-notification"]
 
+# Fixed values of the turn filter.
+SPAN_TAGS = ["system-reminder", "local-command-caveat", "local-command-stdout", "command-message", "command-name"]
+VALIDATION_TERMS = ["validation passed", "all checks pass", "working tree clean", "committed", "commit:", "validation:"]
+COMMAND_TERMS = ["cargo test", "just check", "git status", "git diff"]
+CODE_MARKS = ["::{", "=>", "</", "<div", "function ", "const ", "let ", "fn "]
+BOX_SIGNS = "─━│┃┌┐└┘├┤┬┴┼╭╮╰╯═║╔╗╚╝"
 
-def filtered_turn(text: Column) -> Column:
-    """Prose of a turn: fenced code out (an open fence drops the rest), tag spans out (an open tag drops the tag only)."""
-    text = F.regexp_replace(text, r"(?s)```.*?(?:```|\z)", " ")
+
+def _length_of(block: Column, signs: str) -> Column:
+    return F.regexp_count(block, F.lit(signs))
+
+
+def _is_artifact(block: Column) -> Column:
+    """Drawn boxes, tables and code rather than prose."""
+    solid, boxes, rules, letters = (_length_of(block, p) for p in (r"(?U)\S", f"[{BOX_SIGNS}]", r"[|\-+=_`]", r"[\p{IsAlphabetic}\p{N}]"))
+    drawn = (boxes * 4 >= solid) | ((boxes >= 3) & (solid <= 24))
+    code = _any([block.contains(m) for m in CODE_MARKS]) & (rules > F.floor(letters / 4))
+    return (solid == 0) | drawn | ((rules * 2 > letters) & block.contains("|")) | code
+
+
+def _is_status(block: Column) -> Column:
+    low = F.lower(block)
+    return _any([low.contains(t) for t in VALIDATION_TERMS]) & _any([low.contains(t) for t in COMMAND_TERMS])
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def filtered_turn(text: Column, role: Column | None = None) -> Column:
+    """Prose of a turn; empty where nothing is left. A slash command gives its arguments; fenced code goes (an open fence
+    drops the rest), tag spans go (an open tag drops the tag only); of the blocks between drawn signs those go that are
+    commands, drawings, tables or code, and, where ``role`` says assistant, reports of checks."""
+    called = text.contains("<command-name>") & text.contains("</command-name>")
+    args = stripped(F.regexp_extract(text, "(?s)<command-args>(.*?)</command-args>", 1))
+    text = F.when(called & (args != ""), args).otherwise(text)
+    text = F.regexp_replace(text, r"(?s)```.*?(?:```|\z)", "")
     for tag in SPAN_TAGS:
-        text = F.regexp_replace(F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>", " "), f"</?{tag}>", " ")
-    return one_spaced(F.regexp_replace(text, "[─-╿]+", " "))
+        text = F.regexp_replace(text, rf"(?s)<{tag}>(?:.*?</{tag}>)?", "")
+    blocks = F.transform(F.regexp_extract_all(one_spaced(text), F.lit(f"[{BOX_SIGNS}]+|[^{BOX_SIGNS}]+"), 0), lambda b: F.trim(b))
+
+    def kept(b: Column) -> Column:
+        low_value = b.startswith("/") | _any([b.contains(f"<{t}>") | b.contains(f"</{t}>") for t in SPAN_TAGS])
+        status = F.lit(False) if role is None else (role == "assistant") & _is_status(b)
+        return (b != "") & ~low_value & ~status & ~_is_artifact(b)
+
+    return one_spaced(F.array_join(F.filter(blocks, kept), " "))
+
+
+def holding_literals(passages: DataFrame, literals: list[Literal]) -> DataFrame:
+    """Passages (with ``text``) that hold every quoted text; a filter before the ranking."""
+    return passages.where(reduce(lambda a, b: a & b, [literal_matches(F.col("text"), x) for x in literals], F.lit(True)))
+
+
+def heaviest(passages: DataFrame, top: int = 10) -> DataFrame:
+    """(key, chunks) of the conversations with most passages."""
+    return passages.groupBy("key").agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), "key").limit(top)
 
 
 def _cut(data: bytes, at: int) -> int:

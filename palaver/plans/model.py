@@ -27,3 +27,33 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as messages: key, turn, role, text."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), "turn", "role", "text")
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages with what session tools write around them, a different form for each (key + turn) mod 8."""
+    rows, text = messages(spark, sf_dir), F.col("text")
+    forms = [
+        text,
+        F.concat(F.lit("<command-name>/review</command-name><command-args> "), F.left(text, F.lit(20)), F.lit("</command-args>")),
+        F.concat(F.lit("<command-name>/clear</command-name>"), text),
+        F.concat(text, F.lit(" <system-reminder>"), F.left(text, F.lit(30)), F.lit("</system-reminder> [Image #2] <bash-stdout>open")),
+        F.concat(F.lit("[Request interrupted by user] "), text),
+        F.concat(F.lit("<realtime_delegation><input>"), F.left(text, F.lit(40)), F.lit("</input></realtime_delegation>")),
+        F.concat(F.lit('<skill name="tidy" dir="x">'), F.left(text, F.lit(10)), F.lit("</skill> "), F.right(text, F.lit(15))),
+        F.concat(F.lit("<local-command-stdout>"), F.left(text, F.lit(10)), F.lit("</local-command-stdout>")),
+    ]
+    out = F.lit(None)
+    for k, form in enumerate(forms):
+        out = F.when((F.col("key") + F.col("turn")) % 8 == k, form).otherwise(out)
+    return rows.withColumn("text", out)
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as ranked things: key, ts (a minute each), title (first line), summary (none), project (of three), body."""
+    from palaver.operators.fold import ordinals
+
+    parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
+    rows = ordinals(messages(spark, sf_dir)).groupBy("key").agg(F.array_join(F.transform(parts, lambda m: m["text"]), " ").alias("body"), first_line(F.min_by("text", "ordinal")).alias("title"))
+    ts = F.timestamp_seconds(F.lit(int(BASE.timestamp())) + F.col("key") * 60)
+    project = F.element_at(F.array(*[F.lit(p) for p in ("alpha", "beta", "gamma")]), (F.col("key") % 3 + 1).cast("int"))
+    return rows.select("key", ts.alias("ts"), "title", F.lit(None).cast("string").alias("summary"), project.alias("project"), "body")

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.operators import evidence, fold, retrieval, semantic
+from palaver.functions import text as tx
+from palaver.operators import authored, evidence, fold, hits, retrieval, semantic
 from palaver.plans import store
 from palaver.streaming.quiet import quiet_sessions, upsert_stream
 
@@ -14,9 +15,58 @@ def test_ordinals_replace_and_skip(spark):
     assert [(r.turn, r.ordinal) for r in got] == [(1, 1), (2, 2), (4, 2), (6, 3)]
 
 
-def test_authored_text(spark):
-    rows = spark.createDataFrame([("<system-reminder>x</system-reminder> my  words [Image #1] <command-name>open",)], "t string")
-    assert rows.select(fold.authored_text(F.col("t"))).first()[0] == "my words <command-name>open"
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("<system-reminder>x</system-reminder> my words [Image #1] <bash-stdout>open", "my words  <bash-stdout>open"),
+        ("[Image: a\nb] kept [Imagery] [Image]", "[Image: a\nb] kept [Imagery]"),
+        ("<command-name>open", None),
+        (" \u00a0\n", None),
+        (None, None),
+        ("", None),
+        ("Stop hook feedback: no", None),
+        ("<command-name>/go</command-name><command-args> \n</command-args>", "/go"),
+        ("<command-name>/clear</command-name>", None),
+        ('<skill name="a" b>c</skill>\n d', "/a d"),
+        ("<realtime_delegation>x<input> say </input>", "say"),
+        ("<realtime_delegation>x", None),
+        ("<bash-input>ls</bash-input>", "ls"),
+    ],
+)
+def test_typed_text(spark, text, want):
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert rows.select(authored.typed_text(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("input_", "state"), [("ch_" + "a" * 8, "ambiguous"), ("ch_" + "A" * 9, "found"), ("ch_" + "a" * 7, "invalid"), ("ch_" + "c" * 8, "not found"), ("ch_" + "g" * 8, "invalid"), ("ch_" + "a" * 33, "invalid"), ("", "invalid")]
+)
+def test_resolved(spark, input_, state):
+    refs = spark.createDataFrame([("a" * 32,), ("a" * 8 + "b" * 24,), ("b" * 32,)], "ref string")
+    row = retrieval.resolved(spark.createDataFrame([(input_,)], "input string"), refs).first()
+    assert row.state == state and (row.ref is not None) == (state == "found")
+
+
+@pytest.mark.parametrize(("text", "most", "want"), [("aé", 2, "a"), ("aé", 3, "aé"), ("😀", 3, ""), ("", 0, ""), ("ab", 0, ""), (None, 4, None)])
+def test_cut_bytes(spark, text, most, want):
+    assert spark.createDataFrame([(text,)], "t string").select(tx.cut_bytes(F.col("t"), most)).first()[0] == want
+
+
+def test_flat_and_grouped_order(spark):
+    rows = [(1, 2, 1, "tool", 9.0), (1, 2, 1, "dialogue", 9.04), (1, 2, 3, "thinking", 9.06), (2, 1, 1, "dialogue", 0.0)]
+    found = spark.createDataFrame(rows, "key int, rank int, ordinal int, source string, score double")
+    assert [(r.key, r.ordinal, r.source) for r in hits.finalized(found, 3, flat=True).collect()] == [(2, 1, "dialogue"), (1, 1, "dialogue"), (1, 3, "thinking")]
+    assert {(r.key, r.place) for r in hits.finalized(found, 2, 1).collect()} == {(1, 1), (2, 1)}
+    assert {r.key for r in hits.finalized(found, 1).collect()} == {2}
+
+
+@pytest.mark.parametrize(
+    ("text", "role", "want"),
+    [("All checks pass: just check", "assistant", ""), ("All checks pass: just check", "user", "All checks pass: just check"), ("/go on", "user", ""), ("┌─┐ ab │ words that stay here for long │", "user", "ab words that stay here for long"), ("const a = b - c - d => e", "user", ""), ("", "user", "")],
+)
+def test_turn_filter(spark, text, role, want):
+    rows = spark.createDataFrame([(text, role)], "t string, r string")
+    assert rows.select(semantic.filtered_turn(F.col("t"), F.col("r"))).first()[0] == want
 
 
 def test_passages():
