@@ -80,3 +80,18 @@ def tool_runs(events: DataFrame) -> DataFrame:
     rows = events.withColumn("start", (F.lag("event_type").over(by).isNull() | (F.lag("event_type").over(by) != F.col("event_type"))).cast("int"))
     rows = rows.withColumn("run", F.sum("start").over(by))
     return rows.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def finished(conversations: DataFrame, flags: DataFrame) -> DataFrame:
+    """Conversations with what their flags (key, child, automated, clear_only) decide: a child has no own text (its prompts are
+    another's), children and automated ones are not ``embedded``, and ``skipped`` says why one is not kept at all."""
+    rows = conversations.join(flags, "key", "left")
+    is_ = {f: F.coalesce(F.col(f), F.lit(False)) for f in ("child", "automated", "clear_only")}
+    own = F.when(is_["child"], "").otherwise(F.col("own_text"))
+    skipped = F.when(is_["clear_only"], "clear only").when(F.coalesce(F.col("message_count"), F.lit(0)) == 0, "empty")
+    return rows.withColumns({"own_text": own, "embedded": ~(is_["child"] | is_["automated"]), "skipped": skipped})
+
+
+def project_folder(path: Column) -> Column:
+    """A path as the name of its log folder."""
+    return F.regexp_replace(path, "[^A-Za-z0-9-]", "-")

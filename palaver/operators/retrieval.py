@@ -146,3 +146,19 @@ def resolved(inputs: DataFrame, refs: DataFrame) -> DataFrame:
     rows = met.groupBy("input", "digits").agg(F.count("ref").alias("n"), F.min("ref").alias("ref"))
     state = F.when(F.col("digits") == "", "invalid").when(F.col("n") == 0, "not found").when(F.col("n") == 1, "found").otherwise("ambiguous")
     return rows.select("input", state.alias("state"), "n", F.when(F.col("n") == 1, F.col("ref")).alias("ref"))
+
+
+def match_steps(lines: DataFrame, text: str) -> DataFrame:
+    """(key, line, next, previous) of the lines of (key, line, body) that contain ``text`` in any case; the last leads to the
+    first and the first to the last."""
+    found = lines.where(F.lower("body").contains(text.lower())).select("key", "line")
+    by = Window.partitionBy("key").orderBy("line")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return found.select("key", "line", F.coalesce(F.lead("line").over(by), F.first("line").over(whole)).alias("next"), F.coalesce(F.lag("line").over(by), F.last("line").over(whole)).alias("previous"))
+
+
+def literal_context(body: Column, text: str, around: int = 80) -> Column:
+    """The first place of a quoted text with ``around`` characters on both sides; null where it does not stand."""
+    at = F.instr(body, text)
+    low = F.greatest(at - around, F.lit(1))
+    return F.when(at > 0, F.substring(body, low, at + len(text) + around - low))

@@ -17,6 +17,7 @@ from palaver.functions.text import one_spaced, stripped
 from palaver.operators.lexical import literal_matches
 
 TARGET_BYTES, OVERLAP_BYTES = 2400, 300
+CORE_MOST = 50_000
 OVERLAP_BONUS = 0.2
 QUALITY = [(0.85, "strong"), (0.65, "good"), (0.35, "fair")]
 
@@ -206,3 +207,25 @@ def ranked(rows: DataFrame, top: int) -> DataFrame:
     """The first ``top`` rows with their rank; only those are numbered."""
     first = rows.orderBy(F.desc("hybrid"), F.desc("semantic"), F.desc("lexical"), "key").limit(top)
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hybrid"), F.desc("semantic"), F.desc("lexical"), "key")))
+
+
+def refresh(resident: DataFrame, current: DataFrame) -> DataFrame:
+    """(key, action) of two states of (key, mark): keep what did not change, embed what is new or changed, drop what is gone."""
+    both = resident.select("key", F.col("mark").alias("old")).join(current.select("key", F.col("mark").alias("new")), "key", "full_outer")
+    return both.select("key", F.when(F.col("new").isNull(), "drop").when(F.col("old") == F.col("new"), "keep").otherwise("embed").alias("action"))
+
+
+def core(passages: DataFrame, most: int = CORE_MOST) -> DataFrame:
+    """Distinct texts of a cache's protected core; an error if there are more than ``most`` (the count stops there)."""
+    texts = passages.where("text is not null").select(content_key(F.col("text")).alias("text_hash")).distinct()
+    if texts.limit(most + 1).count() > most:
+        raise ValueError(f"the core holds more than {most} passages")
+    return texts
+
+
+def matrix(cache: DataFrame, dim: int) -> DataFrame:
+    """The rows of an embedding table: one for each text_hash, in ranges and sorted by it, so a lookup skips files. Vectors of
+    another length or with null or non-finite parts are left out."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    one = cache.where((F.size("embedding") == dim) & whole).groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
+    return one.repartitionByRange("text_hash").sortWithinPartitions("text_hash")

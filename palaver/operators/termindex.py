@@ -7,13 +7,16 @@ that is not the whole word, the documents found are a superset, and their normal
 from __future__ import annotations
 
 import unicodedata
+from datetime import datetime
 from functools import reduce
 from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.functions.text import at_word_start, count_at_word_start
+from palaver.functions.query import parse
+from palaver.functions.text import at_word_start, count_at_word_start, has_cjk, normalize
+from palaver.operators import lexical
 
 TERM_CHARS, TF_CAP = 24, 10
 #: The fields in which the search gate accepts a word.
@@ -82,3 +85,22 @@ def candidates(index: DataFrame, words: list[str], docs: DataFrame | None = None
 def merged(base: DataFrame, delta: DataFrame, dead: DataFrame) -> DataFrame:
     """A base index without dead keys, and a delta."""
     return base.join(dead.select("key").distinct(), "key", "left_anti").select(*base.columns).unionByName(delta)
+
+
+def short_prefixes(index: DataFrame, most: int = 2) -> DataFrame:
+    """(prefix, key, tf) of the starts of terms of one to ``most`` bytes: answers for short words, whose ranges hold much of
+    the index."""
+    starts = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length("term"))), lambda n: F.left("term", n)), lambda p: F.octet_length(p) <= most)
+    rows = index.select(F.explode(starts).alias("prefix"), "key", "tf")
+    return rows.groupBy("prefix", "key").agg(F.least(F.sum("tf"), F.lit(TF_CAP)).cast("long").alias("tf"))
+
+
+def search(index: DataFrame, prepared: DataFrame, text: str, now: datetime, top: int | None = None) -> DataFrame:
+    """The rows and scores of ``lexical.search`` by way of an index over ``SEARCHED``: documents that hold the terms of every
+    word, quoted ones too, are read and ranked; a query without such words, or with CJK text, is a scan."""
+    q = parse(text)
+    words = [*q.words, *(w for x in q.literals for w in normalize(x.text).split())]
+    terms_ = sorted(filter(None, map(looked_up, words)), key=len, reverse=True)
+    if not terms_ or any(map(has_cjk, words)):
+        return lexical.search(prepared, q, now, top)
+    return lexical.search(prepared.join(candidates(index, terms_), "key", "left_semi"), q, now, top)

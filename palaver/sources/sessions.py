@@ -215,3 +215,32 @@ def last_names(index: DataFrame) -> DataFrame:
 def thread_of(path: Column) -> Column:
     """Thread id in the name of a rollout file."""
     return F.regexp_extract(path, r"rollout-[0-9T:-]+?-([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1)
+
+
+# Fixed values of the file names and of the scan.
+AGENT_PREFIX, INTERNAL_AGENTS, UNSETTLED_SECONDS, HOT_HOURS = "agent-", ["aprompt_suggestion-", "acompact-"], 2, 24
+
+
+def file_kind(path: Column) -> Column:
+    """session, agent (a subagent's file), internal (an agent of the tool itself) or other, by the file's name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    internal = F.regexp_like(name, F.lit(f"^{AGENT_PREFIX}(?:{'|'.join(INTERNAL_AGENTS)})"))
+    return F.when(~name.endswith(".jsonl"), "other").when(internal, "internal").when(name.startswith(AGENT_PREFIX), "agent").otherwise("session")
+
+
+def settled(mtime: Column, scan_start: Column) -> Column:
+    """A modification time that can be trusted: null within two seconds of the scan, as more may be written in that tick."""
+    return F.when(mtime <= scan_start - F.expr(f"INTERVAL {UNSETTLED_SECONDS} SECONDS"), mtime)
+
+
+def hot(found: DataFrame, now: Column) -> DataFrame:
+    """Files written in the last day: those that a quick pass looks at."""
+    return found.where(F.col("mtime") >= now - F.expr(f"INTERVAL {HOT_HOURS} HOURS"))
+
+
+def one_per_file(found: DataFrame) -> DataFrame:
+    """Of (path, file_id, root, source), files that several roots list: the first root's row and the other sources in ``also``.
+    Files without an id are told apart by path."""
+    own = F.coalesce(F.concat(F.lit("id "), "file_id"), F.concat(F.lit("path "), "path"))
+    rows = found.groupBy(own.alias("own")).agg(F.min(F.struct("root", "path", "source")).alias("at"), F.collect_set("source").alias("all"))
+    return rows.select("at.path", "at.root", "at.source", F.array_sort(F.array_remove("all", F.col("at.source"))).alias("also"))
