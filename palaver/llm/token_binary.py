@@ -4,7 +4,8 @@ A shard file is: a fixed head, blocks of ``block_tokens`` ids packed to ``bits``
 ``bits`` 64-bit words, so numpy packs and unpacks 64 lanes at a time), then an index: block offsets, document ids, their
 null flags and document token ends, and last the index's own offset. A reader can seek to any block or document.
 
-Writing: documents are dealt by ranges of doc_id (ties by a hash of the text), sorted, encoded and packed where they lie;
+Writing: documents are dealt by ranges of doc_id (ties by a hash of the text), sorted, encoded whole by the library and
+packed where they lie;
 each task streams blocks to files of at most ``shard_tokens`` ids, written under a name of the attempt and renamed when
 whole, so a retried task replaces its own files and nothing else. A manifest table lists the shards that count.
 
@@ -159,7 +160,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     spark, out_uri = docs.sparkSession, _uri(out_dir)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, words=True)
+        enc = encoder(tokenizer_path)
         bits = bits_for(max(enc.vocab_size, end_id + 1))
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
