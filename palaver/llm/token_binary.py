@@ -5,9 +5,9 @@ A shard file is: a fixed head, blocks of ``block_tokens`` ids packed to ``bits``
 null flags and document token ends, and last the index's own offset. A reader can seek to any block or document.
 
 Writing: documents are dealt by ranges of doc_id (ties by a hash of the text), sorted, encoded whole by the library and
-packed where they lie;
-each task streams blocks to files of at most ``shard_tokens`` ids, written under a name of the attempt and renamed when
-whole, so a retried task replaces its own files and nothing else. A manifest table lists the shards that count.
+packed where they lie; each task streams blocks to files of at most ``shard_tokens`` ids, written under a name of the
+attempt and renamed when whole, so a retried task replaces its own files and nothing else. A manifest table lists the
+shards that count.
 
 Defined cases: a null or empty text is a document of the end id alone; null ids sort first; repeated ids keep all their
 rows; an empty table writes no shard. Ids never leave the tasks but in files.

@@ -64,10 +64,10 @@ class WordEncoder:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tk.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Adds library results for new words. Words of letters only go in joined groups: each ends in one end-of-word
+        """Adds library results for new words. Words of ASCII letters only go in joined groups: each ends in one end-of-word
         id, which cuts the group's ids again; a group whose ends do not add up is encoded word by word."""
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        other = [w for w in words if not (w.isascii() and w.isalpha())]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for group, e in zip(groups, self.tk.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=np.uint32)
@@ -80,14 +80,15 @@ class WordEncoder:
             self._add(other[i : i + 4096], self._encode(other[i : i + 4096]))
 
     def _slots(self, words: list[str]) -> np.ndarray:
-        """Two slots a word: its stem's and its closing punctuation's (mostly empty)."""
+        """Two slots a word: its stem's and its closing punctuation's, which only words of ASCII letters part with."""
         if self.n > self.max_words:
             self._reset()
         stems, tails = [], []
         for w in words:
             stem = w.rstrip(_TAIL)
-            if stem.isalpha():
-                stems.append(stem.lower() if stem.isascii() else stem)
+            # other letters may end in a mark once normalised or lowered, and a mark joins the punctuation after it
+            if stem.isascii() and stem.isalpha():
+                stems.append(stem.lower())
                 tails.append(w[len(stem) :])
             else:
                 stems.append(w)

@@ -35,6 +35,12 @@ def test_ids_are_the_librarys(library, texts, batch):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("text", ["İ. İ, x", "\u0958. \u0958\u0958,", "É. é! ÉÉ", "\ufb01. ﬁx"])
+def test_letters_that_become_marks(library, text):
+    counts, ids = WordEncoder(tokenizer_path()).encode(pa.array([text]))
+    assert ids.tolist() == ids_of(library, text) and counts.tolist() == [len(ids)]
+
+
 def test_counts(spark, library):
     got = with_limit(token_counts(spark.createDataFrame(ROWS, SCHEMA), tokenizer_path())).collect()
     want = [(i, len((t or "").encode()), n := len(ids_of(library, t)), n > 2048) for i, t, *_ in ROWS]
