@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palaver.plans.model import messages
 from palaver.plans.registry import query
-from palaver.sources import sessions
+from palaver.sources import rollouts, sessions
 
 _STAMP = "2024-01-01T00:00:00Z"
 
@@ -126,3 +126,22 @@ def src_thread_ids(spark, sf_dir):
     keys = messages(spark, sf_dir).select("key").distinct()
     own = F.concat(F.left(F.md5(F.col("key").cast("string")), F.lit(8)), F.lit("-1111-2222-3333-"), F.left(F.md5(F.concat(F.lit("x"), F.col("key").cast("string"))), F.lit(12)))
     return keys.select("key", sessions.thread_of(F.concat(F.lit("/logs/2024/rollout-2024-01-01T00-00-00-"), own, F.lit(".jsonl"))).alias("thread"))
+
+
+# -- heads of rollout files -------------------------------------------------------------------------------------------
+@query("""SELECT conv_id AS key, CASE WHEN conv_id % 6 < 2 THEN 'interactive' WHEN conv_id % 6 = 2 THEN 'automated' ELSE 'unknown' END AS mode,
+CASE conv_id % 6 WHEN 3 THEN '' WHEN 4 THEN 't' || conv_id WHEN 5 THEN 'p' || conv_id END AS parent FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def dec_rollout_heads(spark, sf_dir):
+    """Mode and parent by heads of six kinds: no source, a person's, a script's, two kinds of subagent, a named parent."""
+    key = F.col("key")
+    spawn = F.to_json(F.struct(F.struct(F.struct(F.struct(F.concat(F.lit("t"), key).alias("parent_thread_id")).alias("thread_spawn")).alias("subagent")).alias("source")))
+    kinds = [F.lit("{}"), F.lit('{"source":"cli"}'), F.lit('{"source":"exec"}'), F.lit('{"source":{"subagent":"review"}}'), spawn, F.to_json(F.struct(F.lit("other").alias("source"), F.concat(F.lit("p"), key).alias("parent_thread_id")))]
+    heads = messages(spark, sf_dir).select("key").distinct().withColumn("meta", F.element_at(F.array(*kinds), (key % 6 + 1).cast("int")))
+    return heads.select("key", rollouts.mode(F.col("meta")).alias("mode"), rollouts.parent(F.col("meta")).alias("parent"))
+
+
+@query("""SELECT conv_id AS key, coalesce(max(turn) FILTER (conv_id % 3 <> 0 AND turn >= 2), max(turn) FILTER (conv_id % 3 = 0 OR turn < 2)) AS last FROM conversations GROUP BY 1""")
+def dec_last_activity(spark, sf_dir):
+    """The first two turns are taken over from a base, in every third conversation all are; a turn stands for its time."""
+    rows = messages(spark, sf_dir).select("key", F.col("turn").alias("ts"), ((F.col("turn") < 2) | (F.col("key") % 3 == 0)).alias("inherited"))
+    return rollouts.last_activity(rows)
