@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from palaver.llm.embeddings import OP5_SQL
 from palaver.llm.exact_dedup import OP6_SQL
+from palaver.llm.filter_audit import OP13_SQL
+from palaver.llm.hard_negatives import OP11_SQL
 from palaver.llm.jaccard import OP8_SQL
+from palaver.llm.warc import OP12_SQL
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -98,6 +101,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.warc import archive_digests
+
+    return archive_digests(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_token_binary": op2_token_binary,
@@ -109,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_warc": op12_warc,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_embedding_near_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_warc": OP12_SQL, "op13_filter_audit": OP13_SQL}
