@@ -37,6 +37,7 @@ _POSITIVE = "arow long, vec_id long, score long"
 _NEGATIVE = "arow long, place int, vec_id long, score long"
 _ID = np.dtype(">i8")  # ids in binary columns: what F.hex of a long gives
 _MOST = 1 << 63
+_TABLES = 256  # anchors that meet a block of rows at a time
 
 
 def subspaces(dim: int) -> int:
@@ -264,22 +265,25 @@ def _cells(kind: type, most: int, books: dict[int, np.ndarray], schema: pa.Schem
     """Rows sorted by cell, anchors first: builds the anchors' tables, then streams the rows past them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, anchors, held, n, work = None, [], [], 0, None
+        now, anchors, held, n, work = None, [], [], 0, []
 
         def meet() -> None:
-            nonlocal held, n, work
-            if work is None and anchors:
-                work = kind(Anchors(anchors, now["dim"], book_of(books, now["dim"])), most)
+            nonlocal anchors, held, n, work
+            book = book_of(books, now["dim"]) if anchors else None
+            work += [kind(Anchors(anchors[at : at + _TABLES], now["dim"], book), most) for at in range(0, len(anchors), _TABLES)]
             if work and held:
-                work.meet(Vectors(held, now["dim"]))
-            held, n = [], 0
+                x = Vectors(held, now["dim"])
+                for w in work:
+                    w.meet(x)
+            anchors, held, n = [], [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal anchors, work
-            meet()
-            if work:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(work.rows(), schema, strict=True)], schema=schema)
-            anchors, work = [], None
+            nonlocal work
+            if now is not None:
+                meet()
+            for w in work:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(w.rows(), schema, strict=True)], schema=schema)
+            work = []
 
         for b in batches:
             for r in b.to_pylist():
@@ -327,13 +331,15 @@ def hard_negatives(
     negatives: int = 3,
     window: tuple[int, int] = (50, 95),
     sample_rows: int = 8192,
-    group: int = 256,
+    group: int = 1024,
     slice_rows: int = 1 << 16,
     block_rows: int = 2048,
+    most_broadcast: int = 100_000,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of (vec_id, embedding, label); ``is_anchor``
     is a condition on vec_id. A negative's score is ``window`` per cent of the positive's, both ends included. The
-    codebooks are fitted on about ``sample_rows`` rows; every row is coded and met."""
+    codebooks are fitted on about ``sample_rows`` rows; every row is coded and met. Sizes of labels are broadcast while there
+    are ``most_broadcast`` of them at most, and joined by a shuffle beyond."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "negatives")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -347,8 +353,10 @@ def hard_negatives(
 
     # rows of a label meet its anchors
     counts = coded.groupBy("label", "dim").agg(F.count("*").alias("rows"), F.count_if("anchor").alias("anchors")).where("anchors > 0")
+    counts = scratch.write(counts, "labels")
+    few = counts.count() <= most_broadcast
     counts = counts.select("label", "dim", F.ceil(F.col("anchors") / group).alias("parts"), F.ceil(F.col("rows") / slice_rows).alias("slices"))
-    near = coded.join(counts, ["label", "dim"]).withColumn("of", F.col("label"))
+    near = coded.join(F.broadcast(counts) if few else counts, ["label", "dim"]).withColumn("of", F.col("label"))
     own = near.where("anchor").select(F.pmod("h", "parts").alias("part"), _count_to(F.col("slices")).alias("slice"), "of", F.lit(None).cast("binary").alias("windows"), *fields)
     met = near.select(_count_to(F.col("parts")).alias("part"), F.pmod(F.xxhash64("row", F.lit(1)), "slices").alias("slice"), "of", *fields)
     schema = pa.schema([("arow", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
