@@ -12,7 +12,7 @@ from palaver.functions import text as tx
 from palaver.functions.query import shift_months, time_range
 from palaver.operators import evidence, export, fold, lexical, retrieval, semantic, termindex
 from palaver.plans import store
-from palaver.plans.model import NOW, corpus, messages, table
+from palaver.plans.model import NOW, body_index, corpus, messages, prepared, table
 from palaver.plans.registry import CORPUS_SQL, FRESH_SQL, MESSAGES_SQL, NORM, oracle_sql, queries, query, score_sql  # noqa: F401
 
 FLAGSHIP = "lex_score_documents"
@@ -20,7 +20,7 @@ FLAGSHIP = "lex_score_documents"
 
 # -- keyword ranking --------------------------------------------------------------------------------------------------
 def _scored(spark: SparkSession, sf_dir: str, text: str, top: int | None = None, rows: DataFrame | None = None) -> DataFrame:
-    found = lexical.search(lexical.prepare(corpus(spark, sf_dir) if rows is None else rows), text, NOW, top)
+    found = lexical.search(prepared(spark, sf_dir) if rows is None else rows, text, NOW, top)
     return found.select("key", F.round("score", 6).alias("score"))
 
 
@@ -39,7 +39,7 @@ def lex_top_k(spark, sf_dir):
 @query(score_sql(["and"], None, explain=True))
 def lex_explain_fields(spark, sf_dir):
     """Scores with each field's part."""
-    found = lexical.search(lexical.prepare(corpus(spark, sf_dir)), "and", NOW, explain=True)
+    found = lexical.search(prepared(spark, sf_dir), "and", NOW, explain=True)
     return found.select("key", *[F.round(f"{f}_{p}", 6).alias(f"{f}_{p}") for f in ("title", "project", "body") for p in ("tf", "near")], F.round("score", 6).alias("score"))
 
 
@@ -47,7 +47,7 @@ def lex_explain_fields(spark, sf_dir):
 def lex_time_window(spark, sf_dir):
     """A word inside a written time range; the upper hour counts to its end."""
     low, high = time_range("2024-01-01T02", "2024-01-01T10", NOW)
-    return _scored(spark, sf_dir, "idiot", rows=corpus(spark, sf_dir).where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))))
+    return _scored(spark, sf_dir, "idiot", rows=prepared(spark, sf_dir).where((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))))
 
 
 @query(f"WITH {CORPUS_SQL} SELECT key, round({FRESH_SQL.format('ts')}, 6) AS score FROM c ORDER BY ts DESC")
@@ -94,7 +94,7 @@ def flt_month_window(spark, sf_dir):
 @query(rf"""WITH {CORPUS_SQL}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
 SELECT left(word, 24) AS term, key, least(count(*), 10) AS tf FROM w GROUP BY 1, 2""")
 def idx_terms(spark, sf_dir):
-    return termindex.terms(lexical.prepare(corpus(spark, sf_dir)))
+    return body_index(spark, sf_dir).select("term", "key", "tf")
 
 
 @query(rf"""WITH {CORPUS_SQL}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c),
@@ -102,14 +102,14 @@ t AS (SELECT left(word, 24) AS term, key, least(count(*), 10) AS tf FROM w GROUP
 SELECT key, least(sum(tf), 10)::BIGINT AS tf FROM t WHERE starts_with(term, 'path') GROUP BY 1""")
 def idx_prefix_lookup(spark, sf_dir):
     """A prefix range over the terms."""
-    return termindex.prefix_tf(termindex.terms(lexical.prepare(corpus(spark, sf_dir))), "path").select("key", F.col("tf").cast("long").alias("tf"))
+    return termindex.prefix_tf(body_index(spark, sf_dir), "path").select("key", F.col("tf").cast("long").alias("tf"))
 
 
 @query(rf"""WITH {CORPUS_SQL}, w AS (SELECT key, unnest(regexp_extract_all(body_norm, '\p{{L}}+|\p{{N}}+')) AS word FROM c)
 SELECT key FROM w WHERE starts_with(word, 'worthless') INTERSECT SELECT key FROM w WHERE starts_with(word, 'clown')""")
 def idx_candidates(spark, sf_dir):
     """Documents with every word, by semi-joins on the index."""
-    return termindex.candidates(termindex.terms(lexical.prepare(corpus(spark, sf_dir))), ["worthless", "clown"]).select("key")
+    return termindex.candidates(body_index(spark, sf_dir), ["worthless", "clown"]).select("key")
 
 
 # -- folds ------------------------------------------------------------------------------------------------------------
@@ -195,7 +195,7 @@ def text_bounded_head_tail(spark, sf_dir):
 
 @query(f"WITH {CORPUS_SQL} SELECT key, title_norm, md5(body_norm) AS body_md5 FROM c")
 def text_normalized(spark, sf_dir):
-    rows = lexical.prepare(corpus(spark, sf_dir))
+    rows = prepared(spark, sf_dir)
     return rows.select("key", "title_norm", F.md5("body_norm").alias("body_md5"))
 
 
@@ -394,7 +394,7 @@ def sem_overlap(spark, sf_dir):
 @query()
 def evd_snippets(spark, sf_dir):
     """Excerpts of a ranked page (its 50 rows are the feature's bound)."""
-    found = lexical.search(lexical.prepare(corpus(spark, sf_dir)), "worthless clown", NOW, 50)
+    found = lexical.search(prepared(spark, sf_dir), "worthless clown", NOW, 50)
     return found.select("key", evidence.evidence(["worthless", "clown"], 80)("body").alias("evidence"))
 
 

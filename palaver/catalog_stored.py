@@ -5,25 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.operators import fold, lexical, retrieval, semantic, termindex
-from palaver.plans.model import NOW, corpus, messages, table
-from palaver.plans.registry import CORPUS_SQL, MESSAGES_SQL, query, score_sql
-from palaver.plans.stored import stored
+from palaver.operators import fold, postings, retrieval, semantic, termindex
+from palaver.plans.model import IDEOGRAPHS, LETTERS, NOW, ideographic, ideographic_index, index, messages, prepared, table, word_index
+from palaver.plans.registry import CORPUS_SQL, FRESH_SQL, MESSAGES_SQL, NORM, query, score_sql
 from palaver.sources import sessions
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with their normalised columns, stored once."""
-    return stored(spark, "prepared", sf_dir, lambda path: lexical.prepare(corpus(spark, sf_dir)).write.parquet(path))
-
-
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The term index of body and project, stored once, in ranges of terms."""
-    return stored(spark, "index", sf_dir, lambda path: termindex.write_index(prepared(spark, sf_dir), path, fields=termindex.SEARCHED))
-
-
 def _search(spark: SparkSession, sf_dir: str, text: str, top: int | None = None) -> DataFrame:
-    return termindex.search(index(spark, sf_dir), prepared(spark, sf_dir), text, NOW, top).select("key", F.round("score", 6).alias("score"))
+    return postings.search(word_index(spark, sf_dir), prepared(spark, sf_dir), text, NOW, top).select("key", F.round("score", 6).alias("score"))
 
 
 @query(score_sql(["worthless", "clown"], None))
@@ -52,6 +41,39 @@ def idx_short_prefixes(spark, sf_dir):
     return termindex.short_prefixes(index(spark, sf_dir))
 
 
+@query(r"""WITH t AS (SELECT doc_id AS key, unnest(string_split(n, ' ')) AS chunk, generate_subscripts(string_split(n, ' '), 1) AS place, string_split(n, ' ') AS chunks FROM (SELECT doc_id, NORM AS n FROM documents)),
+c AS (SELECT key, chunk, chunks[place + 1] AS next, unnest(range(1, length(chunk) + 1)) AS pos FROM t WHERE chunk <> ''),
+k AS (SELECT *, CASE WHEN regexp_matches(chunk[pos], '\p{N}') THEN 'n' WHEN regexp_matches(chunk[pos], '\p{L}') THEN 'l' ELSE 's' END AS kind,
+  CASE WHEN pos = 1 THEN '' WHEN regexp_matches(chunk[pos - 1], '\p{N}') THEN 'n' WHEN regexp_matches(chunk[pos - 1], '\p{L}') THEN 'l' ELSE 's' END AS before FROM c),
+s AS (SELECT key, substr(chunk, pos) AS rest, coalesce(next, '') AS next FROM k WHERE before IN ('', 's') OR (kind <> 's' AND kind <> before)),
+e AS (SELECT key, CASE WHEN strlen(rest) > 24 THEN list_max([left(rest, i) FOR i IN range(1, 25) IF strlen(left(rest, i)) <= 24])
+  WHEN next = '' THEN rest ELSE rest || ' ' || coalesce(list_max([left(next, i) FOR i IN range(1, 4) IF strlen(left(next, i)) <= 3]), left(next, 1)) END AS term FROM s)
+SELECT term, key, least(count(*), 10) AS tf FROM e GROUP BY 1, 2""".replace("NORM", NORM.format("text")))
+def idx_postings(spark, sf_dir):
+    """The stored terms: what stands at each word start, with the start of the next word."""
+    return word_index(spark, sf_dir).terms.select("term", "key", "tf")
+
+
+@query(score_sql(["and", "the"], None))
+def idx_pair_search(spark, sf_dir):
+    """Two frequent words: counts and neighbours from the index, no text read."""
+    return _search(spark, sf_dir, "and the")
+
+
+_WRITTEN = CORPUS_SQL.replace("FROM documents", f"FROM (SELECT * REPLACE (translate(text, '{LETTERS}', '{IDEOGRAPHS}') AS text) FROM documents)")
+_AND, _HE = "and".translate(str.maketrans(LETTERS, IDEOGRAPHS)), "he".translate(str.maketrans(LETTERS, IDEOGRAPHS))
+
+
+@query(rf"""WITH {_WRITTEN}, s AS (SELECT key, ts, {{0}} AS full_score, {{1}} AS starts FROM c WHERE contains(body_norm, '{_AND}') AND contains(body_norm, '{_HE}'))
+SELECT key, round(CASE WHEN starts THEN full_score ELSE 1.0 END + {FRESH_SQL.format("ts")}, 6) AS score FROM s""".format(
+    " + ".join([*[rf"{w} * ln(1.0 + least(len(regexp_extract_all({f}, '(?:^|[^\p{{L}}]){x}')), 10))" for f, w in (("title_norm", "5.0"), ("body_norm", "1.0")) for x in (_AND, _HE)], *[rf"{w} * least(len(regexp_extract_all({f}, '(?:^|[^\p{{L}}]){_AND} {_HE[0]}')), 3)" for f, w in (("title_norm", "10.0"), ("body_norm", "2.0"))]]),
+    " AND ".join(rf"regexp_matches(body_norm, '(?:^|[^\p{{L}}]){x}')" for x in (_AND, _HE)),
+))
+def idx_ideographs(spark, sf_dir):
+    """Words of ideographs: at word starts with a full score, anywhere else with a flat one, all from the index."""
+    return postings.search(ideographic_index(spark, sf_dir), ideographic(spark, sf_dir), f"{_AND} {_HE}", NOW).select("key", F.round("score", 6).alias("score"))
+
+
 @query("SELECT key FROM (" + f"WITH {CORPUS_SQL} SELECT key, ts FROM c WHERE regexp_matches(body || ' ' || project, '(?:^|[^\\p{{L}}])The and') ORDER BY ts DESC, key LIMIT 20)")
 def sem_quoted_only(spark, sf_dir):
     """A quoted text alone asks no vectors: matches, newest first (20, a page)."""

@@ -10,6 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -17,6 +18,9 @@ from pyspark.sql.types import StringType
 #: CJK and typographic punctuation that separates words, besides white space and _ - / (fixed values).
 PUNCTUATION = "　、。〈〉《》「」『』【】〔〕〖〗！（），：；？“”‘’—…·"
 _SEPARATOR = re.compile(f"[\\s_/\\-{PUNCTUATION}]")
+_ALPHABETIC = regex.compile(r"\p{Alphabetic}")
+#: Classes of Java patterns. Each names a character beyond 16 bits of its own kind: without one Java looks back by half of such.
+LETTER, DIGIT = "[\\p{IsAlphabetic}\U00010000&&[^\\p{N}]]", "[\\p{N}\U00010107]"
 _SPECIAL = set("\\^$.|?*+()[]{}")
 
 
@@ -48,15 +52,28 @@ def quote(word: str) -> str:
     return "".join("\\" + c if c in _SPECIAL else c for c in word)
 
 
+def kind_of(c: str) -> str:
+    """digit (any number sign), letter (alphabetic otherwise) or sign."""
+    if unicodedata.category(c)[0] == "N":
+        return "digit"
+    return "letter" if _ALPHABETIC.match(c) else "sign"
+
+
+def starts_word(text: str, at: int) -> bool:
+    """Whether a word starts at a place: after nothing, after a sign, or where letters and digits meet."""
+    before = kind_of(text[at - 1]) if at else "sign"
+    return before == "sign" or kind_of(text[at]) not in ("sign", before)
+
+
 def at_word_start(word: str, body: str | None = None) -> str:
     """A pattern of ``word`` where a word starts: after nothing, after a sign, or where letters and digits meet."""
-    first = word[0]
-    if first.isnumeric():
-        before = r"(?<!\p{N})"
-    elif first.isalnum():
-        before = r"(?<![\p{IsAlphabetic}&&[^\p{N}]])"
+    kind = kind_of(word[0])
+    if kind == "digit":
+        before = f"(?<!{DIGIT})"
+    elif kind == "letter":
+        before = f"(?<!{LETTER})"
     else:
-        before = r"(?<![\p{IsAlphabetic}\p{N}])"
+        before = f"(?<!{LETTER}|{DIGIT})"
     return before + (quote(word) if body is None else body)
 
 

@@ -30,9 +30,13 @@ def terms(docs: DataFrame, fields: tuple[str, ...] = ("body_norm",)) -> DataFram
     return words.groupBy(F.left("word", F.lit(TERM_CHARS)).alias("term"), "key").agg(F.least(F.count("*"), F.lit(TF_CAP)).alias("tf"))
 
 
-def write_index(docs: DataFrame, path: str, files: int = 64, fields: tuple[str, ...] = ("body_norm",)) -> None:
-    """Range-partitioned and sorted by term, so a prefix lookup skips files and row groups by their statistics."""
-    terms(docs, fields).repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+def write_index(docs: DataFrame, path: str, files: int | None = None, fields: tuple[str, ...] = ("body_norm",), file_bytes: int = 1 << 26) -> None:
+    """Ranges of (term, key), sorted: a prefix lookup skips files and row groups by their statistics, and a frequent term is
+    many files. There is a file for each ``file_bytes`` of text unless told otherwise."""
+    if files is None:
+        size = docs.agg(sum((F.coalesce(F.sum(F.octet_length(f)), F.lit(0)) for f in fields), F.lit(0))).first()[0]
+        files = max(4, -(-size // file_bytes))
+    terms(docs, fields).repartitionByRange(files, "term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(path)
 
 
 def looked_up(word: str) -> str:

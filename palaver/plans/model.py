@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions.text import first_line
+from palaver.operators import lexical, postings, termindex
+from palaver.plans.stored import stored, stored_path
 
 BASE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -24,6 +26,41 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("key"), ts.alias("ts"), first_line(F.col("text")).alias("title"), F.lit(None).cast("string").alias("summary"), F.col("source").alias("project"), F.col("text").alias("body"))
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with their normalised columns, stored once: Python runs when they are stored, not when they are searched."""
+    return stored(spark, "prepared", f"{sf_dir}/documents.parquet", lambda path: lexical.prepare(corpus(spark, sf_dir)).write.parquet(path))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of body and project, stored once."""
+    return stored(spark, "index", f"{sf_dir}/documents.parquet", lambda path: termindex.write_index(prepared(spark, sf_dir), path, fields=termindex.SEARCHED))
+
+
+def body_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the body alone."""
+    return stored(spark, "body-index", f"{sf_dir}/documents.parquet", lambda path: termindex.write_index(prepared(spark, sf_dir), path))
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """Counts at word starts with pairs and ideographs, stored once."""
+    return postings.read(spark, stored_path(spark, "postings", f"{sf_dir}/documents.parquet", lambda path: postings.write(prepared(spark, sf_dir), path)))
+
+
+#: Letters as ideographs: the documents in a script without spaces inside words.
+LETTERS, IDEOGRAPHS = "abcdefghijklmnopqrstuvwxyz", "一丁七万三上下不与丑专且世丘业东两严丧个中丰串临丸丹"
+
+
+def ideographic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with lower-case letters written as ideographs, normalised and stored once."""
+    rows = corpus(spark, sf_dir)
+    written = rows.withColumns({c: F.translate(c, LETTERS, IDEOGRAPHS) for c in ("title", "body")})
+    return stored(spark, "ideographic", f"{sf_dir}/documents.parquet", lambda path: lexical.prepare(written).write.parquet(path))
+
+
+def ideographic_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    return postings.read(spark, stored_path(spark, "ideographic-postings", f"{sf_dir}/documents.parquet", lambda path: postings.write(ideographic(spark, sf_dir), path)))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as messages: key, turn, role, text."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), "turn", "role", "text")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PATHS: dict[tuple[str, str, str], str] = {}
+_PATHS: dict[tuple[str, ...], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,12 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> DataFrame:
-    """The table ``name`` made from ``source``: ``write`` gets a new path the first time in a session. A path is known only
-    when its table is whole, so a failed write is begun anew elsewhere."""
-    key = (spark.sparkContext.applicationId, name, source)
+def mark(spark: SparkSession, path: str) -> str:
+    """Files, bytes and newest time below a path: another mark when the source is written anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    n = size = newest = 0
+    while files.hasNext():
+        f = files.next()
+        n, size, newest = n + 1, size + f.getLen(), max(newest, f.getModificationTime())
+    return f"{n}-{size}-{newest}"
+
+
+def stored_path(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """The path of what ``write`` makes from the table at ``source``, made the first time in a session and again when the source
+    has changed. A path is known only when its tables are whole, so a failed write is begun anew elsewhere."""
+    key = (spark.sparkContext.applicationId, name, source, mark(spark, source))
     if key not in _PATHS:
         path = f"{shared_folder(spark)}/palaver-{name}-{uuid.uuid4().hex[:12]}"
         write(path)
         _PATHS[key] = path
-    return spark.read.parquet(_PATHS[key])
+    return _PATHS[key]
+
+
+def stored(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> DataFrame:
+    """The one table that ``write`` makes, see ``stored_path``."""
+    return spark.read.parquet(stored_path(spark, name, source, write))
