@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.plans.model import messages
+from palaver.plans.model import messages, table
 from palaver.plans.registry import query
+from palaver.plans.stored import shared_folder
 from palaver.sources import rollouts, sessions
 
 _STAMP = "2024-01-01T00:00:00Z"
@@ -145,3 +146,68 @@ def dec_last_activity(spark, sf_dir):
     """The first two turns are taken over from a base, in every third conversation all are; a turn stands for its time."""
     rows = messages(spark, sf_dir).select("key", F.col("turn").alias("ts"), ((F.col("turn") < 2) | (F.col("key") % 3 == 0)).alias("inherited"))
     return rollouts.last_activity(rows)
+
+
+# -- threads of rollout files -----------------------------------------------------------------------------------------
+def _rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rollout files: a user's are a thread. What one goes on from makes forks, cycles, missing bases and, in every
+    other run of forty, chains longer than are followed; every ninth file cannot be read."""
+    e = F.col("event_id")
+    on = F.when((F.floor(e / 40) % 2 == 1) & (e % 40 != 0), e - 1).when((e % 7).isin(1, 2, 3, 5), e - 1).when(e % 7 == 4, e + 1)
+    named = F.when(on.isNotNull(), F.lpad(on.cast("string"), 8, "0")).when(e % 7 == 6, F.concat(F.lit("X"), e))
+    first = F.when(named.isNotNull(), F.to_json(F.struct(F.struct(F.struct(named.alias("thread_id"), (e % 50 * 10).alias("end_byte_offset")).alias("history_base")).alias("payload")))).otherwise(F.lit('{"payload":{}}'))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("thread_id"), F.lpad(e.cast("string"), 8, "0").alias("rollout_id"), (e % 4 == 0).alias("archived"), F.when(e % 9 != 8, e % 1000).alias("size"), first.alias("first"))
+    return rows.select("*", F.concat(F.lit("/h/"), "rollout_id", F.lit(".jsonl")).alias("path"), rollouts.base(F.col("first")).alias("base")).drop("first")
+
+
+def _thread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a thread table says: a file that is there, one that is gone, paginated or not; nothing of two threads in five."""
+    ids = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.min("event_id").alias("e")).where("u % 5 < 3")
+    path = F.when(F.col("u") % 5 == 0, F.concat(F.lit("/moved/"), F.lpad(F.col("e").cast("string"), 8, "0"), F.lit(".jsonl.zst"))).otherwise("/h/gone.jsonl")
+    return ids.select(F.col("u").cast("string").alias("thread_id"), path.alias("rollout_path"), (F.col("u") % 5 == 1).alias("paginated"))
+
+
+_ROLLOUTS_SQL = """e AS (SELECT event_id AS id, user_id AS t, CASE WHEN (event_id // 40) % 2 = 1 AND event_id % 40 <> 0 THEN event_id - 1 WHEN event_id % 7 IN (1, 2, 3, 5) THEN event_id - 1 WHEN event_id % 7 = 4 THEN event_id + 1 WHEN event_id % 7 = 6 THEN -1 END AS base,
+  event_id % 9 <> 8 AS there FROM events),
+s AS (SELECT t, min(id) AS first FROM e GROUP BY 1), k AS (SELECT * FROM e WHERE there),
+x AS (SELECT k.*, k.id = s.first AND k.t % 5 = 0 AS named, EXISTS (SELECT 1 FROM k o WHERE o.t = k.t AND o.base = k.id) AS continued FROM k JOIN s ON s.t = k.t),
+h AS (SELECT t, CASE WHEN bool_or(named) THEN min(id) FILTER (named) WHEN t % 5 = 1 OR count(*) = 1 THEN max(id) ELSE coalesce(max(id) FILTER (NOT continued), max(id)) END AS id,
+  CASE WHEN bool_or(named) THEN 'current' WHEN t % 5 = 1 THEN 'orphaned' ELSE 'inferred' END AS status FROM x GROUP BY t)"""
+
+
+@query(f"WITH {_ROLLOUTS_SQL} SELECT t::VARCHAR AS thread_id, lpad(id::VARCHAR, 8, '0') AS rollout_id, id % 4 = 0 AS archived, status FROM h")
+def dec_thread_heads(spark, sf_dir):
+    """The head of each thread and how it was chosen."""
+    return rollouts.heads(_rollouts(spark, sf_dir), _thread_rows(spark, sf_dir)).select("thread_id", "rollout_id", "archived", "status")
+
+
+_CHAINS_SQL = f"""{_ROLLOUTS_SQL.replace("WITH ", "")}, c(t, id, n, seen, fin) AS (SELECT t, id, 0, [id], NULL::BIGINT FROM h
+  UNION ALL SELECT c.t, b.id, c.n + 1, list_append(c.seen, b.id), (a.id % 50 * 10) FROM c JOIN e a ON a.id = c.id JOIN e b ON b.id = a.base AND b.there WHERE c.n < 15 AND NOT list_contains(c.seen, b.id)),
+m AS (SELECT t, max(n) AS most FROM c GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_CHAINS_SQL} SELECT c.t::VARCHAR AS thread_id, (most - n)::INT AS place, lpad(c.id::VARCHAR, 8, '0') AS rollout_id, fin AS "end", r.t <> c.t AS inherited,
+CASE WHEN n = 0 THEN (SELECT CASE WHEN z.base IS NULL OR list_contains(q.seen, z.base) OR most = 15 THEN NULL WHEN z.base = -1 THEN 'x' || z.id ELSE lpad(z.base::VARCHAR, 8, '0') END FROM c q JOIN e z ON z.id = q.id WHERE q.t = c.t AND q.n = most) END AS missing
+FROM c JOIN m ON m.t = c.t JOIN e r ON r.id = c.id""")
+def dec_thread_chains(spark, sf_dir):
+    """The files behind each thread, oldest first, with what they hold up to which byte."""
+    shared_folder(spark)
+    files = _rollouts(spark, sf_dir)
+    found = rollouts.chains(rollouts.heads(files, _thread_rows(spark, sf_dir)), files)
+    return found.select("thread_id", "place", "rollout_id", "end", "inherited", "missing")
+
+
+@query(f"""WITH RECURSIVE {_CHAINS_SQL}, v AS (SELECT c.t, most - n AS place, r.t <> c.t AS inherited, d.turn, d.role, d.text FROM c JOIN m ON m.t = c.t JOIN e r ON r.id = c.id JOIN conversations d ON d.conv_id = c.id WHERE fin IS NULL OR (turn * 40) < fin),
+w AS (SELECT * FROM v WHERE role IN ('user', 'system') OR inherited), f AS (SELECT *, coalesce(lag(inherited) OVER (PARTITION BY t ORDER BY place, turn), FALSE) AND NOT inherited AS forks FROM w)
+SELECT t::VARCHAR AS thread_id, place::INT AS place, (turn + 1)::INT AS line, 1 AS part, role AS kind, text FROM f WHERE role <> 'system'
+UNION ALL SELECT t::VARCHAR, place::INT, (turn + 1)::INT, 0, 'note', 'Fork: The conversation continues from here' FROM f WHERE forks""")
+def dec_fork_entries(spark, sf_dir):
+    """What a reader of each thread sees, with a note where it leaves its base: the lines of a rollout are the turns of the
+    conversation of its number, 40 bytes each; people's lines are dialogue, the others are taken over from a base only."""
+    shared_folder(spark)
+    files = _rollouts(spark, sf_dir)
+    chain = rollouts.chains(rollouts.heads(files, _thread_rows(spark, sf_dir)), files)
+    rows = messages(spark, sf_dir)
+    turns = rows.select(F.concat(F.lit("/h/"), F.lpad(F.col("key").cast("string"), 8, "0"), F.lit(".jsonl")).alias("path"), (F.col("turn") + 1).cast("int").alias("line"), (F.col("turn") * 40).alias("offset"), F.struct("role", "text").alias("value"))
+    seen = rollouts.thread_lines(turns, chain).select("thread_id", "place", "line", "inherited", F.when(F.col("value.role") == "system", "other").otherwise(F.col("value.role")).alias("kind"), F.when(F.col("value.role").isin("user", "system"), "dialogue").otherwise("inherited").alias("visibility"), "value.text")
+    return rollouts.entries(seen).select("thread_id", "at.place", "at.line", "at.part", "kind", "text")

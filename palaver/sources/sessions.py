@@ -29,11 +29,24 @@ def files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
+def placed_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """path, line (from 1), offset (its first byte), value of every line. Files are read by splits: a split's lines have
+    consecutive numbers, and counts and bytes of the splits before it (a row a split) give each line its place, so a file of
+    any size is work of many tasks."""
+    text = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    bytes_ = F.octet_length("value") + 1
+    splits = rows.groupBy("path", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"), F.sum(bytes_).alias("bytes"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", "first", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "bytes")])
+    within = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("in_split", F.coalesce(F.sum(bytes_).over(within), F.lit(0))).join(splits, ["path", "block"])
+    return rows.select("path", (F.col("n") - F.col("first") + F.col("lines_before") + 1).cast("int").alias("line"), (F.col("bytes_before") + F.col("in_split")).alias("offset"), "value")
+
+
 def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """path, line (from 1), value of every non-blank line."""
-    whole = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root, wholetext=True)
-    rows = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    return rows.select("path", (F.col("at") + 1).alias("line"), F.trim("value").alias("value")).where("value <> ''")
+    return placed_lines(spark, root, pattern).select("path", "line", F.trim("value").alias("value")).where("value <> ''")
 
 
 def compressed_lines(spark: SparkSession, root: str) -> DataFrame:
