@@ -393,8 +393,8 @@ def sem_overlap(spark, sf_dir):
 
 @query()
 def evd_snippets(spark, sf_dir):
-    """Excerpts of a ranked page (its 50 rows are the feature's bound)."""
-    found = lexical.search(prepared(spark, sf_dir), "worthless clown", NOW, 50)
+    """Excerpts of a ranked page (its 200 rows are the feature's bound)."""
+    found = lexical.search(prepared(spark, sf_dir), "worthless clown", NOW, 200)
     return found.select("key", evidence.evidence(["worthless", "clown"], 80)("body").alias("evidence"))
 
 
@@ -439,4 +439,4 @@ def str_quiet_sessions(spark, sf_dir):
     return quiet_sessions(table(spark, sf_dir, "events"), "30 minutes")
 
 
-from palaver import catalog_hits, catalog_logs, catalog_stored  # noqa: E402, F401  (they register their queries)
+from palaver import catalog_hits, catalog_logs, catalog_reading, catalog_stored  # noqa: E402, F401  (they register their queries)

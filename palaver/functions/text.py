@@ -43,11 +43,6 @@ def normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 def quote(word: str) -> str:
     return "".join("\\" + c if c in _SPECIAL else c for c in word)
 
@@ -130,9 +125,5 @@ def head_tail(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(" "), F.right(text, F.lit(most - head))))
 
 
-def spaced_camel(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<=\p{Ll})(?=\p{Lu})", " ")
-
-
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)

@@ -31,13 +31,6 @@ def age(seconds: Column) -> Column:
     return F.when(seconds < 48 * 3600, F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(seconds / 86400).cast("string"), F.lit("d")))
 
 
-def escaped(text: Column) -> Column:
-    """One protocol atom: per cent, white space and quotes percent-escaped."""
-    for c, code in (("%", "%25"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"), ('"', "%22")):
-        text = F.replace(text, F.lit(c), F.lit(code))
-    return text
-
-
 def export(messages: DataFrame, form: str = "plain") -> DataFrame:
     """(key, body): a conversation's messages in order, as plain text, Markdown or JSON lines."""
     line = {

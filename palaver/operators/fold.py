@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import one_spaced
 
-PREVIEW_PARTS, TF_WORDS, ROUTE_WORDS, ROUTE_CHARS = 3, 100, 100, 800
+PREVIEW_PARTS, ROUTE_WORDS = 3, 100
 
 
 def counts_as_message(text: Column) -> Column:

@@ -19,11 +19,6 @@ BEFORE, AFTER, PREVIEW = 40, 80, 160
 SEGMENT_CHARS = 16 * 1024
 
 
-def title_of(*names: Column) -> Column:
-    """The first title there is: one given, a summary, a preview."""
-    return F.coalesce(*names)
-
-
 def segments(messages: DataFrame) -> DataFrame:
     """One row for each part of (key, ordinal, role, text, thinking, tools, results): source and text. Blank parts give none;
     a tool call reads as its summary."""

@@ -7,7 +7,6 @@ Input columns: key, ts, title, summary, project, body and the ``*_norm`` columns
 
 from __future__ import annotations
 
-import re
 from datetime import datetime
 from functools import reduce
 
@@ -15,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.query import Literal, Query, parse
-from palaver.functions.text import at_word_start, count_at_word_start, has_cjk, normalized, quote
+from palaver.functions.spans import literal_pattern
+from palaver.functions.text import at_word_start, count_at_word_start, has_cjk, normalized
 
 # Fixed values of the ranking.
 WEIGHTS = {"title": 5.0, "summary": 3.0, "project": 4.0, "body": 1.0}
@@ -47,10 +47,9 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def literal_matches(text: Column, literal: Literal) -> Column:
-    """The literal at a word start, its end free; without capitals it matches by lower case."""
-    if literal.sensitive:
-        return text.contains(literal.text) & text.rlike(at_word_start(literal.text))
-    return text.rlike("(?iu)" + at_word_start(literal.text))
+    """The literal at a word start, its end free; without capitals each character matches by its lower case."""
+    found = text.rlike(literal_pattern(literal))
+    return text.contains(literal.text) & found if literal.sensitive else found
 
 
 def literal_text() -> Column:
@@ -119,7 +118,3 @@ def list_rows(conversations: DataFrame, after: datetime | None = None, before: d
         out = out.where(~(F.col("automated") | F.col("child")))
     return out
 
-
-def pattern_sql(word: str) -> str:
-    """A DuckDB pattern of a lower-case word of letters at a word start."""
-    return "(?:^|[^\\p{L}])" + re.escape(quote(word))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,10 +102,6 @@ def anchor(*parts: Column) -> Column:
     return F.concat(F.lit("ma_"), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16)))
 
 
-def project_id(name: str) -> str:
-    return "pr_" + hashlib.sha256(name.encode()).hexdigest()[:16]
-
-
 def unique_prefixes(refs: DataFrame, least: int = 12) -> DataFrame:
     """Shortest prefix of each ref that no other shares, ``least`` digits and more. Neighbours decide: refs are dealt to
     ranges by their first two digits, and only the ends of a range look across."""

@@ -203,12 +203,6 @@ def best_per_conversation(scored: DataFrame) -> DataFrame:
     return scored.groupBy("key").agg(F.max("hybrid").alias("hybrid"), best).select("key", "hybrid", "b.chunk", "b.semantic", "b.lexical")
 
 
-def ranked(rows: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` rows with their rank; only those are numbered."""
-    first = rows.orderBy(F.desc("hybrid"), F.desc("semantic"), F.desc("lexical"), "key").limit(top)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hybrid"), F.desc("semantic"), F.desc("lexical"), "key")))
-
-
 def refresh(resident: DataFrame, current: DataFrame) -> DataFrame:
     """(key, action) of two states of (key, mark): keep what did not change, embed what is new or changed, drop what is gone."""
     both = resident.select("key", F.col("mark").alias("old")).join(current.select("key", F.col("mark").alias("new")), "key", "full_outer")

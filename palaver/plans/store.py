@@ -1,15 +1,10 @@
-"""The store: diffs of a scan against what is stored, batches applied, generations published under a pointer."""
+"""The store: diffs of a scan against what is stored, batches applied."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Policy of compaction (fixed values): deltas before a merge, share of the base before a full one.
-MOST_DELTAS, BASE_SHARE = 4, 0.10
-
 
 def diff(scan: DataFrame, base: DataFrame, may_miss: bool = False) -> DataFrame:
     """(path, action) of two (path, mark) states: add, keep, parse, drop; an incomplete scan drops nothing, and a null mark
@@ -24,60 +19,3 @@ def apply_batch(rows: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame
     """Stored rows with those of ``fresh`` in place of theirs and without ``gone``, by path."""
     out = rows.join(fresh.select("path").distinct(), "path", "left_anti").join(gone.select("path").distinct(), "path", "left_anti")
     return out.unionByName(fresh)
-
-
-def content_mark(rows: DataFrame) -> str:
-    """An order-free mark of all rows of a table."""
-    got = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
-    return f"{got[0]}-{got[1]}"
-
-
-class Generations:
-    """Immutable snapshots of a table below ``root``; CURRENT names the one that counts. Publishing what is already there
-    writes nothing; one generation behind the current one is kept. Paths go through Spark's file systems."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def history(self) -> list[tuple[str, str]]:
-        """(name, mark), newest first; two rows at most."""
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return []
-        return [tuple(r.value.split(" ")) for r in self.spark.read.text(f"{self.root}/CURRENT").collect()]
-
-    def current(self) -> DataFrame | None:
-        known = self.history()
-        return self.spark.read.parquet(f"{self.root}/{known[0][0]}") if known else None
-
-    def publish(self, rows: DataFrame) -> bool:
-        """Writes a generation and points at it; False if the content is that of the current one."""
-        known, name = self.history(), f"gen-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}")
-        mark = content_mark(self.spark.read.parquet(f"{self.root}/{name}"))
-        if known and known[0][1] == mark:
-            self._delete(name)
-            return False
-        lines = [(f"{name} {mark}",), *[(" ".join(k),) for k in known[:1]]]
-        self.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT.new")
-        fs, new = self._fs(f"{self.root}/CURRENT.new")
-        _, now = self._fs(f"{self.root}/CURRENT")
-        fs.delete(now, True)
-        fs.rename(new, now)
-        for old, _ in known[1:]:
-            self._delete(old)
-        return True
-
-    def _delete(self, name: str) -> None:
-        fs, p = self._fs(f"{self.root}/{name}")
-        fs.delete(p, True)
-
-
-def wants_compaction(deltas: int, delta_rows: int, dead_rows: int, base_rows: int) -> str | None:
-    if base_rows and (delta_rows + dead_rows) / base_rows > BASE_SHARE:
-        return "full"
-    return "deltas" if deltas > MOST_DELTAS else None
