@@ -65,3 +65,63 @@ def test_more_entities_than_a_format_holds(spark):
     hosts = [f"{a}.{b}.1.{c}" for a in range(1, 10) for b in range(10) for c in range(10)]
     got = pseudonymise(spark.createDataFrame([(i, x) for i, x in enumerate(hosts)], "doc_id long, text string"), "key").collect()
     assert len({r.text for r in got}) == len(hosts) and not {r.text for r in got} & set(hosts)
+
+
+PROBES = [
+    "Mrs Emma Stone wrote; Dr Emma Stone and Prof. Emma Stone answered.",
+    "Dr Алексей Иванов и Доктор Мария Шевченко",
+    "Dr Maria called",
+    "call +49 170 1234567 or +44 20 79460958 now",
+    "0049 170 1234567 is the same",
+    "030/1234567, (030) 1234567, 0170 1234567, 030 1234567",
+    "host 2001:db8:85a3:8d3:1319:8a2e:370:7348 and fe80::1ff:fe23:4567:890a at 12:30:45",
+    "Frau Müller-Lüdenscheidt und Herr Müller",
+    "born 05-2024, at 0.12345678, on 01.02.2024, room 01/02",
+    "Dr Илья Кузнецов, г-жа Мария Шевченко",
+]
+
+
+@pytest.fixture(scope="module")
+def probes(spark):
+    docs = spark.createDataFrame(list(enumerate(PROBES)), "doc_id long, text string")
+    return [r.text for r in sorted(pseudonymise(docs, "key").collect(), key=lambda r: r.doc_id)]
+
+
+def test_one_surrogate_a_name_whatever_the_title(probes):
+    first, second, third = re.fullmatch(r"Mrs (\w+ \w+) wrote; Dr (\w+ \w+) and Prof\. (\w+ \w+) answered\.", probes[0]).groups()
+    assert first == second == third != "Emma Stone"
+    from palaver.llm.pii import ENDS, GIVEN
+
+    given = first.split()[0]
+    assert given in GIVEN["latin", "f"] or given.endswith(tuple(ENDS["latin", "f"]))
+
+
+def test_given_name_and_surname_agree(probes):
+    man, woman = re.fullmatch(r"Dr (\w+ \w+) и Доктор (\w+ \w+)", probes[1]).groups()
+    assert man.split()[0][-1] not in "ая" and man.split()[1][-1] not in "ая"
+    assert woman.split()[0][-1] in "ая" and woman.split()[1][-1] in "ая"  # of a surname that shows nothing
+    man, again = re.fullmatch(r"Dr (\w+ \w+), г-жа (\w+ \w+)", probes[9]).groups()
+    assert man.split()[0][-1] not in "ая" and man.split()[1][-1] not in "ая" and again == woman
+    from palaver.llm.pii import ENDS, GIVEN
+
+    alone = re.fullmatch(r"Dr (\w+) called", probes[2])[1]
+    assert alone in GIVEN["latin", "f"] or alone.endswith(tuple(ENDS["latin", "f"]))
+
+
+def test_no_digit_of_a_phone_is_left(probes):
+    one, two = re.fullmatch(r"call (\+49 \d{3} \d{7}) or (\+44 \d\d \d{8}) now", probes[3]).groups()
+    assert "1234567" not in probes[3] and "79460958" not in probes[3]
+    same = re.fullmatch(r"(0049 \d{3} \d{7}) is the same", probes[4])[1]
+    assert same[2:] == one[1:]
+    found = re.fullmatch(r"(0\d\d/\d{7}), (\(0\d\d\) \d{7}), (0\d{3} \d{7}), (0\d\d \d{7})", probes[5]).groups()
+    digits = [re.sub(r"\D", "", x) for x in found]
+    assert "1234567" not in probes[5] and digits[0] == digits[1] == digits[3] != digits[2]
+    assert probes[8] == PROBES[8]  # dates and fractions are no phones
+
+
+def test_other_addresses_and_joined_names(probes):
+    long, short = re.fullmatch(r"host ([0-9a-f:]+) and ([0-9a-f:]+) at 12:30:45", probes[6]).groups()
+    assert [len(x) for x in long.split(":")] == [4, 3, 4, 3, 4, 4, 3, 4] and long != "2001:db8:85a3:8d3:1319:8a2e:370:7348"
+    assert [len(x) for x in short.split(":")] == [4, 0, 3, 4, 4, 4] and short != "fe80::1ff:fe23:4567:890a"
+    joined, alone = re.fullmatch(r"Frau (\w+-\w+) und Herr (\w+)", probes[7]).groups()
+    assert joined.split("-")[0] == alone and all(re.search("[^\x00-\x7f]", x) and x[0].isupper() for x in joined.split("-")) and "Müller" not in joined
