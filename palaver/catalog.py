@@ -439,4 +439,4 @@ def str_quiet_sessions(spark, sf_dir):
     return quiet_sessions(table(spark, sf_dir, "events"), "30 minutes")
 
 
-from palaver import catalog_hits, catalog_logs, catalog_reading, catalog_stored  # noqa: E402, F401  (they register their queries)
+from palaver import catalog_hits, catalog_logs, catalog_reading, catalog_stored, catalog_tools  # noqa: E402, F401  (they register their queries)

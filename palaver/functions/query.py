@@ -6,6 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from palaver.functions.text import normalize
 
@@ -100,10 +101,31 @@ def time_point(text: str, now: datetime) -> TimePoint:
     raise ValueError(f"not a time: {text!r}")
 
 
-def time_range(after: str | None, before: str | None, now: datetime) -> tuple[datetime | None, datetime | None]:
-    """[from, to): the upper bound reaches to the end of the unit it is written in; an inverted range is an error."""
-    low = time_point(after, now).start if after else None
-    high = time_point(before, now).end() if before else None
+def in_zone(local: datetime, zone: str, upper: bool) -> datetime:
+    """The instant of a wall-clock time. A time that comes twice is the earlier one as a lower bound and the later one as an
+    upper bound; one that never comes is an error."""
+    place = ZoneInfo(zone)
+    wall = local.replace(tzinfo=None)
+    first, second = (wall.replace(tzinfo=place, fold=k).astimezone(timezone.utc) for k in (0, 1))
+    if first.astimezone(place).replace(tzinfo=None) != wall:
+        raise ValueError(f"there is no {wall} in {zone}: the clock goes past it")
+    return second if upper else first
+
+
+def time_range(after: str | None, before: str | None, now: datetime, zone: str = "UTC") -> tuple[datetime | None, datetime | None]:
+    """[from, to): written times are those of ``zone``; the upper bound reaches to the end of the unit it is written in; an
+    inverted range is an error."""
+
+    def bound(text: str, upper: bool) -> datetime:
+        point = time_point(text, now)
+        if point.unit == "instant":
+            return point.end() if upper else point.start
+        if not upper:
+            return in_zone(point.start, zone, False)
+        return in_zone(point.end() - timedelta(microseconds=1), zone, True) + timedelta(microseconds=1)
+
+    low = bound(after, False) if after else None
+    high = bound(before, True) if before else None
     if low and high and low >= high:
         raise ValueError("the time range is inverted")
     return low, high

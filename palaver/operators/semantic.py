@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from palaver.functions.query import Literal
-from palaver.functions.text import one_spaced, stripped
+from palaver.functions.text import at_word_start, normalize, normalized, one_spaced, stripped
 from palaver.operators.lexical import literal_matches
 
 TARGET_BYTES, OVERLAP_BYTES = 2400, 300
@@ -223,3 +224,61 @@ def matrix(cache: DataFrame, dim: int) -> DataFrame:
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     one = cache.where((F.size("embedding") == dim) & whole).groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
     return one.repartitionByRange("text_hash").sortWithinPartitions("text_hash")
+
+
+# -- passages of tools and subagents ----------------------------------------------------------------------------------
+#: Names of the six kinds of agent passages, by (of a subagent, kind of part).
+AGENT_SOURCES = {(False, "dialogue"): "dialogue", (False, "tool"): "tool", (False, "thinking"): "thinking", (True, "dialogue"): "subagent-dialogue", (True, "tool"): "subagent-tool", (True, "thinking"): "subagent-thinking"}
+#: Words that say nothing of a tool's text (fixed values).
+STOP_WORDS = "after all an and are as at be before but by can do does for from has have how if in is it its my no not of on or our so than that the them then they this to up was we what when where which why with would you your".split()
+
+
+def spaced_case(text: Column) -> Column:
+    """A space between a small letter and a capital."""
+    return F.regexp_replace(text, r"(?<=\p{Ll})(?=\p{Lu})", " ")
+
+
+def tool_terms(query: str) -> list[str]:
+    """The distinct words of a query that tool texts are looked through for: normalised, without signs at their ends, of two
+    characters and more."""
+    words = normalize(re.sub(r"([a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])", r"\1 ", query)).split()
+    bare = [re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in words]
+    return list(dict.fromkeys(w for w in bare if len(w) > 1 and w not in STOP_WORDS))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def byte_segments(texts: pd.Series, most: pd.Series) -> pd.Series:
+    """A text in parts of at most so many bytes, no character cut (one at least a part)."""
+
+    def cut(text: str | None, n: int) -> list[str] | None:
+        if text is None:
+            return None
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            end = _cut(data, at + n) if at + n < len(data) else len(data)
+            if end <= at:  # a character larger than a part
+                end = at + len(data[at : at + 4].decode(errors="ignore")[:1].encode())
+            out.append(data[at:end].decode())
+            at = end
+        return out
+
+    return pd.Series([cut(t, int(n)) for t, n in zip(texts, most, strict=True)])
+
+
+def agent_passages(segments: DataFrame, query: str | None = None, most: int = TARGET_BYTES) -> DataFrame:
+    """(key, ordinal, part, source, segment, text): passages of (key, ordinal, part, source, subagent, text), six kinds in all. A
+    tool's text gives each of its segments a passage of its own; with a query it gives the one that holds most of the
+    query's terms (the last of equals), where that holds one, or two of three and more."""
+    kind = F.coalesce(*[F.when((F.col("subagent") == sub) & (F.col("source") == part), F.lit(name)) for (sub, part), name in AGENT_SOURCES.items()])
+    rows = segments.select("key", "ordinal", "part", kind.alias("source"), F.col("source").alias("of"), "text").where("source is not null")
+    tools = rows.where("of = 'tool'").select("key", "ordinal", "part", "source", F.posexplode(byte_segments(F.col("text"), F.lit(most))).alias("segment", "text"))
+    if query is not None:
+        terms = tool_terms(query)
+        tools = tools.withColumn("norm", normalized(spaced_case(F.col("text"))))
+        met = sum((F.col("norm").rlike(at_word_start(t)).cast("int") for t in terms), F.lit(0))
+        tools = tools.withColumn("met", met).where(F.col("met") >= (2 if len(terms) >= 3 else 1))
+        best = F.max_by(F.struct("segment", "text"), F.struct("met", "segment")).alias("b")
+        tools = tools.groupBy("key", "ordinal", "part", "source").agg(best).select("key", "ordinal", "part", "source", "b.segment", "b.text")
+    said = rows.where("of <> 'tool'").select("key", "ordinal", "part", "source", F.lit(0).alias("segment"), "text")
+    both = tools.unionByName(said).withColumn("text", stripped(F.col("text")))
+    return both.where("text <> ''")
