@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: space and 0x09-0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -83,6 +84,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows as they are read where that is work for every core, else dealt evenly: a file of one row group is one task, however
+    large it is. The count reads no column."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    return docs if tasks >= cores else docs.repartition(cores)
+
+
 def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One string array with nulls as empty strings."""
     if isinstance(column, pa.ChunkedArray):

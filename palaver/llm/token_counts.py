@@ -1,8 +1,9 @@
 """Token counts: lengths of every whole text under a public tokenizer, without keeping ids.
 
 Arrow functions get record batches, re-cut to about equal bytes, and give each to the library; texts longer than a batch are
-split at boundaries that the vocabulary never crosses. There is no shuffle: a scan, one Arrow stage, a result. ``words``
-takes the word memo of ``tokens`` instead, where the vocabulary is of that kind; the counts are the same.
+split at boundaries that the vocabulary never crosses. A scan, one Arrow stage, a result. ``words``
+takes the word memo of ``tokens`` instead, where the vocabulary is of that kind; the counts are the same. A scan of fewer
+tasks than cores (a file of one row group) is dealt evenly first.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; rows with a null or repeated id each give a row; an empty
 table gives an empty result; other columns are not read.
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import bounded_batches, filled
+from palaver.llm.common import bounded_batches, filled, spread
 from palaver.llm.tokens import encoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -35,7 +36,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(counts.astype(np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def with_limit(counts: DataFrame, limit: int = 2048) -> DataFrame:

@@ -167,6 +167,7 @@ class TextEncoder:
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             self.vocab_size = sp.get_piece_size()
             self.encode_batch = lambda texts: sp.encode(texts, num_threads=1)
+            self.count_batch = lambda texts: [len(x) for x in self.encode_batch(texts)]
             # pieces begin with the mark of a space or have none, and a text gets one in front
             alone = not any("\u2581" in sp.id_to_piece(i).lstrip("\u2581") for i in range(self.vocab_size))
             self.cut = "drop" if alone and sp.encode("a b") == sp.encode("a") + sp.encode("b") else None
@@ -179,6 +180,7 @@ class TextEncoder:
                 rules = json.load(f)
             self.vocab_size = tk.get_vocab_size(with_added_tokens=True)
             self.encode_batch = lambda texts: [e.ids for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
+            self.count_batch = lambda texts: [len(e) for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
             self.cut = "drop" if _drops_white_space(rules) else "keep" if _keeps_space_in_front(rules) else None
 
     def _parts(self, text: str) -> list[str]:
@@ -196,10 +198,12 @@ class TextEncoder:
             batch = texts.slice(at, to - at).to_pylist()
             if to - at == 1:
                 found = [[x for part in self._parts(batch[0]) for x in self.encode_batch([part])[0]]] if want_ids else None
-                counts.append(len(found[0]) if want_ids else sum(len(self.encode_batch([part])[0]) for part in self._parts(batch[0])))
-            else:
+                counts.append(len(found[0]) if want_ids else sum(self.count_batch([part])[0] for part in self._parts(batch[0])))
+            elif want_ids:
                 found = self.encode_batch(batch)
                 counts += map(len, found)
+            else:
+                counts += self.count_batch(batch)
             if want_ids:
                 ids += [np.array(x, dtype=np.uint32) for x in found]
         return np.array(counts, dtype=np.int64), np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
