@@ -142,6 +142,43 @@ def resolved(inputs: DataFrame, refs: DataFrame) -> DataFrame:
     return rows.select("input", state.alias("state"), "n", F.when(F.col("n") == 1, F.col("ref")).alias("ref"))
 
 
+# How references are written, and what is said of those that are not (fixed values).
+UUID = "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
+TOO_SHORT, TOO_LONG, NOT_HEX = f"conversation ref is too short; use at least {MIN_REF_DIGITS} hex characters", f"conversation ref is too long; use at most {REF_DIGITS} hex characters", "conversation ref must contain hexadecimal digits"
+OTHER_FORM = "use a full UUID, UUID-based session basename/filename (not a path), or ref=ch_... from agent output"
+
+
+def reference_form(text: Column) -> Column:
+    """(form, value, error) of a reference: ``digest`` (its start, in small letters), ``uuid`` (in small letters), ``file`` (a
+    name without its ending that is a UUID or ends in _ and one), or an error."""
+    digits = F.substring(text, 4, F.length(text))
+    digest, uuid, file = (text.rlike(p) for p in (rf"\Ach_[0-9A-Fa-f]{{{MIN_REF_DIGITS},{REF_DIGITS}}}\z", rf"\A{UUID}\z", rf"\A(?:[^/\\]+_)?{UUID}(?:\.jsonl)?\z"))
+    right = F.when(digest, F.struct(F.lit("digest").alias("form"), F.lower(digits).alias("value"))).when(uuid, F.struct(F.lit("uuid").alias("form"), F.lower(text).alias("value"))).when(file, F.struct(F.lit("file").alias("form"), F.regexp_replace(text, r"\.jsonl$", "").alias("value")))
+    wrong = F.when(~text.startswith("ch_"), OTHER_FORM).when(F.octet_length(digits) < MIN_REF_DIGITS, TOO_SHORT).when(F.octet_length(digits) > REF_DIGITS, TOO_LONG).otherwise(NOT_HEX)
+    return F.struct(right["form"].alias("form"), right["value"].alias("value"), F.when(~(digest | uuid | file), wrong).alias("error"))
+
+
+def resolved_refs(inputs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(input, state, error, n, key, candidates) of references (input) against conversations (key, ref, legacy_ref, uuid, file). A
+    digest that no ref begins with is looked for among the refs of old. States: found, not found, ambiguous (with the
+    candidates' refs in order) and invalid. The three forms are three equi-joins; digests meet by their first digits."""
+    asked = inputs.select("input").distinct().withColumn("f", reference_form(F.col("input"))).select("input", "f.*")
+    held = keys.select("key", "ref", "legacy_ref", F.lower("uuid").alias("uuid"), F.regexp_extract("file", r"^(.*)\.jsonl$", 1).alias("stem"))
+    head = F.left("value", F.lit(MIN_REF_DIGITS)).alias("head")
+
+    def by_digest(column: str) -> DataFrame:
+        rows = held.select("key", "ref", F.col(column).alias("full"), F.left(column, F.lit(MIN_REF_DIGITS)).alias("head"))
+        return asked.where("form = 'digest'").select("input", "value", head).join(rows, "head").where("startswith(full, value)").select("input", "key", "ref")
+
+    direct = by_digest("ref")
+    old = by_digest("legacy_ref").join(direct.select("input").distinct(), "input", "left_anti")
+    named = [asked.where(f"form = '{form}'").select("input", F.col("value").alias(column)).join(held.select("key", "ref", column), column).select("input", "key", "ref") for form, column in (("uuid", "uuid"), ("file", "stem"))]
+    met = direct.unionByName(old).unionByName(named[0]).unionByName(named[1]).groupBy("input").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.sort_array(F.collect_list("ref")).alias("candidates"))
+    rows = asked.join(met, "input", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    state = F.when(F.col("error").isNotNull(), "invalid").when(F.col("n") == 0, "not found").when(F.col("n") == 1, "found").otherwise("ambiguous")
+    return rows.select("input", state.alias("state"), "error", "n", F.when(F.col("n") == 1, F.col("key")).alias("key"), F.when(F.col("n") > 1, F.col("candidates")).alias("candidates"))
+
+
 def match_steps(lines: DataFrame, text: str) -> DataFrame:
     """(key, line, next, previous) of the lines of (key, line, body) that contain ``text`` in any case; the last leads to the
     first and the first to the last."""
