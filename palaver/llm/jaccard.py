@@ -18,13 +18,14 @@ two among the first p + 1 (their overlap is at least ceil(0.75 n)).
 * the boundary minimises the rows written plus the list entries scanned, from the histogram of small sizes and the mean
   list length measured on small sets.
 
-Lists. One shuffle deals and sorts the keys. Lists up to ``short`` give their pairs where they lie. Longer lists never do:
-their entries meet the sets' sketches and are dealt in pairs of blocks, so no list lies in one task, and only pairs that
-their sketches let pass come out. A sketch holds, at each of 4 n or so places, the parity of the shingles hashed there;
+Lists. One shuffle deals and sorts the keys, entries without their sets or sketches. Lists up to ``short`` give their pairs
+where they lie. Longer lists come out as they are; their entries meet the sets' sketches and are dealt in pairs of blocks,
+so no pairs of a long list are made in one task, and only pairs that their sketches let pass come out. A sketch holds, at each of 4 n or so places, the parity of the shingles hashed there;
 two sketches differ in at most as many places as the sets differ in shingles, so nothing that links is lost.
 
-Links. First each set meets the first set that its lists and sketches offer; exact overlaps of whole sets give components.
-Then all offers between different components are verified. A pair inside a component can not change it, so the result is
+Links. First each set meets the first set that its lists and sketches offer, of a long list's first block; exact overlaps of
+whole sets give components. Then all offers between different components are verified: blocks of one component never meet,
+so a cluster of any size is dealt about as often as there are blocks of others. A pair inside a component can not change it, so the result is
 that of all pairs.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words are one shingle;
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.llm.common import Scratch, mix64
@@ -428,17 +429,35 @@ class JaccardJoin:
 
     def _offered(self, entries: DataFrame, components: DataFrame | None, first_only: bool) -> DataFrame:
         """Pairs (a, b) of long lists between different components."""
+        return self._dealt(entries, components, first_only).mapInArrow(_offers(first_only), "a long, b long").distinct()
+
+    def _dealt(self, entries: DataFrame, components: DataFrame | None, first_only: bool) -> DataFrame:
+        """Entries of long lists in the pairs of blocks (bucket, lo, hi) that are to meet."""
         own = entries.join(self.sketches, "set")
         if components is None:
             own = own.withColumn("component", F.col("set"))
         else:
             own = own.join(components.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-        sizes = own.groupBy("key").agg(F.count("*").alias("entries"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        own = own.join(sizes.select("key", F.ceil(F.col("entries") / self.block).cast("int").alias("parts")), "key")
-        own = own.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        if first_only:
+            # each block meets the list's first block only, so every entry is dealt once and the first block's once a block
+            sizes = own.groupBy("key").agg(F.count("*").alias("entries"))
+            own = own.join(sizes.select("key", F.ceil(F.col("entries") / self.block).cast("int").alias("parts")), "key")
+            own = own.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int"))
+            others = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
+        else:
+            # a component with many entries of a list has blocks of its own, which meet those of others only; the rest share blocks
+            groups = own.groupBy("key", "component").agg(F.count("*").alias("n")).withColumn("own_parts", F.when(F.col("n") > self.block // 2, F.ceil(F.col("n") / self.block).cast("int")))
+            keys = groups.groupBy("key").agg(F.coalesce(F.sum(F.when(F.col("own_parts").isNull(), F.col("n"))), F.lit(0)).alias("shared"), F.coalesce(F.sum("own_parts"), F.lit(0)).alias("apart"), F.count("*").alias("several")).where("several > 1")
+            keys = keys.select("key", F.ceil(F.col("shared") / self.block).cast("int").alias("pool"), (F.ceil(F.col("shared") / self.block) + F.col("apart")).cast("int").alias("parts"))
+            before = Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+            large = groups.where("own_parts is not null").select("key", "component", "own_parts", F.coalesce(F.sum("own_parts").over(before), F.lit(0)).cast("int").alias("offset"))
+            own = own.join(keys, "key").join(large, ["key", "component"], "left").withColumn("begin", F.col("pool") + F.col("offset"))
+            h, within = F.xxhash64("set"), F.col("own_parts")
+            own = own.withColumn("part", F.when(within.isNotNull(), F.col("begin") + F.pmod(h, within)).otherwise(F.pmod(h, F.greatest("pool", F.lit(1)))).cast("int"))
+            others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: within.isNull() | (x < F.col("begin")) | (x >= F.col("begin") + within))
+        own = own.withColumn("other", F.explode(others))
         own = own.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).withColumn("bucket", F.xxhash64("key"))
-        dealt = own.select("bucket", "lo", "hi", "key", "part", "place", "set", "component", "sketch").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        return dealt.mapInArrow(_offers(first_only), "a long, b long").distinct()
+        return own.select("bucket", "lo", "hi", "key", "part", "place", "set", "component", "sketch").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose whole sets link."""

@@ -140,3 +140,36 @@ def test_vectors(spark, block):
 def test_exact_any(spark, rows):
     got = exact_dedup(frame(spark, rows)).collect()
     assert sum(r.kept for r in got) == len({re.sub(r"\s", "", t) for _, t in rows}) and len(got) == len(rows)
+
+
+def dealt_rows(spark, n, strangers, first_only):
+    """Rows that a list of n near copies in one component, and some strangers, is dealt to blocks of 64 as."""
+    join = JaccardJoin(frame(spark, []), block=64)
+    entries = spark.range(n + strangers).selectExpr("7L AS key", "id AS place", "id AS set")
+    join.sketches = entries.selectExpr("set", "cast(null AS binary) AS sketch")
+    components = spark.range(n).selectExpr("id AS node", "0L AS component")
+    got = join._dealt(entries, None if first_only else components, first_only)
+    cells = got.groupBy("lo", "hi").agg({"set": "count"}).collect()
+    return got.count(), max(c[2] for c in cells)
+
+
+def test_a_cluster_is_dealt_in_proportion(spark):
+    for first_only in (True, False):
+        (small, _), (large, cell) = (dealt_rows(spark, n, 20, first_only) for n in (2000, 8000))
+        assert large < 4.5 * small and large < 4 * 8000 and cell < 4 * 64 + 40
+
+
+def test_blocks_of_components_meet_all_others(spark):
+    """Every two sets of different components share a cell, on different sides of it or in one block."""
+    join = JaccardJoin(frame(spark, []), block=8)
+    rows = [(1, k, k) for k in range(60)] + [(2, k, k) for k in range(9)] + [(3, k, k) for k in range(30)]
+    component = {k: 100 if k < 30 else 200 if k < 45 else k for k in range(60)}
+    entries = spark.createDataFrame(rows, "key long, place long, set long")
+    join.sketches = entries.selectExpr("set", "cast(null AS binary) AS sketch").distinct()
+    got = join._dealt(entries, spark.createDataFrame(list(component.items()), "node long, component long"), False).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault((r.key, r.lo, r.hi), []).append((r.part, r.set))
+    met = {(key, *sorted((a, b))) for (key, lo, hi), own in cells.items() for p, a in own for q, b in own if a != b and (lo == hi or p != q)}
+    want = {(key, a, b) for key, _, a in rows for other, _, b in rows if key == other and a < b and component[a] != component[b]}
+    assert want <= met and not [r for r in got if r.key == 3 and len({component[s] for _, s in cells[3, r.lo, r.hi]}) == 1]
