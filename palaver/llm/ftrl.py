@@ -233,7 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, grams: Grams, p: F
     rows = sample.mapInArrow(_known(keys), "y double, f binary").withColumn("order", F.xxhash64("f", "y", F.lit(29))).withColumn("shard", F.pmod("order", F.lit(p.shards)).cast("int"))
     rows.repartition(p.shards, "shard").write.partitionBy("shard").parquet(scratch.path("shards"))
     scratch.drop("sample")
-    made = {r.shard for r in spark.read.parquet(scratch.path("shards")).select("shard").distinct().collect()} if total else set()
+    named = spark.read.schema("y double, f binary, order long, shard int").parquet(scratch.path("shards"))  # no file where no labelled text is there
+    made = {r.shard for r in named.select("shard").distinct().collect()} if total else set()
     shards = [spark.read.schema("y double, f binary, order long").parquet(f"{scratch.path('shards')}/shard={k}").coalesce(1).sortWithinPartitions("order", "y").select(F.lit(k).alias("shard"), "y", "f") for k in sorted(made)]
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for _ in range(p.rounds if shards else 0):

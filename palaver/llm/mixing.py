@@ -54,7 +54,7 @@ def _bucket(params: MixParams) -> Column:
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], params: MixParams) -> tuple[DataFrame, list[float], list[float]]:
     """(table of bucket and log-probability by domain, log-probability of a bucket not met, log-priors)"""
-    labelled = labelled.select("doc_id", "domain").where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).dropDuplicates(["doc_id"])
+    labelled = labelled.select("doc_id", "domain").where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     share = min(1.0, params.sample_rows / max(labelled.count(), 1))
     # about sample_rows rows whatever the size of the labelled table
     picked = F.broadcast(labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(params.seed)), F.lit(1_000_000)) < int(share * 1_000_000)))
@@ -153,6 +153,8 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], exp
 
 def apply_copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as its document's copies say; columns as they were."""
-    rated = plan.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(rated, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row travels as one column, so that no name of docs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rated = plan.select(F.col("doc_id").alias("id"), "copies")
+    joined = rows.join(rated, F.col("row.doc_id").eqNullSafe(F.col("id"))).where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -49,3 +49,28 @@ def test_mix_meets_the_targets(spark):
     for d, x in zip(domains, sums, strict=False):
         assert abs(x / sum(sums[: len(domains)]) - queries.TARGETS[d]) < 0.02
     assert sums[-1] == docs.where("doc_id is not null").select("doc_id").distinct().count()
+
+
+def test_names_that_the_mixture_uses_itself(spark):
+    from palaver.llm.mixing import apply_copies
+
+    names = ["doc_id", "__id", "__copies", "__copy", "id", "row", "copies", "col", "a.b"]
+    docs = spark.createDataFrame([(1, *"abcdefgh"), (None, *"ijklmnop"), (2, *"qrstuvwx")], "doc_id long, " + ", ".join(f"`{n}` string" for n in names[1:]))
+    plan = spark.createDataFrame([(1, 2), (None, 1), (2, 0)], "doc_id long, copies long")
+    got = apply_copies(docs, plan)
+    assert got.columns == names and sorted(map(tuple, got.collect()), key=repr) == sorted([(1, *"abcdefgh")] * 2 + [(None, *"ijklmnop")], key=repr)
+
+
+def test_the_pipeline_of_no_rows_and_of_no_texts(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("nulls", [(k, None, "en", None, None, "x") for k in range(4)] + [(None, None, None, None, None, None)])):
+        (tmp_path / name).mkdir()
+        pq.write_table(spark.createDataFrame(rows, schema).toArrow(), f"{tmp_path}/{name}/documents.parquet")  # a file, also without rows
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").select("doc_id").distinct().collect()
+        assert [r.doc_id for r in got] == ([] if name == "none" else [0])  # all empty texts are copies of the first
