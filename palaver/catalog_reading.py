@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import text as tx
 from palaver.functions.spans import query_ranges
-from palaver.operators import evidence, fold, hits, matches, reading, retrieval
+from palaver.operators import evidence, fold, hits, matches, reading, retrieval, semantic, within
 from palaver.plans.model import BASE, messages, prepared, table
 from palaver.plans.registry import CORPUS_SQL, MESSAGES_SQL, NORM, query
 
@@ -125,3 +125,49 @@ def ret_read_selection(spark, sf_dir):
 def ret_read_pages(spark, sf_dir):
     """The same reads as text, with what is left out told: held against a plain version in the tests."""
     return reading.pages(*_asked(spark, sf_dir), READ_BUDGET)
+
+
+# -- inside conversations ---------------------------------------------------------------------------------------------
+_NEAR = """q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+e AS (SELECT vec_id % 100 AS key, vec_id // 100 % 6 + 1 AS ordinal, max(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)::DOUBLE[])) AS score FROM embeddings GROUP BY 1, 2)"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of a hundred conversations by their nearness to the vector of row 0 (a single row)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    one = vectors.where("vec_id = 0").select("embedding").first()[0]
+    score = semantic.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in one]))
+    return vectors.select((F.col("vec_id") % 100).alias("key"), (F.floor(F.col("vec_id") / 100) % 6 + 1).alias("ordinal"), score.alias("score"))
+
+
+@query(rf"""WITH {MESSAGES_SQL}, {_PARTS}, {_NEAR},
+o AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY key, ordinal ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, {NORM.format("text")} AS n FROM seg),
+l AS (SELECT key, ordinal, 4.0 + 1.0 / greatest(max(off + strlen(text)) - min(off), 1) AS score FROM o WHERE regexp_matches(n, '(?:^|[^\p{{L}}])the') GROUP BY 1, 2),
+b AS (SELECT coalesce(l.key, e.key) AS key, coalesce(l.ordinal, e.ordinal) AS ordinal, l.score AS ls, e.score AS es FROM l FULL OUTER JOIN e ON e.key = l.key AND e.ordinal = l.ordinal),
+f AS (SELECT b.key, b.ordinal, CASE WHEN ls IS NULL THEN 'semantic' WHEN es IS NULL THEN 'lexical' ELSE 'hybrid' END AS kind, coalesce(ls, es) AS evidence,
+  (CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.key = b.key) THEN 1.0 / 61 ELSE 0 END) + (CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.key = b.key) THEN 1.0 / 61 ELSE 0 END) AS score FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE kind WHEN 'semantic' THEN 2 ELSE 1 END, evidence DESC, ordinal) AS place FROM f)
+SELECT key, ordinal, kind, round(score, 9)::DOUBLE AS score, place FROM p WHERE place <= 4""")
+def ret_within_hybrid(spark, sf_dir):
+    """Four hits inside each conversation, by words and by meaning."""
+    found = within.within(parts(spark, sf_dir), "the", 4, _near(spark, sf_dir), asked="hybrid")
+    return found.select("key", F.col("ordinal").cast("long").alias("ordinal"), "kind", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(rf"""WITH {_NEAR}, p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, ordinal) AS place FROM e)
+SELECT key, ordinal, 'semantic' AS kind, round(score, 4) AS score, place FROM p WHERE place <= 3""")
+def ret_within_semantic(spark, sf_dir):
+    """Three hits inside each conversation by meaning."""
+    found = within.within(parts(spark, sf_dir), "the", 3, _near(spark, sf_dir), configured="semantic")
+    return found.select("key", F.col("ordinal").cast("long").alias("ordinal"), "kind", F.round("score", 4).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(rf"""WITH {MESSAGES_SQL}, {_PARTS},
+o AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY key, ordinal ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, {_PLACES.format("text", 3, "The")} AS q FROM seg),
+g AS (SELECT key, ordinal, min(CASE source WHEN 'dialogue' THEN 0 WHEN 'tool' THEN 1 ELSE 2 END) AS rank, min(off + strlen(left(text, (q[1] - 1)::INT))) AS low, max(off + strlen(left(text, (q[-1] + 2)::INT))) AS high FROM o WHERE len(q) > 0 GROUP BY 1, 2),
+p AS (SELECT *, 7.0 + 1.0 / greatest(high - low, 1) AS score, row_number() OVER (PARTITION BY key ORDER BY rank, 7.0 + 1.0 / greatest(high - low, 1) DESC, ordinal, low) AS place FROM g)
+SELECT key, ordinal, 'lexical' AS kind, round(score, 6) AS score, place FROM p WHERE place <= 3""")
+def ret_within_exact(spark, sf_dir):
+    """A quoted text inside each conversation: dialogue before tools before thoughts."""
+    found = within.within(parts(spark, sf_dir), '"The"', 3)
+    return found.select("key", F.col("ordinal").cast("long").alias("ordinal"), "kind", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
