@@ -94,8 +94,10 @@ def _ranked(spark: SparkSession, sf_dir: str, text: str) -> tuple[DataFrame, Dat
     return rows, hits.shortlisted(found, [F.desc("score"), F.desc("ts"), F.asc("key")], 10).select("key", "rank")
 
 
-def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.ordinals(messages(spark, sf_dir)).withColumn("text_norm", tx.normalized("text"))
+def _spoken(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """The messages of ranked conversations (a shortlist): cut to them before they are numbered and normalised."""
+    rows = messages(spark, sf_dir).join(F.broadcast(ranked.select("key")), "key", "left_semi")
+    return fold.ordinals(rows).withColumn("text_norm", tx.normalized("text"))
 
 
 _AT = r"(?:^|[^\p{{L}}]){0}"
@@ -118,7 +120,7 @@ SELECT key, rank, ordinal, round(score, 6) AS score, left(trim(regexp_replace(su
 def ret_global_hits(spark, sf_dir):
     """Ranked conversations give their best messages (three each, the feature's bound)."""
     rows, ranked = _ranked(spark, sf_dir, "that the")
-    found = hits.global_hits(ranked, rows, _spoken(spark, sf_dir), ["that", "the"], 3)
+    found = hits.global_hits(ranked, rows, _spoken(spark, sf_dir, ranked), ["that", "the"], 3)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -127,7 +129,7 @@ SELECT f.key, rank, ordinal, 0.0::DOUBLE AS score, CASE WHEN regexp_matches(titl
 def ret_conversation_fallback(spark, sf_dir):
     """Conversations that only their project matches stand with their first message."""
     rows, ranked = _ranked(spark, sf_dir, "alpha")
-    return hits.global_hits(ranked, rows, _spoken(spark, sf_dir), ["alpha"], 3)
+    return hits.global_hits(ranked, rows, _spoken(spark, sf_dir, ranked), ["alpha"], 3)
 
 
 _PASSAGES = """q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
@@ -161,7 +163,7 @@ FROM u LEFT JOIN (SELECT DISTINCT key, rank FROM h) lr ON lr.key = u.key LEFT JO
 def hyb_fused_hits(spark, sf_dir):
     """Message hits of both searches fused: one hit a message, ranks of conversations as score."""
     rows, ranked = _ranked(spark, sf_dir, "that the")
-    found = hits.global_hits(ranked, rows, _spoken(spark, sf_dir), ["that", "the"], 3)
+    found = hits.global_hits(ranked, rows, _spoken(spark, sf_dir, ranked), ["that", "the"], 3)
     near = _passages(spark, sf_dir)
     both = hits.fused(found, hits.shown_passages(near), hits.first_appearance(near)).orderBy(*hits.fused_order())
     return both.withColumns({"score": F.round("score", 8), "evidence": F.round("evidence", 4)})
@@ -173,7 +175,7 @@ SELECT key, rank, ordinal, place FROM o WHERE place <= 2""")
 def ret_finalized(spark, sf_dir):
     """Hits in their conversations' order: ten conversations, two hits of one."""
     rows, ranked = _ranked(spark, sf_dir, "that the")
-    found = hits.global_hits(ranked, rows, _spoken(spark, sf_dir), ["that", "the"], 3).withColumn("source", F.lit("dialogue"))
+    found = hits.global_hits(ranked, rows, _spoken(spark, sf_dir, ranked), ["that", "the"], 3).withColumn("source", F.lit("dialogue"))
     return hits.finalized(found, 10, 2).select("key", "rank", "ordinal", "place")
 
 

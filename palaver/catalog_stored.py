@@ -92,7 +92,7 @@ def sem_refresh(spark, sf_dir):
 
 @query("SELECT DISTINCT sha256(text) AS text_hash FROM conversations WHERE text IS NOT NULL")
 def sem_core(spark, sf_dir):
-    """The core of a cache, within its bound."""
+    """The core of a cache: every text once."""
     return semantic.core(messages(spark, sf_dir))
 
 
@@ -107,6 +107,16 @@ def sto_embedding_matrix(spark, sf_dir):
     return kept.join(rows.where("vec_id % 3 <> 0"), "text_hash").groupBy("text_hash").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT sha256(vec_id::VARCHAR) AS text_hash, CASE vec_id % 4 WHEN 1 THEN 'no vector' WHEN 2 THEN '3 components, not ' || len(embedding) ELSE 'not finite' END AS reason FROM embeddings WHERE vec_id % 4 <> 0""")
+def sto_refused_vectors(spark, sf_dir):
+    """Vectors that an embedding table can not hold, with the reason."""
+    vectors = table(spark, sf_dir, "embeddings")
+    dim, form = vectors.select(F.size("embedding")).first()[0], F.col("vec_id") % 4
+    bad = F.transform("embedding", lambda x, i: F.when(i == 0, F.lit(float("nan")).cast("float")).otherwise(x))
+    shown = F.when(form == 0, F.col("embedding")).when(form == 2, F.slice("embedding", 1, 3)).when(form == 3, bad)
+    return semantic.refused(vectors.select(F.sha2(F.col("vec_id").cast("string"), 256).alias("text_hash"), shown.alias("embedding")), dim)
+
+
 @query(rf"""WITH {MESSAGES_SQL} SELECT key, max(ordinal) AS message_count, CASE WHEN key % 3 = 0 THEN '' ELSE coalesce(string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ' ORDER BY ordinal) FILTER (role = 'user'), '') END AS own_text,
 key % 3 <> 0 AND key % 4 <> 0 AS embedded, CASE WHEN key % 5 = 0 THEN 'clear only' END AS skipped FROM m GROUP BY key""")
 def fold_finished(spark, sf_dir):

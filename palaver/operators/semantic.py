@@ -210,19 +210,30 @@ def refresh(resident: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("key", F.when(F.col("new").isNull(), "drop").when(F.col("old") == F.col("new"), "keep").otherwise("embed").alias("action"))
 
 
-def core(passages: DataFrame, most: int = CORE_MOST) -> DataFrame:
-    """Distinct texts of a cache's protected core; an error if there are more than ``most`` (the count stops there)."""
+def core(passages: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct texts of a cache's protected core, all of them; with ``most`` (``CORE_MOST`` is what one person's cache holds)
+    it is an error if there are more, and the count stops there."""
     texts = passages.where("text is not null").select(content_key(F.col("text")).alias("text_hash")).distinct()
-    if texts.limit(most + 1).count() > most:
+    if most is not None and texts.limit(most + 1).count() > most:
         raise ValueError(f"the core holds more than {most} passages")
     return texts
 
 
+def _flaw(dim: int) -> Column:
+    """Why a vector can not stand in a table of ``dim`` components; null where it can."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(F.col("embedding").isNull(), "no vector").when(F.size("embedding") != dim, F.concat(F.size("embedding").cast("string"), F.lit(f" components, not {dim}"))).when(~F.coalesce(whole, F.lit(False)), "not finite")
+
+
+def refused(cache: DataFrame, dim: int) -> DataFrame:
+    """(text_hash, reason) of the rows that ``matrix`` leaves out, for a caller that takes only whole caches."""
+    return cache.select("text_hash", _flaw(dim).alias("reason")).where("reason is not null")
+
+
 def matrix(cache: DataFrame, dim: int) -> DataFrame:
     """The rows of an embedding table: one for each text_hash, in ranges and sorted by it, so a lookup skips files. Vectors of
-    another length or with null or non-finite parts are left out."""
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    one = cache.where((F.size("embedding") == dim) & whole).groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
+    another length or with null or non-finite parts are left out; ``refused`` names them."""
+    one = cache.where(_flaw(dim).isNull()).groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
     return one.repartitionByRange("text_hash").sortWithinPartitions("text_hash")
 
 
