@@ -6,10 +6,11 @@ executor share, so a lost executor costs a retry and never a result.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -80,6 +81,27 @@ def bounded_batches(spark: SparkSession, most: int = 8_000_000) -> None:
         spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives the memory that this process has freed back to the system: Arrow's pool, and the C heap where it is glibc's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that ends with ``release``: a worker stays for later tasks, and would hold on to what this one has
+    freed while other stages need it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

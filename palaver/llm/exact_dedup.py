@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import WHITE, Scratch, filled, shuffle_partitions
+from palaver.llm.common import WHITE, Scratch, filled, freed, shuffle_partitions
 
 _SPILL = "uid long, doc_id long, best boolean, hash long, content binary, n_bytes long, n long, points long"
 _CLASS = "uid long, keep_id long, group_size long, kept boolean, text_sha256 string, table_bytes long"
@@ -176,7 +176,7 @@ def merged_classes(spill: DataFrame, bucket_bytes: int) -> DataFrame:
         over = sizes.where((F.col("bytes") > bucket_bytes) & (F.col("low") < F.col("high"))).select("bucket")
         whole = over.isEmpty()
         fit = dealt if whole else dealt.join(over, "bucket", "left_anti")
-        parts.append(fit.select("bucket", "uid", "doc_id", "hash", "content", "n", "points").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, _CLASS))
+        parts.append(fit.select("bucket", "uid", "doc_id", "hash", "content", "n", "points").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(freed(_merge), _CLASS))
         if whole:
             return reduce(DataFrame.unionByName, parts)
         left = dealt.join(over, "bucket", "left_semi").drop("bucket")
@@ -187,7 +187,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = 64_000_000, table_bytes: in
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of (doc_id, text). The spill table stays in ``scratch`` as
     long as the result is read; a caller that stores the result may drop ``spill``."""
     scratch = scratch or Scratch(docs.sparkSession, "exact")
-    spill = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(table_bytes), _SPILL), "spill")
+    spill = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(_scan(table_bytes)), _SPILL), "spill")
     members = spill.where("hash is null").select("uid", "doc_id", "best")
     return members.join(merged_classes(spill, bucket_bytes).drop("table_bytes"), "uid").select("doc_id", "keep_id", "group_size", (F.col("kept") & F.col("best")).alias("kept"), "text_sha256")
 

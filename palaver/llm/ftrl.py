@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import Scratch, byte_slices, filled, mix64, pieces_of, ragged_take, segments
+from palaver.llm.common import Scratch, byte_slices, filled, freed, mix64, pieces_of, ragged_take, segments
 from palaver.llm.prints import SPREAD, counted, spread
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]+|_+")
@@ -226,11 +226,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, grams: Grams, p: F
     # about sample_rows rows whatever the table's size: small enough to send to every task
     picked = F.broadcast(y.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("y", "text")
-    sample = scratch.write(texts.mapInArrow(_features_of(grams), "y double, f binary"), "sample")
-    often = counted(sample.select("f").mapInArrow(_spread_features, SPREAD), 32, p.min_df)
+    sample = scratch.write(texts.mapInArrow(freed(_features_of(grams)), "y double, f binary"), "sample")
+    often = counted(sample.select("f").mapInArrow(freed(_spread_features), SPREAD), 32, p.min_df)
     keys = np.sort(often.select("number").toArrow().column(0).to_numpy().astype(np.uint32))  # at most sample words x kinds / min_df
     # the shard and the order in it hang on what a text holds; a shard is one file
-    rows = sample.mapInArrow(_known(keys), "y double, f binary").withColumn("order", F.xxhash64("f", "y", F.lit(29))).withColumn("shard", F.pmod("order", F.lit(p.shards)).cast("int"))
+    rows = sample.mapInArrow(freed(_known(keys)), "y double, f binary").withColumn("order", F.xxhash64("f", "y", F.lit(29))).withColumn("shard", F.pmod("order", F.lit(p.shards)).cast("int"))
     rows.repartition(p.shards, "shard").write.partitionBy("shard").parquet(scratch.path("shards"))
     scratch.drop("sample")
     named = spark.read.schema("y double, f binary, order long, shard int").parquet(scratch.path("shards"))  # no file where no labelled text is there
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, grams: Grams, p: F
     shards = [spark.read.schema("y double, f binary, order long").parquet(f"{scratch.path('shards')}/shard={k}").coalesce(1).sortWithinPartitions("order", "y").select(F.lit(k).alias("shard"), "y", "f") for k in sorted(made)]
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for _ in range(p.rounds if shards else 0):
-        every = reduce(DataFrame.unionAll, shards).mapInArrow(_round(z, n, p), "shard int, i binary, change binary")
+        every = reduce(DataFrame.unionAll, shards).mapInArrow(freed(_round(z, n, p)), "shard int, i binary, change binary")
         change, met = np.zeros((2, len(z))), np.zeros(len(z))
         for row in sorted(every.toArrow().to_pylist(), key=lambda r: r["shard"]):  # a row for each shard
             i = np.frombuffer(row["i"], dtype=np.int32)
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1), hasher))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(run), "doc_id long, score double")
 
 
 def remainder(m: int):

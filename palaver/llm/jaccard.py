@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import Scratch, mix64
+from palaver.llm.common import Scratch, freed, mix64
 from palaver.llm.components import connected_components
 from palaver.llm.prints import SPREAD, counted, spread
 from palaver.llm.shingles import BITS, K, contents, shingle_sets, slices
@@ -87,7 +87,7 @@ def _counted_once(bits: int):
 def frequent(docs: DataFrame, least: int, most: int, bits: int) -> np.ndarray:
     """Prints of the shingles in more than ``least`` texts, at most ``most``, the most frequent last. A print is the upper
     ``bits`` of a hash; shingles of one print share its place in the order, which is the same for all sets."""
-    counts = counted(docs.select("text").mapInArrow(_counted_once(bits), SPREAD), bits, least + 1)
+    counts = counted(docs.select("text").mapInArrow(freed(_counted_once(bits)), SPREAD), bits, least + 1)
     got = counts.orderBy(F.desc("count"), "number").limit(most).toArrow()
     return got.column("number").to_numpy()[::-1].astype(np.uint64)
 
@@ -407,7 +407,7 @@ class JaccardJoin:
         """The size up to which sets enumerate subsets, by rows written and list entries scanned."""
         small = self.sets.where(F.col("n").between(3, self.most_light * 2))
         sizes = {r.n: r["count"] for r in small.groupBy("n").count().collect()}  # a row for each small size
-        lists = small.select("set", "n", "prefix").mapInArrow(_keys(0), "key long, place long, set long").groupBy("key").count()
+        lists = small.select("set", "n", "prefix").mapInArrow(freed(_keys(0)), "key long, place long, set long").groupBy("key").count()
         met = lists.agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
         scan = (met[0] or 1) / (met[1] or 1)
 
@@ -424,12 +424,12 @@ class JaccardJoin:
     def _met(self) -> DataFrame:
         """(key, a, b): pairs of short lists where key is null, entries (key, place, set) of long ones else."""
         self.boundary = self._boundary()
-        rows = self.sets.where("n > 2").select("set", "n", "prefix").mapInArrow(_keys(self.boundary), "key long, place long, set long")
-        return self.scratch.write(rows.repartition("key").sortWithinPartitions("key", "place", "set").mapInArrow(_meet(self.short), "key long, a long, b long"), "met")
+        rows = self.sets.where("n > 2").select("set", "n", "prefix").mapInArrow(freed(_keys(self.boundary)), "key long, place long, set long")
+        return self.scratch.write(rows.repartition("key").sortWithinPartitions("key", "place", "set").mapInArrow(freed(_meet(self.short)), "key long, a long, b long"), "met")
 
     def _offered(self, entries: DataFrame, components: DataFrame | None, first_only: bool) -> DataFrame:
         """Pairs (a, b) of long lists between different components."""
-        return self._dealt(entries, components, first_only).mapInArrow(_offers(first_only), "a long, b long").distinct()
+        return self._dealt(entries, components, first_only).mapInArrow(freed(_offers(first_only)), "a long, b long").distinct()
 
     def _dealt(self, entries: DataFrame, components: DataFrame | None, first_only: bool) -> DataFrame:
         """Entries of long lists in the pairs of blocks (bucket, lo, hi) that are to meet."""
@@ -462,13 +462,13 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose whole sets link."""
         both = pairs.join(self.whole.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(self.whole.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-        return self.scratch.write(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), name)
+        return self.scratch.write(both.select("a", "b", "x", "y").mapInArrow(freed(_linked), "a long, b long"), name)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         scratch = self.scratch
         self.hot = frequent(self.docs, self.hot_df, self.most_hot, self.print_bits)
-        self.sets = scratch.write(self.docs.mapInArrow(_prefixes(self.hot, self.print_bits), "doc_id long, n long, set long, prefix binary, sketch binary"), "sets")
+        self.sets = scratch.write(self.docs.mapInArrow(freed(_prefixes(self.hot, self.print_bits)), "doc_id long, n long, set long, prefix binary, sketch binary"), "sets")
         met = self._met()
         slim = scratch.write(self.sets.select("doc_id", "n", "set"), "slim")
         pairs = met.where("key is null").select("a", "b").distinct()
@@ -477,7 +477,7 @@ class JaccardJoin:
         self.sketches = scratch.write(self.sets.select("set", "n", "sketch").join(nodes, "set", "left_semi").dropDuplicates(["set"]), "sketches").select("set", "sketch", "n")
         scratch.drop("sets")
         a, b = (self.sketches.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        near = scratch.write(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, "a long, b long"), "near")
+        near = scratch.write(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(freed(_sketched), "a long, b long"), "near")
         self.sketches = self.sketches.select("set", "sketch")
         long_lists = not entries.isEmpty()
         first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -485,7 +485,7 @@ class JaccardJoin:
             first = first.union(self._offered(entries, None, True)).distinct()
         first = scratch.write(first, "first")
         ends = near.select(F.col("a").alias("set")).union(near.select("b")).union(entries.select("set")).distinct()
-        found = self.docs.select("text").mapInArrow(_sets_of(wanted_bits(ends)), "set long, shingles binary")
+        found = self.docs.select("text").mapInArrow(freed(_sets_of(wanted_bits(ends))), "set long, shingles binary")
         self.whole = scratch.write(found.join(ends, "set", "left_semi").dropDuplicates(["set"]), "whole")
         links = self._verified(first, "links")
         component = scratch.write(connected_components(links, scratch), "components")

@@ -111,9 +111,9 @@ def pack(lengths: DataFrame, buckets: int = 16, max_len: int = 4096, batch_token
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Counts tokens of (doc_id, text) and packs them; see ``pack``."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, memo: dict[str, int] | None = None, **options) -> DataFrame:
+    """Counts tokens of (doc_id, text) and packs them; see ``pack``. ``memo``: bounds of the word memo."""
     from palaver.llm.token_counts import token_counts
 
-    counts = token_counts(docs, tokenizer_path, words=True).select("doc_id", "n_tokens")
+    counts = token_counts(docs, tokenizer_path, words=True, **(memo or {})).select("doc_id", "n_tokens")
     return pack(Scratch(docs.sparkSession, "packing").write(counts, "lengths"), **options)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from palaver.llm.common import freed
+
 PARTS = 10  # bits that name a part
 SPREAD = "part int, starts binary, lows binary"
 _LOW = np.uint64(0xFFFF)
@@ -84,4 +86,4 @@ def _tally(bits: int, least: int):
 
 def counted(spread_rows: DataFrame, bits: int, least: int) -> DataFrame:
     """(number, count) of the numbers that occur ``least`` times and more."""
-    return spread_rows.repartition("part").sortWithinPartitions("part").mapInArrow(_tally(bits, least), "number long, count long")
+    return spread_rows.repartition("part").sortWithinPartitions("part").mapInArrow(freed(_tally(bits, least)), "number long, count long")

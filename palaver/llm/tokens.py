@@ -210,11 +210,11 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, words: bool = False) -> TextEncoder | WordEncoder:
+def encoder(path: str, words: bool = False, **bounds: int) -> TextEncoder | WordEncoder:
     """One encoder per worker process and vocabulary file, so reused workers keep a memo between tasks. With ``words`` the
-    word memo serves files of its kind."""
+    word memo serves files of its kind, within ``bounds`` (max_words, batch_bytes)."""
     if words and path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             if _drops_white_space(json.load(f)):
-                return WordEncoder(path)
+                return WordEncoder(path, **bounds)
     return TextEncoder(path)

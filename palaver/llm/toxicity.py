@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.llm.common import freed
 from palaver.llm.ftrl import Ftrl, Grams, Hasher, Model, remainder, score, train
 
 GRAMS = Grams(ngram=2, skip=1)
@@ -42,4 +43,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, params: Ftrl = PARAMS) ->
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column(at), hasher) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
