@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palaver.llm import token_binary as tb
-from palaver.llm.queries import tokenizer_path
+from palaver.llm.queries import QUERIES, tokenizer_path
 from palaver.llm.token_counts import token_counts, with_limit
 from palaver.llm.tokens import WordEncoder
 
@@ -78,3 +78,21 @@ def test_shards_read_back(spark, library, tmp_path):
         shard = tb.ShardReader(f)
         assert shard.document(shard.n_docs - 1)[-1] == 2 and shard.bits == 16
     assert tb.encode_to_shards(spark.createDataFrame([], SCHEMA), tokenizer_path(), 2).count() == 0
+
+
+def test_shards_of_a_whole_table(spark, library):
+    """Every row of the query, in more than one shard, against a plain loop with the library in order of doc_id."""
+    sf, key = "/root/testdata/sf0.01", "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        rows = QUERIES["op2_token_binary"](spark, sf).orderBy("start").collect()
+    finally:
+        spark.conf.unset(key)
+    assert len({r.shard for r in rows}) > 1
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows]
+    want, start = [], 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect():
+        ids = [*ids_of(library, r.text), 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert got == want
