@@ -160,7 +160,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     spark, out_uri = docs.sparkSession, _uri(out_dir)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, fewer_rules=True)
         bits = bits_for(max(enc.vocab_size, end_id + 1))
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()

@@ -2,6 +2,8 @@
 
 ``TextEncoder`` gives whole texts to the library (tokenizers for .json, sentencepiece for .model). A text above a size goes
 in parts, cut where the file's normaliser and pre-tokeniser are known to cut as well; where none is known it goes whole.
+With ``fewer_rules`` a text skips the rules of the file that cannot change it; the library still gets all of it, and gives
+the same ids.
 
 ``WordEncoder`` is for vocabularies that drop white space and never merge across it: a text's ids are the joined ids of its
 words between ASCII white space. It encodes only words it has not met (in library batches) and gathers the rest from a
@@ -155,11 +157,38 @@ def _keeps_space_in_front(rules: dict) -> bool:
     return not rules.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space") and not any(re.search(r"\s", t["content"]) for t in rules.get("added_tokens", []))
 
 
+def _lowers_bytes(rules: dict) -> bool:
+    """Whether a tokenizers file drops white space and is exactly NFC, white space as spaces, lower case, split, bytes."""
+    steps = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers") or []]
+    rest = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[1:]
+    as_bytes = len(rest) == 1 and rest[0].get("type") == "ByteLevel" and rest[0].get("use_regex") is False and rest[0].get("add_prefix_space") is False
+    return steps == ["NFC", "Replace", "Lowercase"] and as_bytes and _drops_white_space(rules) and not any(t["normalized"] for t in rules.get("added_tokens", []))
+
+
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
+
+
+def rules_needed(text: str) -> int:
+    """0: printable ASCII and its white space, where a byte stands for itself; 1: characters up to U+00FF, which NFC leaves as
+    they are; 2: any other."""
+    if text.isascii():
+        return 1 if _CONTROL.search(text) else 0
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return 2
+    return 1
+
+
 class TextEncoder:
     """ids of whole texts by the library of the file. A cut is a space between two ASCII letters or digits; ``cut`` tells
-    whether the part after it keeps the space, drops it, or whether this file has no cut that is known to be safe."""
+    whether the part after it keeps the space, drops it, or whether this file has no cut that is known to be safe.
 
-    def __init__(self, path: str, batch_bytes: int = 1_000_000, part_chars: int = 1_000_000) -> None:
+    ``fewer_rules``, for files of a known kind (``_lowers_bytes``): ``tokenizers`` holds the file without NFC, the white
+    space rule and bytes, the file without NFC and the white space rule, and the file; ``rules_needed`` chooses by text. No
+    piece holds white space, so what stands for it changes no id."""
+
+    def __init__(self, path: str, batch_bytes: int = 1_000_000, part_chars: int = 1_000_000, fewer_rules: bool = False) -> None:
         self.batch_bytes, self.part_chars = batch_bytes, part_chars
         if path.endswith(".model"):
             import sentencepiece
@@ -182,6 +211,21 @@ class TextEncoder:
             self.encode_batch = lambda texts: [e.ids for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
             self.count_batch = lambda texts: [len(e) for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
             self.cut = "drop" if _drops_white_space(rules) else "keep" if _keeps_space_in_front(rules) else None
+            if fewer_rules and _lowers_bytes(rules):
+                lower = rules | {"normalizer": rules["normalizer"]["normalizers"][-1]}
+                plain = lower | {"pre_tokenizer": rules["pre_tokenizer"]["pretokenizers"][0]}
+                self.tokenizers = [Tokenizer.from_str(json.dumps(plain)), Tokenizer.from_str(json.dumps(lower)), tk]
+                self.encode_batch = self._encode_by_rules
+
+    def _encode_by_rules(self, texts: list[str]) -> list[list[int]]:
+        rows: list[list[int]] = [[], [], []]
+        for i, text in enumerate(texts):
+            rows[rules_needed(text)].append(i)
+        out: list[list[int]] = [[]] * len(texts)
+        for tk, mine in zip(self.tokenizers, rows, strict=True):
+            for i, e in zip(mine, tk.encode_batch_fast([texts[i] for i in mine], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
     def _parts(self, text: str) -> list[str]:
         out, at = [], 0
@@ -210,11 +254,11 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, words: bool = False, **bounds: int) -> TextEncoder | WordEncoder:
+def encoder(path: str, words: bool = False, fewer_rules: bool = False, **bounds: int) -> TextEncoder | WordEncoder:
     """One encoder per worker process and vocabulary file, so reused workers keep a memo between tasks. With ``words`` the
-    word memo serves files of its kind, within ``bounds`` (max_words, batch_bytes)."""
+    word memo serves files of its kind, within ``bounds`` (max_words, batch_bytes); ``fewer_rules`` is ``TextEncoder``'s."""
     if words and path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             if _drops_white_space(json.load(f)):
                 return WordEncoder(path, **bounds)
-    return TextEncoder(path)
+    return TextEncoder(path, fewer_rules=fewer_rules)

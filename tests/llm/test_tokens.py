@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from palaver.llm import token_binary as tb
 from palaver.llm.queries import QUERIES, tokenizer_path
 from palaver.llm.token_counts import token_counts, with_limit
-from palaver.llm.tokens import WordEncoder
+from palaver.llm.tokens import TextEncoder, WordEncoder, rules_needed
 
 SCHEMA = "doc_id long, text string, lang string, n_tokens int, start string"
 ROWS = [(5, "Hello, the World! it's 42", "x", 1, "a"), (2, None, None, None, None), (2, "", "x", 1, "a"), (None, "a\x1cb \x85 c<|endoftext|> é é", "x", 1, "a"), (9, "word " * 3000, "x", 1, "a"), (5, "Hello, the World! it's 42", "x", 1, "a"), (7, "x" * 3000, None, 0, "")]
@@ -41,6 +42,46 @@ def test_letters_that_become_marks(library, text):
     assert ids.tolist() == ids_of(library, text) and counts.tolist() == [len(ids)]
 
 
+@pytest.fixture(scope="module")
+def lean():
+    return TextEncoder(tokenizer_path(), fewer_rules=True)
+
+
+def test_fewer_rules_for_all_pairs(library, lean):
+    """Texts up to U+00FF skip rules of the file and keep its ids: every pair of such characters between letters, signs, digits."""
+    low, plain = json.loads(lean.tokenizers[1].to_str()), json.loads(lean.tokenizers[0].to_str())
+    assert low["normalizer"]["type"] == plain["normalizer"]["type"] == "Lowercase" and low["pre_tokenizer"] == json.loads(library.to_str())["pre_tokenizer"] and plain["pre_tokenizer"]["type"] == "Split"
+    latin = [chr(i) for i in range(256)]
+    for around in ("Ab", ".'", "5 "):
+        texts = [around + a + b + around for a in latin for b in latin]
+        counts, ids = lean.encode(pa.array(texts))
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [rules_needed(t) for t in ("", "a\t\n\x0b\x0c\r ~!", "a\x1f", "\x7f", "\x85\xa0\xff", "a\u0301", "\u2019", "\u212b")] == [0, 0, 1, 1, 1, 2, 2, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.characters(codec="utf-8"), st.characters(max_codepoint=255), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "'LL ", "\u0301", "the ", "\u212b", "\x1c"])), max_size=30).map("".join), max_size=6))
+def test_fewer_rules_keep_the_ids(library, lean, texts):
+    counts, ids = lean.encode(pa.array(texts, pa.string()))
+    want = [ids_of(library, t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_fewer_rules_only_for_files_of_their_kind(tmp_path):
+    """Bytes after a split of another kind, another normaliser, or a token found in normalised text: the file as it is."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["model"] |= {"vocab": {c: i for i, c in enumerate(["a", "b", "a</w>", "b</w>"])}, "merges": []}
+    split, as_bytes = rules["pre_tokenizer"]["pretokenizers"]
+    others = [{"normalizer": None}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFKC"}, {"type": "Lowercase"}]}}, {"added_tokens": [t | {"normalized": True} for t in rules["added_tokens"]]}]
+    others += [{"pre_tokenizer": {"type": "Sequence", "pretokenizers": x}} for x in ([split], [as_bytes], [split, as_bytes | {"add_prefix_space": True}], [split | {"behavior": "Isolated"}, as_bytes])]
+    for i, x in enumerate(({}, *others)):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(rules | x))
+        assert hasattr(TextEncoder(str(path), fewer_rules=True), "tokenizers") is (not x)
+
+
 def test_counts(spark, library):
     got = with_limit(token_counts(spark.createDataFrame(ROWS, SCHEMA), tokenizer_path())).collect()
     want = [(i, len((t or "").encode()), n := len(ids_of(library, t)), n > 2048) for i, t, *_ in ROWS]
