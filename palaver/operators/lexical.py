@@ -28,9 +28,11 @@ def prepare(conversations: DataFrame) -> DataFrame:
     return conversations.withColumns({f"{c}_norm": normalized(F.coalesce(c, F.lit(""))) for c in WEIGHTS})
 
 
-def freshness(ts: Column, now: datetime) -> Column:
+def freshness(ts: Column, now: datetime, ahead: bool = False) -> Column:
+    """Recency by its half-life. A time after ``now`` counts as now; with ``ahead`` it goes on growing."""
     age = F.lit(int(now.timestamp())) - F.unix_timestamp(ts)
-    return F.when(age < 0, F.lit(FRESH_MOST)).otherwise(F.lit(FRESH_MOST) * F.pow(F.lit(2.0), -(age / F.lit(86400.0)) / F.lit(HALF_LIFE_DAYS)))
+    fresh = F.lit(FRESH_MOST) * F.pow(F.lit(2.0), -(age / F.lit(86400.0)) / F.lit(HALF_LIFE_DAYS))
+    return fresh if ahead else F.when(age < 0, F.lit(FRESH_MOST)).otherwise(fresh)
 
 
 def pairs(words: tuple[str, ...]) -> list[str]:
@@ -75,10 +77,10 @@ def field_scores(words: tuple[str, ...]) -> dict[str, Column]:
     return out
 
 
-def search(prepared: DataFrame, query: str | Query, now: datetime, top: int | None = None, explain: bool = False) -> DataFrame:
-    """Ranked rows with ``score``: score, then time, then key. ``explain`` adds each field's parts."""
+def search(prepared: DataFrame, query: str | Query, now: datetime, top: int | None = None, explain: bool = False, ahead: bool = False) -> DataFrame:
+    """Ranked rows with ``score``: score, then time, then key. ``explain`` adds each field's parts; ``ahead`` as in ``freshness``."""
     q = parse(query) if isinstance(query, str) else query
-    fresh = freshness(F.col("ts"), now)
+    fresh = freshness(F.col("ts"), now, ahead)
     if q.is_empty:
         found = prepared.withColumn("score", fresh)
         return _top(found, [F.desc("ts"), F.asc("key")], top)
