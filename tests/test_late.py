@@ -13,6 +13,7 @@ QUERIES = [
     "lex_browse_newest",
     "lex_explain_fields",
     "lex_score_documents",
+    "lex_top_k",
 ]
 
 
