@@ -130,16 +130,17 @@ def parsed_range(text: Column) -> Column:
 
 
 def resolved(inputs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(input, state, n, ref) of ``inputs`` (input) against ``refs`` (ref of 32 hex digits): ``ch_`` and 8 digits and more name
+    """(input, state, n, ref), a row for each row of ``inputs`` (input), against ``refs`` (ref of 32 hex digits): ``ch_`` and 8 digits and more name
     the conversation whose digest starts so. States: found, not found, ambiguous (n candidates), and invalid for anything
     else. Both sides meet by their first 8 digits, so no input meets all refs."""
-    digits = F.lower(F.regexp_extract("input", f"^ch_([0-9A-Fa-f]{{{MIN_REF_DIGITS},{REF_DIGITS}}})$", 1))
+    digits = F.coalesce(F.lower(F.regexp_extract("input", f"^ch_([0-9A-Fa-f]{{{MIN_REF_DIGITS},{REF_DIGITS}}})$", 1)), F.lit(""))
     asked = inputs.select("input").distinct().withColumn("digits", digits).withColumn("head", F.left("digits", F.lit(MIN_REF_DIGITS)))
     held = refs.select("ref", F.left("ref", F.lit(MIN_REF_DIGITS)).alias("head")).distinct()
     met = asked.join(held, (asked["head"] == held["head"]) & held["ref"].startswith(asked["digits"]), "left")
     rows = met.groupBy("input", "digits").agg(F.count("ref").alias("n"), F.min("ref").alias("ref"))
     state = F.when(F.col("digits") == "", "invalid").when(F.col("n") == 0, "not found").when(F.col("n") == 1, "found").otherwise("ambiguous")
-    return rows.select("input", state.alias("state"), "n", F.when(F.col("n") == 1, F.col("ref")).alias("ref"))
+    found = rows.select(F.col("input").alias("of"), state.alias("state"), "n", F.when(F.col("n") == 1, F.col("ref")).alias("ref"))
+    return inputs.join(found, F.col("input").eqNullSafe(F.col("of"))).select("input", "state", "n", "ref")
 
 
 # How references are written, and what is said of those that are not (fixed values).

@@ -47,6 +47,13 @@ def test_resolved(spark, input_, state):
     assert row.state == state and (row.ref is not None) == (state == "found")
 
 
+def test_resolved_row_by_row(spark):
+    refs = spark.createDataFrame([("a" * 32,)], "ref string")
+    inputs = spark.createDataFrame([("ch_aaaaaaa",), ("ch_aaaaaaa",), ("ch_" + "a" * 9,), ("ch_" + "a" * 9,), (None,), (None,)], "input string")
+    got = sorted(tuple(r)[1:3] for r in retrieval.resolved(inputs, refs).collect())
+    assert got == [("found", 1)] * 2 + [("invalid", 0)] * 4
+
+
 @pytest.mark.parametrize(("text", "most", "want"), [("aé", 2, "a"), ("aé", 3, "aé"), ("😀", 3, ""), ("", 0, ""), ("ab", 0, ""), (None, 4, None)])
 def test_cut_bytes(spark, text, most, want):
     assert spark.createDataFrame([(text,)], "t string").select(tx.cut_bytes(F.col("t"), most)).first()[0] == want
