@@ -14,6 +14,7 @@ QUERIES = [
     "lex_explain_fields",
     "lex_score_documents",
     "lex_top_k",
+    "ret_finalized",
 ]
 
 
