@@ -15,6 +15,7 @@ QUERIES = [
     "lex_score_documents",
     "lex_top_k",
     "ret_finalized",
+    "ret_global_hits",
 ]
 
 
