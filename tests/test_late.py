@@ -17,6 +17,7 @@ QUERIES = [
     "ret_finalized",
     "ret_global_hits",
     "idx_pair_search",
+    "idx_search",
 ]
 
 
