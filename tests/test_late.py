@@ -18,6 +18,7 @@ QUERIES = [
     "ret_global_hits",
     "idx_pair_search",
     "idx_search",
+    "idx_search_top",
 ]
 
 
