@@ -49,9 +49,12 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def literal_matches(text: Column, literal: Literal) -> Column:
-    """The literal at a word start, its end free; without capitals each character matches by its lower case."""
+    """The literal at a word start, its end free; without capitals each character matches by its lower case. What holds it at all
+    is found first, which costs less than the pattern (of ASCII: lower case of other texts may depend on what stands beside)."""
     found = text.rlike(literal_pattern(literal))
-    return text.contains(literal.text) & found if literal.sensitive else found
+    if literal.sensitive:
+        return text.contains(literal.text) & found
+    return F.lower(text).contains(literal.text) & found if literal.text.isascii() else found
 
 
 def literal_text() -> Column:

@@ -44,6 +44,11 @@ def stored_path(spark: SparkSession, name: str, source: str, write: Callable[[st
     return _PATHS[key]
 
 
+def known_path(spark: SparkSession, name: str, source: str) -> str | None:
+    """The path of what a session has stored of the table at ``source`` as it is now, if anything."""
+    return _PATHS.get((spark.sparkContext.applicationId, name, source, mark(spark, source)))
+
+
 def stored(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> DataFrame:
     """The one table that ``write`` makes, see ``stored_path``."""
     return spark.read.parquet(stored_path(spark, name, source, write))
